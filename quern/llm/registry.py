@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quern.llm import byte_bpe, token_counts
+    from quern.llm import byte_bpe, language_id, media, mixing, quality, token_counts, toxicity
 
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_media": media.op7_media,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
