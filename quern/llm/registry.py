@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quern.llm import byte_bpe, jaccard_join, language_id, media, mixing, quality, token_counts, toxicity
+    from quern.llm import byte_bpe, jaccard_join, language_id, line_dedup, media, mixing, quality, token_counts, toxicity
 
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_media": media.op7_media,
         "op8_quality_rules": quality.op8_quality_rules,
