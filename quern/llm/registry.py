@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quern.llm import byte_bpe, jaccard_join, language_id, line_dedup, media, mixing, quality, token_counts, toxicity
+    from quern.llm import byte_bpe, jaccard_join, language_id, line_dedup, media, mixing, quality, suffix_dedup, token_counts, toxicity
 
     return {
         "op1_token_counts": token_counts.op1_token_counts,
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.op6_mixing,
         "op7_media": media.op7_media,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_language_id": language_id.op10_language_id,
     }
 
