@@ -102,13 +102,27 @@ class Bands:
             low = self.low[-1]
             high = max(low, math.ceil(low * RATIO) - 1)
             d = high * (self.den - self.num) // self.num
-            empty = lambda b: b * (1 - 1 / b) ** low
-            b = next((b for b in range(d + 1, 8 * d + 16) if b - d > empty(b) + 2 * math.sqrt(empty(b))), d + 1)
+            b = self.enough(low, d)
             self.low.append(high + 1)
             self.most.append(d)
             self.blocks.append(b)
         return self.low[i], self.low[i + 1] - 1, self.most[i], self.blocks[i]
 
+    @staticmethod
+    def enough(n: int, d: int) -> int:
+        """Blocks so many that n shingles leave fewer than B - D of them empty, by two deviations if that is possible."""
+        best, at = -1e9, d + 1
+        for b in range(d + 1, 8 * (d + n) + 16):
+            fill = n / b
+            empty = b * math.exp(-fill)
+            spread = math.sqrt(max(empty * (1 - (1 + fill) * math.exp(-fill)), 0.01))
+            score = (b - d - empty) / spread
+            if score > best:
+                best, at = score, b
+            if score >= 2 or b > 4 * n + d and score < best:
+                break
+        return at
+
     def of(self, n: int) -> list[int]:
         """Bands in which a set of n shingles can have a partner that is no larger, and its own."""
         found, i = [], 0
