@@ -71,7 +71,7 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/v={version}"
     df.write.mode("overwrite").parquet(path)
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    tmp, to = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT.tmp"), jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
+    tmp, to = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.tmp"), jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     fs = tmp.getFileSystem(conf)
     out = fs.create(tmp, True)
     out.write(bytearray(str(version).encode()))
@@ -83,5 +83,5 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
 
 
 def read_current(spark, root: str) -> DataFrame:
-    version = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()[0].strip()
+    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0].strip()
     return spark.read.parquet(f"{root.rstrip('/')}/v={version}")

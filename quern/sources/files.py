@@ -105,7 +105,7 @@ def text_files(spark: SparkSession, root: str, exts: tuple[str, ...] = TEXT_EXTE
     part = F.split("rel", "/")
     junk = F.arrays_overlap(F.slice(part, F.lit(1), F.size(part) - 1), F.array(*[F.lit(x) for x in JUNK_DIRS]))
     named = files(spark, root).where(F.lower(F.element_at(F.split("rel", r"\."), -1)).isin(*exts) & (F.col("size_bytes") <= s.import_bytes) & ~junk & ~excluded(F.col("rel"), list(deny)))
-    text = named.withColumn("text", F.decode("content", "UTF-8"))
+    text = named.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
     return text.where(F.col("text").rlike(r"(?U)\S")).select("path", "rel", "mtime_unix", "size_bytes", "text")
 
 
@@ -161,7 +161,7 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
     """jsonl_path, line_number (from 1, blank lines counted) and raw of every transcript line."""
-    whole = files(spark, root, "*.jsonl").select(F.col("path").alias("jsonl_path"), F.decode("content", "UTF-8").alias("body"))
+    whole = files(spark, root, "*.jsonl").select(F.col("path").alias("jsonl_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
     return whole.select("jsonl_path", F.posexplode(F.split("body", "\r?\n")).alias("i", "raw")).select("jsonl_path", (F.col("i") + 1).alias("line_number"), "raw")
 
 
