@@ -15,10 +15,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, keep, map_texts, read_table
+from quern.llm.common import crc_mod, keep, map_texts, read_table, staged
 
 #: Documents of each language that a model learns from, at most: those with the least hashes of their ids.
 TRAIN_DOCS = 600
+#: Ids that are sent to every task, at most; more are joined by a shuffle.
+MOST_SENT = 200_000
 ORDER = 5
 #: Scored words that a Python worker keeps.
 CACHE = 400_000
@@ -187,7 +189,9 @@ def learn(docs: DataFrame, allowed, per_lang: int = TRAIN_DOCS) -> Models | None
     """
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_lang)
-    sample = docs.select("doc_id", "text").join(ids.select("doc_id", F.col("lang").alias("language"), (F.col("k") % 5 == 0).alias("held")), "doc_id")
+    chosen = staged(ids.select("doc_id", F.col("lang").alias("language"), (F.col("k") % 5 == 0).alias("held")), "ids")
+    # per_lang ids of each language: small unless there are thousands of languages
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen, "doc_id")
     schema = pa.schema([("language", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     texts = sample.where("not held").select("text", "language")
 
