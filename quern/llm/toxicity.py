@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-case runs of letters and digits, hashed into 2**BITS buckets. A document's score is a bias, a weight
+Terms are lower-case runs of letters and digits and their beginnings, hashed into 2**BITS buckets. A document's score is a bias, a weight
 for each of its buckets and the inner products of all pairs of their factors, through the logistic function. The
 machine learns from a bounded sample of labelled documents, over the buckets that tell the classes apart best.
 """
@@ -23,13 +23,17 @@ BITS = 22
 TRAIN_ROWS = 6000
 #: Buckets that the machine knows, at most; documents of the sample that a bucket must be in, and its least G (chance: 1 in 10,000).
 BUCKETS, LEAST_DOCS, LEAST_G = 2048, 4, 15.1
+#: Lengths of the beginnings that count as terms of their own.
+STEMS = (4, 5, 6)
 FACTORS = 8
 CACHE = 500_000
 TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 def buckets_of(word: bytes) -> tuple[int, ...]:
-    return tuple(zlib.crc32(t.encode()) & (1 << BITS) - 1 for t in TERM.findall(word.decode().lower()))
+    """A word's terms and the beginnings that longer ones share with their inflected and compound forms."""
+    terms = [x for t in TERM.findall(word.decode().lower()) for x in (t, *(f"{t[:n]}-" for n in STEMS if len(t) > n))]
+    return tuple(zlib.crc32(t.encode()) & (1 << BITS) - 1 for t in terms)
 
 
 def document_buckets(text: bytes | None) -> list[int]:
@@ -75,7 +79,7 @@ def segment(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[ends] - total[starts]
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, known: np.ndarray, rounds: int = 12, batch: int = 64, rate: float = 0.15, ridge: float = 2e-4, seed: int = 7) -> Machine:
+def fit(docs: list[np.ndarray], y: np.ndarray, known: np.ndarray, steps: int = 4000, batch: int = 64, rate: float = 0.15, ridge: float = 2e-4, seed: int = 7) -> Machine:
     """Stochastic gradient descent with per-parameter steps on the logistic loss; classes weigh the same."""
     rng = np.random.default_rng(seed)
     n = len(known)
@@ -84,7 +88,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, known: np.ndarray, rounds: int =
     share = float(y.mean())
     weights = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     sizes = np.array([len(d) for d in docs])
-    for _ in range(rounds):
+    for _ in range(max(12, -(-steps * batch // max(1, len(docs))))):
         for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
             flat = np.concatenate([docs[i] for i in part])
             size = sizes[part]
