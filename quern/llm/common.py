@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished stages now: it does so when the driver's JVM collects them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes the table that staged() wrote and df reads."""
     spark = df.sparkSession

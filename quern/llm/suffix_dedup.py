@@ -7,9 +7,10 @@ byte for byte, repeats as a whole.
 
 Deciding. The first places of the other contexts are dealt by anchor, so that all strings that can be equal meet in
 one suffix bucket. A task takes its buckets in order, a bounded block of them at a time: it sorts the suffixes of the
-block that start a string. A difference cover of the positions modulo PERIOD is ranked first; suffixes are then sorted
-by their anchor and first PERIOD bytes, and ties, the long repeats, are resolved by the rank of the covered position
-that both reach within a period. Neighbours that agree in LENGTH bytes are equal strings; all but the first repeat.
+block that start a string. A difference cover of the positions modulo PERIOD is ranked first, by doubling; suffixes are
+then sorted by their anchor, their distance from it and the bytes up to the next covered position, and ties, the long
+repeats, are resolved by the ranks there. Neighbours that agree in LENGTH bytes are equal strings; all but the first
+repeat.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import keep, map_texts, mix64, read_table, staged
+from quern.llm.common import free_shuffles, keep, map_texts, mix64, read_table, staged
 
 LENGTH, GRAM = 100, 30
 WINDOW = LENGTH - GRAM + 1
@@ -143,17 +144,19 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover_ranks(words: np.ndarray, samples: np.ndarray, most: int) -> np.ndarray:
-    """Ranks of the suffixes at the cover's positions by their first `most` bytes, eight bytes a round."""
-    rank = dense(words[samples])
-    for shift in range(8, most, 8):
-        tied = np.flatnonzero(np.bincount(rank)[rank] > 1)
-        if not len(tied):
-            break
-        inner = np.zeros(len(rank), dtype=np.int64)
-        inner[tied] = dense(rank[tied], words[np.minimum(samples[tied] + shift, len(words) - 1)])
-        rank = dense(rank, inner)
-    return rank
+def cover_ranks(words: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Ranks by position of the suffixes at the cover's positions, by their first 4 * PERIOD bytes; 0 elsewhere.
+
+    A covered position moved by a period is covered, so ranks by one period double twice.
+    """
+    by_place = np.zeros(len(words) + 4 * PERIOD, dtype=np.int64)
+    rank = dense(words[samples], words[samples + 8], words[samples + 16], words[samples + 24] >> np.uint64(8))
+    for reach in (PERIOD, 2 * PERIOD):
+        by_place[samples] = rank + 1
+        pair = by_place[samples] * (len(samples) + 2) + by_place[samples + reach]
+        rank = np.unique(pair, return_inverse=True)[1]
+    by_place[samples] = rank + 1
+    return by_place
 
 
 def repeats(contexts: list[bytes], before: np.ndarray, bucket: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -169,7 +172,7 @@ def repeats(contexts: list[bytes], before: np.ndarray, bucket: np.ndarray, doc:
         at += -(at + b) % PERIOD
         offsets[i] = at
         at += n
-    total = at + LENGTH + PERIOD + 16
+    total = at + LENGTH + PERIOD + 32
     buf = np.zeros(total + 8, dtype=np.uint8)
     for o, c in zip(offsets.tolist(), contexts, strict=True):
         buf[o : o + len(c)] = np.frombuffer(c, dtype=np.uint8)
@@ -177,31 +180,40 @@ def repeats(contexts: list[bytes], before: np.ndarray, bucket: np.ndarray, doc:
     positions = np.arange(total - LENGTH)
     in_cover = np.zeros(PERIOD, dtype=bool)
     in_cover[list(COVER)] = True
-    samples = positions[in_cover[positions % PERIOD]]
-    rank_at = np.full(total + PERIOD, -1, dtype=np.int64)
-    rank_at[samples] = cover_ranks(words, samples, LENGTH)
+    rank_at = cover_ranks(words, positions[in_cover[positions % PERIOD]])
     # starts of strings: LENGTH bytes are left in the context
     many = np.maximum(sizes - LENGTH + 1, 0)
     owner = np.repeat(np.arange(len(contexts)), many)
+    flagged = np.zeros(len(owner), dtype=bool)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    if not len(owner):
+        return np.stack([owner, inside])
     p = offsets[owner] + inside
+    # the next covered place from each, and the bytes up to there: eight at most in head, the others in rest
     step = np.array([min(d for d in range(PERIOD) if in_cover[(r + d) % PERIOD]) for r in range(PERIOD)])
     residue = p % PERIOD
-    tail = words[p + 24] >> np.uint64(8)  # bytes 24 to 30: PERIOD in all
-    order = np.lexsort((start[owner] + inside, doc[owner], rank_at[p + step[residue]], residue, tail, words[p + 16], words[p + 8], words[p], bucket[owner]))
-    q = p[order]
-    same = bucket[owner][order][1:] == bucket[owner][order][:-1]
-    for k in range(0, LENGTH - 8 + 1, 8):
-        same &= words[q[1:] + k] == words[q[:-1] + k]
-    same &= words[q[1:] + LENGTH - 8] == words[q[:-1] + LENGTH - 8]
-    flagged = np.zeros(len(p), dtype=bool)
-    if len(order):
-        # of a run of equal strings the first place stays; ranks reach beyond the string, so it is looked for
-        run = np.r_[0, np.cumsum(~same)]
-        d, at = doc[owner][order], (start[owner] + inside)[order]
-        by_place = np.lexsort((at, d, run))
-        lead = by_place[np.r_[True, run[by_place][1:] != run[by_place][:-1]]]
-        flagged[order] = (d != d[lead][run]) | (at != at[lead][run])
+    reach = step[residue]
+    head = np.where(reach > 0, words[p] >> (64 - 8 * np.clip(reach, 1, 8)).astype(np.uint64), np.uint64(0))
+    rest = np.where(reach > 8, words[p + 8] >> (64 - 8 * np.clip(reach - 8, 1, 8)).astype(np.uint64), np.uint64(0))
+    rank = rank_at[p + reach]
+    place = bucket[owner] * PERIOD + residue
+    order = np.lexsort((rank, rest, head, place))
+    first, second = order[:-1], order[1:]
+    same = (place[second] == place[first]) & (head[second] == head[first]) & (rest[second] == rest[first])
+    # equal ranks agree beyond a string's end; of others the bytes tell whether they differ before it
+    ask = np.flatnonzero(same & (rank[second] != rank[first]))
+    x, y = p[first[ask]], p[second[ask]]
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        alike = words[x + k] == words[y + k]
+        same[ask[~alike]] = False
+        ask, x, y = ask[alike], x[alike], y[alike]
+    # of a run of equal strings the first place stays
+    new = np.r_[True, ~same]
+    run = np.cumsum(new) - 1
+    d, at_ = doc[owner][order], (start[owner] + inside)[order]
+    least = np.minimum.reduceat(d, np.flatnonzero(new))[run]
+    least_at = np.minimum.reduceat(np.where(d == least, at_, np.iinfo(np.int64).max), np.flatnonzero(new))[run]
+    flagged[order] = (d != least) | (at_ != least_at)
     return np.stack([owner[flagged], inside[flagged]])
 
 
@@ -263,6 +275,7 @@ def removals(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, a, b) of repeated runs, and (doc_id, name, packed) of the texts that may hold them."""
     anchor = found_anchors(docs)
     live = staged(anchor.withColumn("many", F.expr("count(1) over (partition by gram)")).where("many > 1").drop("many"), "live")
+    free_shuffles(docs.sparkSession)  # all anchors; those that are alive are written
     of_context = live.groupBy("gram", "context").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     several = of_context.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram")
     wanted = of_context.join(several, "gram").select("gram", "context", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
@@ -286,6 +299,7 @@ def removals(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     texts = docs.withColumn("name", F.xxhash64(F.coalesce("text", F.lit("")))).join(touched, "doc_id")
     held = staged(map_texts(texts, cut, schema, "doc_id long, name long, packed binary, gram array<long>, place array<long>, bytes array<binary>", ["name", "asked"]), "held")
+    free_shuffles(docs.sparkSession)  # all texts
     contexts = held.select("doc_id", F.explode(F.arrays_zip("gram", "place", "bytes")).alias("c")).select("c.gram", "doc_id", "c.place", "c.bytes")
     by_sort = sorted_buckets(contexts)
     later = live.join(of_context, ["gram", "context"]).where(F.struct("doc_id", "place") != F.col("first"))
