@@ -9,22 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_unset: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A folder for a query's checkpoint and output below the session's shared folder."""
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")  # only where no cluster has set a folder
-        spark.conf.set(key, base)
+    if not base:  # no cluster has named a folder: one for this application
+        app = spark.sparkContext.applicationId
+        base = _unset.get(app) or _unset.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quern-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def message_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Messages of a folder of Parquet drops; each file is read once. Files that grow in place need changed_files()."""
-    at, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(at if name.endswith(".parquet") and _is_file(spark, path) else path)
-
-
 def _is_file(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile())
