@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
 
 
+_unset: dict[str, str] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -31,9 +34,9 @@ def scratch(spark: SparkSession) -> str:
     """A new folder below the shared folder that the session names in spark.checkpoint.dir."""
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")  # only where no cluster has set a folder, as in tests
-        spark.conf.set(key, base)
+    if not base:  # no cluster has named a folder, as in tests: one for this application
+        app = spark.sparkContext.applicationId
+        base = _unset.get(app) or _unset.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quern-"))
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 

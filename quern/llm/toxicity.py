@@ -49,6 +49,7 @@ class Machine:
     bias: float
     weight: np.ndarray
     factor: np.ndarray
+    index: dict[int, int] = field(default_factory=dict)
     cache: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
     def raw(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -57,14 +58,14 @@ class Machine:
         return self.bias + linear + 0.5 * (sums**2 - squares).sum(-1)
 
     def score_texts(self, texts: list[bytes | None]) -> np.ndarray:
-        places = {int(b): i for i, b in enumerate(self.known)} if not self.cache else None
         if len(self.cache) > CACHE:
             self.cache.clear()
         words = [set((t or b"").split()) for t in texts]
         if new := set().union(*words).difference(self.cache):
-            places = places or {int(b): i for i, b in enumerate(self.known)}
+            if not self.index:
+                self.index.update((int(b), i) for i, b in enumerate(self.known))
             for w in new:
-                self.cache[w] = tuple(places[b] for b in buckets_of(w) if b in places)
+                self.cache[w] = tuple(self.index[b] for b in buckets_of(w) if b in self.index)
         get = self.cache.__getitem__
         found = [sorted(set().union(*map(get, w))) for w in words]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
