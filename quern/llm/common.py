@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _unset: dict[str, str] = {}
 
 
@@ -44,7 +45,12 @@ def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the table stands for its shuffles: their files may go with the write
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
