@@ -148,6 +148,27 @@ def test_similar_lines(spark):
     assert gone <= should and len(gone) >= 0.97 * len(should) and len(should) > 60
 
 
+def test_similar_lines_of_one_template(spark):
+    """Families of similar lines whose bands are made of words that all families share."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghinorst"), int(rng.integers(2, 9))))
+    common = [word() for _ in range(52)]
+    lines = []
+    for _ in range(60):
+        words = common + [word() for _ in range(8)]
+        lines += [" ".join(words), edited(rng, words, 1), edited(rng, words, 2)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    sets, want = [{x[i : i + 12] for i in range(len(x)) if x[i] != " " and (i == 0 or x[i - 1] == " ")} for x in lines], Sets(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                want.join(i, j)
+    gone = {r.doc_id for r in line_report(df).where("n_removed > 0").collect()}
+    should = {i for i in range(len(lines)) if want.find(i) != i}
+    assert gone <= should and len(gone) >= 0.97 * len(should) and len(should) > 60
+
+
 def brute_repeats(rows, size=100):
     seen, out = set(), {}
     for i, t in sorted(rows):
