@@ -169,6 +169,19 @@ def test_similar_lines_of_one_template(spark):
     assert gone <= should and len(gone) >= 0.97 * len(should) and len(should) > 60
 
 
+def test_lines_without_blanks(spark):
+    """Equal beginnings do not make lines similar; a small edit anywhere in a long run does not keep them apart."""
+    rng = np.random.default_rng(6)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lines = ["https://www." + run("abcdefghij0123456789/", 60) for _ in range(20)]
+    lines += ["今日はよい天気ですからね、" + run("山川田中日本語文字列東西南北", 60) for _ in range(20)]
+    lines += ["short word and " + run("abcdefgh", 90) for _ in range(20)]
+    near = [lines[5] + "xyz", "abc" + lines[6], lines[25][:-1], lines[26] + "々", lines[45] + "z"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines + near)], "doc_id long, text string")
+    gone = {r.doc_id for r in line_report(df).where("n_removed > 0").collect()}
+    assert gone == set(range(len(lines), len(lines) + len(near)))
+
+
 def brute_repeats(rows, size=100):
     seen, out = set(), {}
     for i, t in sorted(rows):
