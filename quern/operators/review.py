@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.config import DEFAULTS, Settings
 from quern.functions.dates import first_filled, to_date
+from quern.functions.text import note_line
 from quern.operators.search import layer_of
 
 
@@ -63,6 +64,14 @@ def manifest_hash(files: DataFrame, group: str) -> DataFrame:
     return files.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("manifest"))
 
 
+def note_candidates(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, line_no (from 0) and note of every line of a text that holds one; of a text's equal notes, case ignored, the first."""
+    lines = texts.select(id_col, F.posexplode(F.split(text_col, r"\r\n|[\n\x0B-\r\x1C-\x1E\x85\u2028\u2029]", -1)).alias("line_no", "line"))
+    notes = lines.select(id_col, "line_no", note_line(F.col("line")).alias("note")).where("note <> ''")
+    first = Window.partitionBy(id_col, F.lower("note")).orderBy("line_no")
+    return notes.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+
+
 def distinct_snippets(notes: DataFrame, text_col: str, *order: str) -> DataFrame:
     """The first row of each text, case ignored, in order of first sight."""
     first = Window.partitionBy(F.lower(text_col)).orderBy(*order)

@@ -158,3 +158,10 @@ def test_overdue_puts_undated_first(spark):
     rows = [("/m/always/a.md", None, None, None), ("/m/always/b.md", "2025-01-01", None, None), ("/m/when/c.md", None, None, None), ("/m/knowledge/d.md", None, "2026-05-30", None)]
     got = review.overdue(spark.createDataFrame(rows, "file_path string, last_confirmed string, updated string, created string")).collect()
     assert [(r.file_path, r.age_days) for r in got] == [("/m/always/a.md", None), ("/m/always/b.md", 516)]
+
+
+def test_notes_of_every_line(spark):
+    text = "hello\n- remember: rotate the logs.\nnothing here\r\nNOTE: Rotate the logs\nwe talk\ndecision: keep it small.\ntodo: ."
+    df = spark.createDataFrame([(1, text), (2, "use tabs"), (3, None), (4, "")], "doc_id long, text string")
+    rows = sorted(tuple(r) for r in review.note_candidates(df, "doc_id", "text").collect())
+    assert rows == [(1, 1, "rotate the logs"), (1, 5, "keep it small"), (2, 0, "tabs")]
