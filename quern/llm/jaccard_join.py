@@ -8,7 +8,7 @@ band the difference of two linked sets is at most D, and B is larger than D, so
 draws its blocks anew, by the next seed, until fewer than B - D of them are empty; it joins under all seeds up to there,
 and of two linked sets the one that needs fewer seeds has a word with shingles in common with the other.
 
-A second sketch of SKETCH_BITS single bits prunes candidates by Hamming distance; what is left is verified exactly.
+A second sketch of single bits prunes candidates by Hamming distance; what is left is verified exactly.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, keep, map_texts, mix64, read_table, staged
+from quern.llm.common import components, keep, map_texts, mix64, read_table, staged, text_chunks
 
-SKETCH_BITS = 1024
-#: Rows of a join key that one task compares with each other; larger groups are compared tile by tile.
+SKETCH_BITS, MOST_BITS = 1024, 4096
+#: Rows of a kind under a join key that one task compares with each other; more are compared tile by tile.
 TILE = 2048
 #: Sets whose sketches a task has put out already are not put out again while it remembers them.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 RATIO = math.sqrt(2)
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,11 +79,12 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set; equal sets have equal names, and two different ones clash by chance 2**-64."""
-    both = np.array([np.add.reduce(s, dtype=np.uint64), np.bitwise_xor.reduce(s)], dtype=np.uint64)
-    h = mix64(both[:1] * BASE + both[1:] + np.uint64(len(s)))
-    return int(h.view(np.int64)[0])
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit names of a set; equal sets have equal names."""
+    other = mix64(s + BASE)
+    both = np.array([np.add.reduce(s, dtype=np.uint64), np.bitwise_xor.reduce(s), np.add.reduce(other, dtype=np.uint64), np.bitwise_xor.reduce(other)], dtype=np.uint64)
+    h = mix64(both[::2] * BASE + both[1::2] + np.uint64(len(s)))
+    return int(h.view(np.int64)[0]), int(h.view(np.int64)[1])
 
 
 class Bands:
@@ -161,9 +162,15 @@ def sketch_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """SKETCH_BITS parities: each shingle flips one bit."""
-    bit = (mix64(s ^ BASE) >> np.uint64(20)) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities, each shingle flips one bit: SKETCH_BITS, doubled up to MOST_BITS while sets that link may differ in over a twelfth of them.
+
+    A sketch of twice the size folds to one of the size by XOR of its halves.
+    """
+    size = SKETCH_BITS
+    while size < MOST_BITS and size < 2 * len(s):
+        size *= 2
+    bit = (mix64(s ^ BASE) >> np.uint64(20)) % np.uint64(size)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -175,14 +182,15 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def names(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size) and fp (the set's name) of every row of a DataFrame of keep()."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64())])
+    """doc_id, mark (hash of the text), n (set size), fp and check (the set's name and another) of every row of keep()."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("check", pa.int64())])
 
-    def run(ids: list[int], texts: list[bytes | None]) -> dict:
+    def run(ids: list[int], texts: list[bytes | None], marks: list[int]) -> dict:
         sets = shingle_sets(texts, k)
-        return {"doc_id": ids, "n": list(map(len, sets)), "fp": list(map(fingerprint, sets))}
+        both = [fingerprint(s) for s in sets]
+        return {"doc_id": ids, "mark": marks, "n": list(map(len, sets)), "fp": [x for x, _ in both], "check": [x for _, x in both]}
 
-    return map_texts(docs, run, schema, "doc_id long, n long, fp long")
+    return map_texts(docs.withColumn("mark", F.xxhash64("text")), run, schema, "doc_id long, mark long, n long, fp long, check long", ["mark"])
 
 
 def keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -192,11 +200,10 @@ def keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = bands_of(num, den), set()
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 256):
+            for a, b in text_chunks(batch, 0, 256, 1 << 20):
                 made, of = [], []
-                for s in shingle_sets(texts[at : at + 256], k):
-                    fp = fingerprint(s) if len(s) else None
+                for s in shingle_sets(batch.column(0).slice(a, b - a).cast(pa.binary()).to_pylist(), k):
+                    fp = fingerprint(s)[0] if len(s) else None
                     if fp is None or fp in seen:
                         continue
                     if len(seen) >= REMEMBERED:
@@ -212,19 +219,24 @@ def keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """fp, n, sketch and packed text (zstd) of the documents of wanted (doc_id, fp)."""
+    """fp, n, sketch and packed text (zstd) of the documents of wanted (doc_id, fp, check).
+
+    A task puts a set out once, however often its row repeats.
+    """
     schema = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("packed", pa.binary())])
+    done: set[int] = set()
 
-    def run(ids: list[int], texts: list[bytes | None], fps: list[int]) -> dict:
+    def run(ids: list[int], texts: list[bytes | None], fps: list[int], checks: list[int]) -> dict:
         pack = zstandard.ZstdCompressor(level=3)
         out: dict = {n: [] for n in schema.names}
-        for s, t, fp in zip(shingle_sets(texts, k), texts, fps, strict=True):
-            if fingerprint(s) == fp:  # of rows that share an id only the one that is meant
-                for n, v in (("fp", fp), ("n", len(s)), ("sketch", bit_sketch(s)), ("packed", pack.compress(t or b""))):
+        for s, t, *name in zip(shingle_sets(texts, k), texts, fps, checks, strict=True):
+            if name[0] not in done and list(fingerprint(s)) == name:  # of rows that share an id only the one that is meant
+                done.add(name[0])
+                for n, v in (("fp", name[0]), ("n", len(s)), ("sketch", bit_sketch(s)), ("packed", pack.compress(t or b""))):
                     out[n].append(v)
         return out
 
-    return map_texts(docs.join(wanted, "doc_id"), run, schema, "fp long, n long, sketch binary, packed binary", ["fp"])
+    return map_texts(docs.join(wanted, "doc_id"), run, schema, "fp long, n long, sketch binary, packed binary", ["fp", "check"])
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -239,9 +251,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> Da
         for batch in batches:
             xs, ys, tx, ty = (batch.column(i) for i in range(4))
             hits = []
-            for at in range(0, batch.num_rows, 256):
-                part = slice(at, at + 256)
-                y_list = ys[at : at + 256].to_pylist()
+            for at, end in text_chunks(batch, 2, 256, 1 << 20):
+                part = slice(at, end)
+                y_list = ys[part].to_pylist()
                 sets = shingle_sets([unpack.decompress(t) for t in tx[part].to_pylist()], k)
                 for i, (s, y) in enumerate(zip(sets, y_list, strict=True)):
                     if y != last:
@@ -253,71 +265,199 @@ def verify(pairs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> Da
     return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
-def compare(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of rows (key, fp, label, n, sketch) that share a key, differ in label and pass the Hamming bound.
+class Forest:
+    """Union-find over small numbers."""
 
-    A key with more than TILE rows is dealt into tiles by a hash of fp; every two tiles meet in one group.
-    """
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-    tiles = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
-    mine = rows.join(tiles, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "fp", "label", "n", "sketch")
-
-    def run(table: pa.Table) -> pa.Table:
-        fp, label, n, mine_ = (table.column(c).to_numpy() for c in ("fp", "label", "n", "mine"))
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(fp), -1)
-        xs, ys = [], []
-        for i in range(len(fp)):
-            rest = slice(i + 1, None)
-            ok = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * den >= num * np.maximum(n[rest], n[i]))
-            if a != b:
-                ok &= mine_[rest] != mine_[i]
-            near = np.flatnonzero(ok) + i + 1
-            if len(near):
-                far = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
-                near = near[far * (den + num) <= (n[near] + n[i]) * (den - num)]
-                xs.append(np.maximum(fp[near], fp[i]))
-                ys.append(np.minimum(fp[near], fp[i]))
-        x, y = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (xs, ys))
-        return pa.Table.from_arrays([pa.array(x), pa.array(y)], schema=schema)
-
-    return dealt.groupBy("key", "a", "b").applyInArrow(run, "x long, y long").distinct()
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-def similar(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: the least doc_id that links of num/den reach.
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
 
-    Documents with equal sets are one node. Under every join key each node is first paired with the key's least node
-    and the pair verified; then all nodes of a key that are still in different components are compared. So groups of
-    copies make no pairs among each other, and no link between different components is lost.
 
-    Null, empty and blank texts have no shingle, no link, and are their own component. Repeated rows stay, rows that
-    share an id but not a text are nodes of their own; an empty table gives no rows; other columns are not read.
+def widths(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By sketch size in words: the rows whose sketch has that size or more, and their sketches folded to it."""
+    sizes = np.fromiter((len(s) // 8 for s in sketches), dtype=np.int64, count=len(sketches))
+    out, size = {}, SKETCH_BITS // 64
+    while size * 64 <= MOST_BITS and len(rows := np.flatnonzero(sizes >= size)):
+        out[size] = rows, np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], dtype=np.uint64).reshape(-1, size), axis=0) for i in rows.tolist()])
+        size *= 2
+    return out
+
+
+def near(label: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i and j of different labels and, where there are two, sides that pass the Hamming bound; their relative distance."""
+    levels = widths(sketches)
+    index = {size: {int(r): k for k, r in enumerate(rows)} for size, (rows, _) in levels.items()}
+    _, kind, many = np.unique(label, return_inverse=True, return_counts=True)
+    most = kind == int(many.argmax())  # rows of the commonest label need no row of their own: the others meet them
+    two = len(np.unique(side)) > 1
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(~most).tolist():
+        ok = (kind != kind[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
+        ok[: i + 1] &= most[: i + 1]
+        if two:
+            ok &= side != side[i]
+        js = np.flatnonzero(ok)
+        far = np.zeros(len(js), dtype=np.int64)
+        for size, (rows, bits) in levels.items():
+            at = index[size].get(i)
+            if at is None or not len(js):
+                break
+            place = np.searchsorted(rows, js)
+            has = np.flatnonzero((place < len(rows)) & (rows[np.minimum(place, len(rows) - 1)] == js))
+            far[has] = np.bitwise_count(bits[place[has]] ^ bits[at]).sum(1, dtype=np.int64)
+            good = far * (den + num) <= (n[js] + n[i]) * (den - num)
+            js, far = js[good], far[good]
+        if len(js):
+            found.append((np.full(len(js), i), js, far / (n[js] + n[i])))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray, many: int) -> list[int]:
+    """Which pairs (i, j) to try: edges of so many disjoint spanning forests over the labels, the nearest pairs first."""
+    names, kind = np.unique(label, return_inverse=True)
+    a, b = np.minimum(kind[i], kind[j]), np.maximum(kind[i], kind[j])
+    left = np.lexsort((far, b, a)) if many == 1 else np.argsort(far, kind="stable")
+    if many == 1:  # of two labels one pair is enough for a forest
+        left = left[np.r_[True, (a[left][1:] != a[left][:-1]) | (b[left][1:] != b[left][:-1])]]
+        left = left[np.argsort(far[left], kind="stable")]
+    taken: list[int] = []
+    for _ in range(many):
+        forest, later = Forest(len(names)), []
+        for at in left.tolist():
+            (taken if forest.join(int(a[at]), int(b[at])) else later).append(at)
+        if not later:
+            break
+        left = np.array(later)
+    return taken
+
+
+def compare(rows: DataFrame, failed: DataFrame, num: int, den: int, many: int) -> DataFrame:
+    """Pairs (x, y), with labels p and q, to verify of rows (key, fp, label, n, sketch) that share a key and a tile (a, b).
+
+    In a key, the rows of its commonest label meet all others, and these each other; more than TILE rows of a kind are
+    dealt into tiles by a hash of fp, and every two tiles meet in one group. A group puts out no more than many spanning
+    forests over its labels, of pairs that pass the Hamming bound and are not in failed (key, a, b, x, y).
     """
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("p", pa.int64()), ("q", pa.int64())])
+    kinds = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sizes = kinds.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
+    tiles = sizes.select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / F.lit(float(TILE))).cast("int").alias("few"), F.ceil(F.col("top.c") / F.lit(float(TILE))).cast("int").alias("lot"))
+    of_main = F.col("label") == F.col("main")
+    mine = rows.join(tiles, "key").withColumn("mine", F.when(of_main, F.col("few") + F.pmod(F.xxhash64("fp"), F.col("lot"))).otherwise(F.pmod(F.xxhash64("fp"), F.col("few"))).cast("int"))
+    others = F.when(of_main, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("lot") - 1))
+    dealt = mine.where("few > 0").withColumn("other", F.explode(others)).select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "fp", "label", "n", "sketch")
+
+    def run(table: pa.Table, bad: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        fp, label, n, side = (table.column(c).to_numpy() for c in ("fp", "label", "n", "mine"))
+        i, j, far = near(label, n, side, table.column("sketch").to_pylist(), num, den)
+        x, y = np.maximum(fp[i], fp[j]), np.minimum(fp[i], fp[j])
+        if bad.num_rows and len(x):
+            known = set(zip(bad.column("x").to_pylist(), bad.column("y").to_pylist(), strict=True))
+            new = np.fromiter((p not in known for p in zip(x.tolist(), y.tolist(), strict=True)), dtype=bool, count=len(x))
+            i, j, far, x, y = (v[new] for v in (i, j, far, x, y))
+        taken = np.array(forests(label, i, j, far, many) if len(x) else [], dtype=np.int64)
+        whole = [np.full(len(taken), table.column(c)[0].as_py()) for c in ("key", "a", "b")]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip([*whole, x[taken], y[taken], label[i][taken], label[j][taken]], schema.types, strict=True)], schema=schema)
+
+    return dealt.groupBy("key", "a", "b").cogroup(failed.groupBy("key", "a", "b")).applyInArrow(run, "key long, a int, b int, x long, y long, p long, q long")
+
+
+def all_links(live: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(fp, label) of every node: its component by all links between sets, of rows (key, fp, least) of shared join keys.
+
+    Under every key each set first meets the key's least set. Sets of a key that are in different components after
+    that are tried along spanning forests: if every tried pair of a group of sets links, then its other pairs are
+    connected without a trial; if one fails, the group is tried again without it, with twice as many forests, until
+    none is left to try. So no link between different components is lost, and no round puts out all pairs of a group.
+    """
+    first = staged(verify(live.where("fp <> least").select(F.col("fp").alias("x"), F.col("least").alias("y")).distinct(), nodes, k, num, den), "links")
+    labels = components(first, "x", "y").withColumnRenamed("node", "fp")
+    labels = staged(nodes.select("fp").distinct().join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "labels")
+    failed = live.sparkSession.createDataFrame([], "key long, a int, b int, x long, y long")
+    open_, many = live.select("key", "fp"), 1
+    while True:
+        told = open_.join(labels, "fp")
+        mixed = told.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+        rows = staged(told.join(mixed, "key", "left_semi").join(nodes.select("fp", "n", "sketch"), "fp").select("key", "fp", "label", "n", "sketch"), "mixed")
+        tried = staged(compare(rows, failed, num, den, many), "tried")
+        good = staged(verify(tried.select("x", "y").distinct(), nodes, k, num, den), "links")
+        to = components(tried.join(good, ["x", "y"], "left_semi"), "p", "q").select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = staged(labels.join(to, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "labels")
+        wrong = staged(tried.join(good, ["x", "y"], "left_anti").select("key", "a", "b", "x", "y"), "failed")
+        if wrong.isEmpty():
+            return labels
+        failed, many = failed.unionByName(wrong), many * 2
+        open_ = rows.select("key", "fp").join(wrong.select("key").distinct(), "key", "left_semi")
+
+
+def grouped(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (hash of the text), n, fp, check, and component_id, one row for every row of df."""
     docs = keep(df, id_col, text_col)
     named = staged(names(docs, k), "names")
     shared = keys(docs, k, num, den).select("key", "fp", F.expr("min(fp) over (partition by key)").alias("least"), F.expr("max(fp) over (partition by key)").alias("largest"))
     live = staged(shared.where("least <> largest").select("key", "fp", "least"), "live")
-    reps = named.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    full = named.where("n > 0")
+    # two sets with one name: the one that is looked at is that of the least (doc_id, check), the others link with nothing
+    sets = full.groupBy("fp", "check").agg(F.min("doc_id").alias("doc_id"))
+    reps = sets.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "check")).alias("r")).select("fp", "r.doc_id", "r.check")
     nodes = staged(fetch(docs, live.select("fp").distinct().join(reps, "fp"), k), "nodes")
-    first = staged(verify(live.where("fp <> least").select(F.col("fp").alias("x"), F.col("least").alias("y")).distinct(), nodes, k, num, den), "links")
-    labels = components(first, "x", "y")
-    label = F.coalesce("l", "fp").alias("label")
-    told = live.select("key", "fp").join(labels.select(F.col("node").alias("fp"), F.col("label").alias("l")), "fp", "left").select("key", "fp", label)
-    mixed = told.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rows = told.join(mixed, "key").join(nodes.select("fp", "n", "sketch"), "fp").select("key", "fp", "label", "n", "sketch")
-    second = staged(verify(compare(rows, num, den), nodes, k, num, den), "links2")
-    final = components(first.unionByName(second), "x", "y").select(F.col("node").alias("fp"), "label")
-    of_set = reps.join(final, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "doc_id")
-    least = of_set.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(of_set.select(F.col("fp").alias("f"), "label"), (F.col("fp") == F.col("f")) & (F.col("n") > 0), "left").join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = all_links(live, nodes, k, num, den)
+    of_set = sets.join(reps.select("fp", "check").join(labels, "fp"), ["fp", "check"], "left")
+    least = of_set.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    told = of_set.join(least, "label", "left").select("fp", "check", F.coalesce("least", "doc_id").alias("component_id"))
+    linked_ = full.join(told, ["fp", "check"], "left")
+    cols = ["doc_id", "mark", "n", "fp", "check"]
+    alone = named.where("n = 0").select(*cols, F.col("doc_id").alias("component_id"))
+    return linked_.select(*cols, F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(alone)
+
+
+def similar(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the least doc_id that links of num/den reach.
+
+    Documents with equal sets are one node; all_links() finds the links between nodes, so groups of copies make no
+    pairs among each other, and no link between different components is lost.
+
+    Null, empty and blank texts have no shingle, no link, and are their own component. Repeated rows stay, rows that
+    share an id but not a text are nodes of their own; rows without an id share the component of their equals, if they
+    have some, and else have none; an empty table gives no rows; other columns are not read.
+    """
+    return grouped(df, k, num, den, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows that link to a smaller doc_id's component: one document of each group stays."""
-    gone = similar(docs, k, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """docs with one row of each group of linked documents: that of the least doc_id.
+
+    Of rows that share that id and link, the one whose text has the least hash stays, and one of its repetitions;
+    rows whose id another, unlinked text shares are judged by their own text. Rows without an id stay.
+    """
+    rows = staged(grouped(docs, k, num, den).where("doc_id is not null and n > 0").select("doc_id", "mark", "component_id"), "groups")
+    first = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("mark"), F.count("*").alias("c"))
+    other = rows.where("doc_id = component_id").join(first.where("c > 1").select("component_id", F.col("mark").alias("m")), "component_id").where("mark <> m")
+    gone = rows.where("doc_id <> component_id").select("doc_id", "mark").unionByName(other.select("doc_id", "mark")).distinct()
+    again = staged(rows.groupBy("doc_id", "mark").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "again")
+    marked = docs.withColumns({"__at": F.col("doc_id").cast("long"), "__of": F.xxhash64(F.col("text").cast("string"))})
+    left = marked.join(gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), (F.col("__at") == F.col("__id")) & (F.col("__of") == F.col("__mark")), "left_anti")
+    if not again.isEmpty():
+        same = (F.col("__at") == F.col("__id")) & (F.col("__of") == F.col("__mark"))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["__at", "__of"]))
+    return left.select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

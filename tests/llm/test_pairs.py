@@ -98,6 +98,55 @@ def test_tiles_agree(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar(df, 4, 85, 100).collect()} == brute_groups(rows, 4, 85, 100)
 
 
+def near_group(spark, size=240):
+    """One large group of near copies of one text, with so many edits that links and non-links mix."""
+    rng = np.random.default_rng(11)
+    words = [f"w{rng.integers(5000)}" for _ in range(400)]
+    rows = [(i, edited(rng, words, int(rng.integers(0, 9)))) for i in range(size)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_group_of_near_copies_is_exact_and_makes_few_pairs(spark, monkeypatch, tile):
+    from quern.llm import jaccard_join
+
+    df, rows = near_group(spark)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    made, real = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *a: made.append(pairs.count()) or real(pairs, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar(df, 4, 90, 100).collect()}
+    assert got == brute_groups(rows, 4, 90, 100) and 10 < len({c for _, c in got.values()}) < 230
+    assert max(made) < 240 * 239 / 8
+
+
+def test_forests_cover_what_hamming_leaves():
+    from quern.llm.jaccard_join import bit_sketch, forests, linked, near
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 1 << 62, 3000, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: (size := int(rng.choice([150, 900, 2900])))][rng.random(size) > 0.04], rng.integers(1, 1 << 62, size // 28, dtype=np.uint64)]) for _ in range(60)]
+    label, n, side = np.arange(60) % 50, np.array(list(map(len, sets))), np.zeros(60, dtype=np.int32)
+    i, j, far = near(label, n, side, list(map(bit_sketch, sets)), 85, 100)
+    found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if label[a] != label[b] and linked(sets[a], sets[b], 85, 100)}
+    assert want <= found and len(found) < 3 * len(want) and len(want) > 50
+    trial = forests(label, i, j, far, 1)
+    assert len(trial) < 50 and len(forests(label, i, j, far, 1 << 20)) == len(i)
+    reach = Sets(range(50))
+    for t in trial:
+        reach.join(label[i[t]], label[j[t]])
+    assert all(reach.find(label[a]) == reach.find(label[b]) for a, b in found)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows that share an id: repeated ones leave one, an unlinked text stays, of linked ones one stays."""
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, PROSE), (1, PROSE), (2, PROSE), (3, other), (2, "nothing like the rest at all, a text of its own"), (5, PROSE.replace("fox", "cat")), (1, PROSE + "more"), (None, PROSE), (None, None), (7, ""), (7, "")]
+    kept = [tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(i == 1 for i, _ in kept) == 1 and (2, rows[4][1]) in kept and (2, PROSE) not in kept and (3, other) in kept and all(i != 5 for i, _ in kept)
+    assert sum(i is None for i, _ in kept) == 2 and kept.count((7, "")) == 2
+
+
 def test_shingles_of_few_words():
     a, b, c, d = shingle_sets([b"a b c", b"A  B\nC", b"a b", None], 4)
     assert a.tolist() == b.tolist() and len(c) == 1 and c.tolist() != a.tolist() and len(d) == 0
