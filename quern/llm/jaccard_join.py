@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from quern.llm.common import components, keep, map_texts, mix64, read_table, sta
 SKETCH_BITS, MOST_BITS = 1024, 4096
 #: Rows of a kind under a join key that one task compares with each other; more are compared tile by tile.
 TILE = 2048
+#: Groups of up to so many rows are compared many at a time.
+SMALL = 48
 #: Sets whose sketches a task has put out already are not put out again while it remembers them.
 REMEMBERED = 1 << 18
 RATIO = math.sqrt(2)
@@ -296,35 +299,58 @@ def widths(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def near(label: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows i and j of different labels and, where there are two, sides that pass the Hamming bound; their relative distance."""
+def bound(i: np.ndarray, j: np.ndarray, n: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs of rows i and j that pass the Hamming bound at every size both sketches have; their relative distance."""
+    far = np.zeros(len(i), dtype=np.int64)
+    for rows, bits in levels.values():
+        if not len(i):
+            break
+        at, to = np.searchsorted(rows, i), np.searchsorted(rows, j)
+        most = len(rows) - 1
+        has = np.flatnonzero((rows[np.minimum(at, most)] == i) & (rows[np.minimum(to, most)] == j))
+        for lo in range(0, len(has), 1 << 14):
+            part = has[lo : lo + (1 << 14)]
+            far[part] = np.bitwise_count(bits[at[part]] ^ bits[to[part]]).sum(1, dtype=np.int64)
+        good = far * (den + num) <= (n[i] + n[j]) * (den - num)
+        i, j, far = i[good], j[good], far[good]
+    return i, j, far / np.maximum(n[i] + n[j], 1)
+
+
+def candidates(start: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, one: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a group (start: first rows) that differ in label and side and pass the Hamming bound; their distance.
+
+    one: in groups of one tile every row is a side of its own. Small groups are paired at once, by distance of rows; in
+    larger ones the rows of the commonest label are met by the others.
+    """
+    if not len(start):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    ends = np.r_[start[1:], len(label)]
+    size, end_of = np.repeat(ends - start, ends - start), np.repeat(ends, ends - start)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (label[i] != label[j]) & (one[i] | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j]))
+
+    rows = np.arange(len(label))
+    for step in range(1, min(SMALL, int(size.max(initial=0)))):
+        i = rows[(size <= SMALL) & (rows + step < end_of)]
+        i = i[fits(i, i + step)]
+        found.append((i, i + step))
     levels = widths(sketches)
-    index = {size: {int(r): k for k, r in enumerate(rows)} for size, (rows, _) in levels.items()}
-    _, kind, many = np.unique(label, return_inverse=True, return_counts=True)
-    most = kind == int(many.argmax())  # rows of the commonest label need no row of their own: the others meet them
-    two = len(np.unique(side)) > 1
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in np.flatnonzero(~most).tolist():
-        ok = (kind != kind[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i]))
-        ok[: i + 1] &= most[: i + 1]
-        if two:
-            ok &= side != side[i]
-        js = np.flatnonzero(ok)
-        far = np.zeros(len(js), dtype=np.int64)
-        for size, (rows, bits) in levels.items():
-            at = index[size].get(i)
-            if at is None or not len(js):
-                break
-            place = np.searchsorted(rows, js)
-            has = np.flatnonzero((place < len(rows)) & (rows[np.minimum(place, len(rows) - 1)] == js))
-            far[has] = np.bitwise_count(bits[place[has]] ^ bits[at]).sum(1, dtype=np.int64)
-            good = far * (den + num) <= (n[js] + n[i]) * (den - num)
-            js, far = js[good], far[good]
-        if len(js):
-            found.append((np.full(len(js), i), js, far / (n[js] + n[i])))
-    if not found:
+    out = [bound(np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found]), n, levels, num, den)] if found else []
+    for lo, hi in zip(start.tolist(), ends.tolist(), strict=True):
+        if hi - lo <= SMALL:
+            continue
+        _, kind, many = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+        most = kind == int(many.argmax())
+        for i in (np.flatnonzero(~most) + lo).tolist():
+            js = np.arange(lo, hi)
+            js = js[most | (js > i)]
+            js = js[fits(np.full(len(js), i), js)]
+            out.append(bound(np.full(len(js), i), js, n, levels, num, den))
+    if not out:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray, many: int) -> list[int]:
@@ -362,21 +388,55 @@ def compare(rows: DataFrame, failed: DataFrame, num: int, den: int, many: int) -
     others = F.when(of_main, F.sequence(F.lit(0), F.col("few") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") + F.col("lot") - 1))
     dealt = mine.where("few > 0").withColumn("other", F.explode(others)).select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "fp", "label", "n", "sketch")
 
-    def run(table: pa.Table, bad: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema.empty_table()
-        fp, label, n, side = (table.column(c).to_numpy() for c in ("fp", "label", "n", "mine"))
-        i, j, far = near(label, n, side, table.column("sketch").to_pylist(), num, den)
+    bad = failed.select("key", "a", "b", F.lit(None).cast("int").alias("mine"), F.col("x").alias("fp"), F.lit(None).cast("long").alias("label"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), "y")
+    met = dealt.withColumn("y", F.lit(None).cast("long")).unionByName(bad).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def tried(t: pa.Table) -> pa.RecordBatch:
+        """Of whole groups."""
+        known = pa.compute.is_valid(t.column("y"))
+        wrong, t = t.filter(known), t.filter(pa.compute.invert(known))
+        key, a, b, side, fp, label, n = (t.column(c).to_numpy() for c in ("key", "a", "b", "mine", "fp", "label", "n"))
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(key)]
+        i, j, far = candidates(start, label, n, np.where(a == b, np.arange(len(a)), side), a == b, t.column("sketch").to_pylist(), num, den)
         x, y = np.maximum(fp[i], fp[j]), np.minimum(fp[i], fp[j])
-        if bad.num_rows and len(x):
-            known = set(zip(bad.column("x").to_pylist(), bad.column("y").to_pylist(), strict=True))
-            new = np.fromiter((p not in known for p in zip(x.tolist(), y.tolist(), strict=True)), dtype=bool, count=len(x))
+        if wrong.num_rows and len(i):
+            cols = ("key", "a", "b", "fp", "y")
+            before = set(zip(*(wrong.column(c).to_pylist() for c in cols), strict=True))
+            new = np.fromiter((p not in before for p in zip(key[i].tolist(), a[i].tolist(), b[i].tolist(), x.tolist(), y.tolist(), strict=True)), dtype=bool, count=len(i))
             i, j, far, x, y = (v[new] for v in (i, j, far, x, y))
-        taken = np.array(forests(label, i, j, far, many) if len(x) else [], dtype=np.int64)
-        whole = [np.full(len(taken), table.column(c)[0].as_py()) for c in ("key", "a", "b")]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip([*whole, x[taken], y[taken], label[i][taken], label[j][taken]], schema.types, strict=True)], schema=schema)
+        group = np.searchsorted(start, i, side="right")
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True]) if len(order) else np.zeros(1, dtype=np.int64)
+        taken: list[int] = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            taken += at.tolist() if hi - lo == 1 else at[forests(label, i[at], j[at], far[at], many)].tolist()
+        at = np.array(taken, dtype=np.int64)
+        cols = (key[i[at]], a[i[at]], b[i[at]], x[at], y[at], label[i[at]], label[j[at]])
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, schema.types, strict=True)], schema=schema)
 
-    return dealt.groupBy("key", "a", "b").cogroup(failed.groupBy("key", "a", "b")).applyInArrow(run, "key long, a int, b int, x long, y long, p long, q long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows_held = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4 * TILE):
+                part = batch.slice(lo, 4 * TILE)
+                held.append(part)
+                rows_held += part.num_rows
+                if rows_held < 4 * TILE:
+                    continue
+                t = pa.Table.from_batches(held)
+                key, a, b = (t.column(c).to_numpy() for c in ("key", "a", "b"))
+                last = (key == key[-1]) & (a == a[-1]) & (b == b[-1])
+                cut = int(np.flatnonzero(last)[0])  # the last group may go on; it has 2 * TILE rows at most, and what failed
+                if cut:
+                    yield tried(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                rows_held = t.num_rows - cut
+        if held:
+            yield tried(pa.Table.from_batches(held))
+
+    return met.select("key", "a", "b", "mine", "fp", "label", "n", "sketch", "y").mapInArrow(run, "key long, a int, b int, x long, y long, p long, q long")
 
 
 def all_links(live: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -384,7 +444,7 @@ def all_links(live: DataFrame, nodes: DataFrame, k: int, num: int, den: int) ->
 
     Under every key each set first meets the key's least set. Sets of a key that are in different components after
     that are tried along spanning forests: if every tried pair of a group of sets links, then its other pairs are
-    connected without a trial; if one fails, the group is tried again without it, with twice as many forests, until
+    connected without a trial; if one fails, the group is tried again without it, with more forests, until
     none is left to try. So no link between different components is lost, and no round puts out all pairs of a group.
     """
     first = staged(verify(live.where("fp <> least").select(F.col("fp").alias("x"), F.col("least").alias("y")).distinct(), nodes, k, num, den), "links")
@@ -403,7 +463,7 @@ def all_links(live: DataFrame, nodes: DataFrame, k: int, num: int, den: int) ->
         wrong = staged(tried.join(good, ["x", "y"], "left_anti").select("key", "a", "b", "x", "y"), "failed")
         if wrong.isEmpty():
             return labels
-        failed, many = failed.unionByName(wrong), many * 2
+        failed, many = failed.unionByName(wrong), many * 16
         open_ = rows.select("key", "fp").join(wrong.select("key").distinct(), "key", "left_semi")
 
 
