@@ -29,9 +29,22 @@ NOTES = (
     r"(?i)^\s*(?:[-*]\s+)?(?:prefer|use|don't use|avoid)\s+(.+)$",
     r"(?i)^\s*(?:[-*]\s+)?(?:you forgot|i told you|i said)\s+(.+)$",
 )
+#: Standing probes, the shape of reset times, codes and phrases of limits.
 PROBES = ("we always do this", "I prefer", "the convention is", "we decided to", "don't do this", "never do this", "the repo lives in", "the project lives at", "always use", "make sure you", "remember to", "going forward")
 RESET = r"(?i)resets\s+(?:(mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+)?(\d{1,2}):(\d{2})\s*(am|pm)?"
 
+LIMIT_CODES = r"rate_limit|billing_error|usage_limit"
+LIMIT_WORDS = r"reached your|usage limit|rate limit|resets"
+
+
+def like(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found, with letters, blanks and case of all of Unicode."""
+    return text.rlike(f"(?U){pattern}")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
 
 def slug(path: Column) -> Column:
     """Project slug of a path: its last segment in lower case, other characters as single dashes; else `unknown`."""
@@ -47,18 +60,18 @@ def slugify(title: Column, most: int, default: str) -> Column:
 def has_secret(text: Column) -> Column:
     found = F.lit(False)
     for shape in SECRETS:
-        found = found | text.rlike(shape)
+        found = found | like(text, shape)
     return found
 
 
 def layer_guess(text: Column) -> Column:
     """Layer of a candidate: secrets are knowledge, then when-, location- and always-phrasings, else knowledge."""
-    return F.when(has_secret(text), "knowledge").when(text.rlike(WHEN), "when").when(text.rlike(LOCATION), "topic").when(text.rlike(ALWAYS), "always").otherwise("knowledge")
+    return F.when(has_secret(text), "knowledge").when(like(text, WHEN), "when").when(like(text, LOCATION), "topic").when(like(text, ALWAYS), "always").otherwise("knowledge")
 
 
 def note_line(line: Column) -> Column:
     """The note of a line by the first family that matches, without final periods; null where none does."""
-    return F.coalesce(*[F.when(line.rlike(p), F.rtrim(F.trim(F.regexp_extract(line, p, 1)), F.lit("."))) for p in NOTES])
+    return F.coalesce(*[F.when(like(line, p), F.rtrim(stripped(F.regexp_extract(line, f"(?U){p}", 1)), F.lit("."))) for p in NOTES])
 
 
 def suggested_name(text: Column) -> Column:
@@ -109,16 +122,10 @@ def version(tag: Column) -> Column:
     return F.when(tag.rlike(p), F.struct(*[F.regexp_extract(tag, p, i + 1).cast("int").alias(n) for i, n in enumerate(("major", "minor", "patch"))]))
 
 
-def is_limit(code: Column, message: Column, codes: tuple[str, ...] = ("rate_limit", "usage_limit", "overloaded")) -> Column:
+def is_limit(code: Column, message: Column) -> Column:
     """A stop that looks like a usage limit: a known code, or a message of a limit that is worded like one."""
-    known = F.lit(False)
-    for c in codes:
-        known = known | F.lower(F.coalesce(code, F.lit(""))).contains(c)
-    low = F.lower(F.coalesce(message, F.lit("")))
-    phrased = F.lit(False)
-    for p in ("reached your", "usage limit", "rate limit", "resets"):
-        phrased = phrased | low.contains(p)
-    return known | low.contains("limit") & phrased
+    said = F.lower(F.coalesce(message, F.lit("")))
+    return F.coalesce(code, F.lit("")).rlike(LIMIT_CODES) | said.contains("limit") & said.rlike(LIMIT_WORDS)
 
 
 def reset_time(message: Column, base: Column) -> Column:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-12
 
@@ -37,41 +42,73 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def hash_pairs(token: Column) -> Column:
-    """The sixteen (slot seed, sign) pairs of a token: two bytes of its SHA-256 each, the first one's parity the sign."""
-    digest = F.sha2(token, 256)
-    pair = lambda i: F.struct(F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int").alias("seed"), (1 - 2 * (F.conv(F.substring(digest, 4 * i + 1, 2), 16, 10).cast("int") % 2)).alias("sign"))
-    return F.array(*[pair(i) for i in range(16)])
+#: Fixed value: the white space that str.split() cuts at, as a class of a pattern.
+BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def hash_slots(df: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
-    """id, slot, weight (integer sum of signs) of every slot that a row's tokens touch.
+def token_slots(token: str) -> tuple[list[int], list[int]]:
+    """The sixteen (seed, sign) pairs of a token: two bytes of its SHA-256 each, the first one's parity the sign."""
+    d = hashlib.sha256(token.encode()).digest()
+    return [d[i] << 8 | d[i + 1] for i in range(0, 32, 2)], [1 - 2 * (d[i] % 2) for i in range(0, 32, 2)]
+
+
+def hashed(df: DataFrame, id_col: str, text: Column, dim: int, unit: bool) -> DataFrame:
+    """One pass in Arrow batches: id with its unit vector, or with the slots it touches and their integer weights.
 
-    Tokens are counted per row first, so that each distinct (row, token) is hashed once.
+    Rows stay where they are: a row's distinct tokens are hashed and counted in its task, and nothing is shuffled.
     """
-    tokens = df.select(F.col(id_col), F.explode(F.split(F.lower(text), r"\s+")).alias("token")).where("token <> ''")
-    counted = tokens.groupBy(id_col, "token").agg(F.count("*").alias("times"))
-    pairs = counted.select(id_col, "times", F.explode(hash_pairs(F.col("token"))).alias("p"))
-    return pairs.groupBy(id_col, (F.col("p.seed") % dim).alias("slot")).agg(F.sum(F.col("p.sign") * F.col("times")).cast("long").alias("weight"))
+    kind = df.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sums, touched = np.zeros((part.num_rows, dim), dtype=np.int64), np.zeros((part.num_rows, dim), dtype=bool)
+                for r, t in enumerate(part.column(1).to_pylist()):
+                    for token, times in Counter((t or "").split()).items():
+                        at = known.get(token)
+                        if at is None:
+                            seeds, signs = token_slots(token)
+                            at = np.array(seeds) % dim, np.array(signs)
+                            if len(token) <= 64:  # long ones are rare and would fill the memory
+                                if size >= 100_000:
+                                    known.clear()
+                                    size = 0
+                                known[token], size = at, size + 1
+                        np.add.at(sums[r], at[0], at[1] * times)
+                        touched[r, at[0]] = True
+                if unit:
+                    length = np.sqrt((sums * sums).sum(1, dtype=np.float64))
+                    made = sums / np.where(length > 0, length, 1)[:, None]
+                    made[length == 0, 0] = 1.0
+                    vectors_ = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, dim, dtype=np.int32)), pa.array(made.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), vectors_], names=[id_col, "embedding"])
+                else:
+                    r, slot = np.nonzero(touched)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(slot, pa.int32()), pa.array(sums[r, slot])], names=[id_col, "slot", "weight"])
+
+    shape = T.StructType([T.StructField(id_col, kind)]).add("embedding", T.ArrayType(T.DoubleType())) if unit else T.StructType([T.StructField(id_col, kind)]).add("slot", T.IntegerType()).add("weight", T.LongType())
+    return df.select(id_col, F.regexp_replace(F.lower(text), BLANKS, " ").alias("__text")).mapInArrow(run, shape)
+
+
+def hash_slots(df: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
+    """id, slot, weight (integer sum of signs) of every slot that a row's tokens touch."""
+    return hashed(df, id_col, text, dim, False)
 
 
 def embed(df: DataFrame, id_col: str, text: Column, dim: int) -> DataFrame:
     """id and embedding (unit array<double>) of every row; no tokens, or full cancellation, give the first unit vector."""
-    slots = hash_slots(df, id_col, text, dim).where("weight <> 0")
-    dense = slots.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"))
-    at = lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("n")
-    first = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(dim)])
-    vector = F.when(F.col("m").isNull(), first).otherwise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at))
-    return df.select(id_col).join(dense, id_col, "left").select(id_col, vector.alias("embedding"))
+    return hashed(df, id_col, text, dim, True)
 
 
 def embed_query(text: str, dim: int) -> list[float]:
     """The same embedding of one string, on the driver."""
     out = [0] * dim
     for token in text.lower().split():
-        d = hashlib.sha256(token.encode()).digest()
-        for i in range(0, 32, 2):
-            out[(d[i] << 8 | d[i + 1]) % dim] += 1 - 2 * (d[i] % 2)
+        for seed, sign in zip(*token_slots(token), strict=True):
+            out[seed % dim] += sign
     length = math.sqrt(sum(x * x for x in out))
     return [x / length for x in out] if length else [1.0] + [0.0] * (dim - 1)
 

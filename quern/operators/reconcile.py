@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern import store
+
 
 def index_diff(disk: DataFrame, index: DataFrame) -> DataFrame:
     """path and action of every file of either side (path, hash; disk also ok): add, change, keep, drop, invalid."""
@@ -66,22 +68,20 @@ def replace_rows(old: DataFrame, new: DataFrame, key: str, changed: DataFrame) -
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Writes a version beside the others and then turns the pointer; a failure leaves the old one in place."""
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/v={version}"
+    """Writes a version beside the others and then its pointer, a new file: readers take the largest that has one.
+
+    A failure before the pointer leaves the old version as it was; no moment is without one.
+    """
+    root = root.rstrip("/")
+    path = f"{root}/v={version}"
     df.write.mode("overwrite").parquet(path)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    tmp, to = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.tmp"), jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs = tmp.getFileSystem(conf)
-    out = fs.create(tmp, True)
-    out.write(bytearray(str(version).encode()))
-    out.close()
-    fs.delete(to, False)
-    if not fs.rename(tmp, to):
-        raise OSError(f"could not turn {to}")
+    if not store.create(df.sparkSession, f"{root}/current-{version}", str(version).encode()):
+        raise OSError(f"version {version} of {root} has been turned to already")
     return path
 
 
 def read_current(spark, root: str) -> DataFrame:
-    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0].strip()
-    return spark.read.parquet(f"{root.rstrip('/')}/v={version}")
+    turned = [int(n[8:]) for n in store.listed(spark, root.rstrip("/")) if n.startswith("current-") and n[8:].isdigit()]
+    if not turned:
+        raise FileNotFoundError(f"no version of {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/v={max(turned)}")

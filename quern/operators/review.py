@@ -43,8 +43,8 @@ def file_times(chunks: DataFrame) -> DataFrame:
 
 
 def inverted(files: DataFrame, list_col: str, path_col: str = "file_path") -> DataFrame:
-    """key and the sorted files that carry it."""
-    return files.select(path_col, F.explode(list_col).alias("key")).groupBy("key").agg(F.sort_array(F.collect_set(path_col)).alias("files"))
+    """key and file of every key that a file carries; a key may be on any share of the files, so they stay rows."""
+    return files.select(F.explode(list_col).alias("key"), F.col(path_col).alias("file")).distinct()
 
 
 def alias_targets(files: DataFrame) -> DataFrame:
@@ -59,9 +59,15 @@ def any_chunk(files: DataFrame, chunks: DataFrame, col: str) -> DataFrame:
 
 
 def manifest_hash(files: DataFrame, group: str) -> DataFrame:
-    """Hash of a group's sorted lines of path, time and size. A group is one included folder."""
-    line = F.concat_ws("\t", "path", F.col("mtime_unix").cast("string"), F.col("size_bytes").cast("string"))
-    return files.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("manifest"))
+    """Hash of a group's lines of path, time and size, whatever their order.
+
+    Lines are dealt into 4,096 buckets by their own hash; a bucket's hash is that of its sorted line hashes, the group's
+    that of its sorted bucket hashes: no group is gathered in one place, however many files it has.
+    """
+    line = F.sha2(F.concat_ws("\t", "path", F.col("mtime_unix").cast("string"), F.col("size_bytes").cast("string")), 256)
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    buckets = files.select(group, line.alias("line")).groupBy(group, F.substring("line", 1, 3).alias("bucket")).agg(joined("line").alias("h"))
+    return buckets.groupBy(group).agg(joined("h").alias("manifest"))
 
 
 def note_candidates(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

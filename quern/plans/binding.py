@@ -5,11 +5,10 @@ Each has a DataFrame form and the same thing as SQL for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAYER_DIRS = ("always", "when", "topics", "knowledge", "feedback")
-VECTORS = 500
 
 MEM = """mem AS (SELECT doc_id AS chunk_id, text, source,
   '/m/' || CASE doc_id % 5 WHEN 0 THEN 'always' WHEN 1 THEN 'when' WHEN 2 THEN 'topics' WHEN 3 THEN 'knowledge' ELSE 'feedback' END || '/' || doc_id || '.md' AS file_path,
@@ -41,9 +40,15 @@ def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes with a vector: that of their number modulo VECTORS."""
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VECTORS).select("vec_id", "embedding")
-    return mem(spark, sf_dir).withColumn("vec_id", F.col("chunk_id") % VECTORS).join(vectors, "vec_id")
+    """Notes with a vector: that of their number modulo the number of vectors."""
+    return with_vector(spark, sf_dir, mem(spark, sf_dir), F.col("chunk_id"))
+
+
+def with_vector(spark: SparkSession, sf_dir: str, rows: DataFrame, number: Column) -> DataFrame:
+    """rows with vec_id and embedding: the vector of number modulo how many there are."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    many = F.broadcast(vectors.agg(F.count("*").alias("__many")))  # one row
+    return rows.withColumn("__number", number).join(many).withColumn("vec_id", F.try_mod("__number", "__many")).drop("__number", "__many").join(vectors, "vec_id")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

@@ -17,7 +17,7 @@ from quern.plans.binding import MEM, MSG, jsonl, mem, msg, table
 #: Phrases put before texts by number, so that every rule has something to find.
 LEADS = ("When deploying check the logs ", "always use the helper ", "the repo lives in /srv/git ", "use api_key=abcd1234efgh ", "- remember: rotate the logs. ", "", "my password is hunter2 ", "decision: keep it small. ")
 LEAD_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LEADS)) + " END || text"
-LINE_SQL = "split_part(CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LEADS)) + " END || text, chr(10), 1)"
+LINES_SQL = f"(SELECT doc_id, unnest(l) AS line, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no FROM (SELECT doc_id, string_split_regex({LEAD_SQL}, '\\r\\n|[\\n\\x0B-\\r\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM documents))"
 
 
 def led(df: DataFrame) -> Column:
@@ -64,15 +64,19 @@ def f13(spark, sf) -> DataFrame:
 NOTE_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(line, '{rx(p)}') THEN rtrim(trim(regexp_extract(line, '{rx(p)}', 1)), '.') END" for p in text.NOTES) + ")"
 
 
-@query("f21_note_candidates", f"SELECT * FROM (SELECT doc_id, {NOTE_SQL} AS note FROM (SELECT doc_id, {LINE_SQL} AS line FROM documents)) WHERE note IS NOT NULL")
+NOTES_SQL = f"(SELECT doc_id, line_no, note FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(note) ORDER BY line_no) AS n FROM (SELECT doc_id, line_no, {NOTE_SQL} AS note FROM {LINES_SQL}) WHERE note <> '') WHERE n = 1)"
+
+
+@query("f21_note_candidates", f"SELECT * FROM {NOTES_SQL}")
 def f21(spark, sf) -> DataFrame:
+    """Notes of every line of every text."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", text.note_line(F.split(led(d), "\n")[0]).alias("note")).where("note is not null")
+    return review.note_candidates(d.select("doc_id", led(d).alias("t")), "doc_id", "t")
 
 
-@query("a15_distinct_snippets", f"SELECT doc_id, note FROM (SELECT *, row_number() OVER (PARTITION BY lower(note) ORDER BY doc_id) AS n FROM (SELECT doc_id, {NOTE_SQL} AS note FROM (SELECT doc_id, {LINE_SQL} AS line FROM documents)) WHERE note IS NOT NULL) WHERE n = 1")
+@query("a15_distinct_snippets", f"SELECT doc_id, line_no, note FROM (SELECT *, row_number() OVER (PARTITION BY lower(note) ORDER BY doc_id, line_no) AS n FROM {NOTES_SQL}) WHERE n = 1")
 def a15(spark, sf) -> DataFrame:
-    return review.distinct_snippets(f21(spark, sf), "note", "doc_id")
+    return review.distinct_snippets(f21(spark, sf), "note", "doc_id", "line_no")
 
 
 def marked_up(spark, sf) -> DataFrame:
@@ -213,11 +217,15 @@ def a6(spark, sf) -> DataFrame:
     return recall.apply_scope(m, ["p1", "p2", "p3"], dt.datetime(2026, 1, 10), dataclasses.replace(DEFAULTS, scope_days=4), most=20).select("message_uuid")
 
 
-@query("a8_batches", f"WITH {MSG} SELECT split_part(cwd, '/', 4) AS slug, count(*) AS n, array_to_string(list_sort(list(DISTINCT session_id)), ',') AS sessions FROM msg GROUP BY 1 HAVING slug <> 'p0'")
+@query("a8_batches", f"WITH {MSG} SELECT split_part(cwd, '/', 4) AS slug, count(*) AS n, count(DISTINCT session_id) AS n_sessions FROM msg GROUP BY 1 HAVING slug <> 'p0'")
 def a8(spark, sf) -> DataFrame:
     plan = recall.batches(msg(spark, sf).withColumn("slug", text.slug(F.col("cwd"))))
-    done = spark.createDataFrame([("p0",)], "slug string")
-    return recall.open_batches(plan, done).select("slug", "n", F.array_join("sessions", ",").alias("sessions"))
+    return recall.open_batches(plan, spark.createDataFrame([("p0",)], "slug string"))
+
+
+@query("a8_batch_sessions", f"WITH {MSG} SELECT DISTINCT split_part(cwd, '/', 4) AS slug, session_id FROM msg")
+def a8_sessions(spark, sf) -> DataFrame:
+    return recall.batch_sessions(msg(spark, sf).withColumn("slug", text.slug(F.col("cwd"))))
 
 
 @query("w8_top_n_deferred", f"WITH {CAND} SELECT message_uuid, CAST(row_number() OVER (ORDER BY score DESC, message_uuid) AS INTEGER) AS position, CASE WHEN row_number() OVER (ORDER BY score DESC, message_uuid) <= 30 THEN 'active' ELSE 'deferred' END AS status FROM c")

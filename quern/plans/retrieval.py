@@ -9,10 +9,10 @@ from quern.config import DEFAULTS
 from quern.functions import vectors
 from quern.operators import fts, recall, search
 from quern.plans.base import query
-from quern.plans.binding import MEM, MSG, embedded, mem, msg, query_vector, table
+from quern.plans.binding import MEM, MSG, embedded, mem, msg, query_vector, table, with_vector
 
 Q0 = "q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
-NEAR = f"{Q0}, {MEM}, near AS (SELECT m.*, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS cosine_score FROM mem m JOIN embeddings e ON e.vec_id = m.chunk_id % 500 CROSS JOIN q0 ORDER BY cosine_score DESC, chunk_id LIMIT 25)"
+NEAR = f"{Q0}, {MEM}, near AS (SELECT m.*, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS cosine_score FROM mem m JOIN embeddings e ON e.vec_id = m.chunk_id % (SELECT count(*) FROM embeddings) CROSS JOIN q0 ORDER BY cosine_score DESC, chunk_id LIMIT 25)"
 BOOST = """CASE WHEN split_part(file_path, '/', 3) IN ('always', 'knowledge') THEN 0.03
   ELSE 0.03 * exp(-greatest(0, date_diff('day', CAST(updated AS DATE), DATE '2026-06-01')) / 180.0) END"""
 PROBES = 12
@@ -109,12 +109,11 @@ def w3_porter(spark, sf) -> DataFrame:
     return fts.bm25(msg(spark, sf), "message_uuid", F.col("content"), fts.stem_phrases([[t] for t in TERMS]), stemmed=True).withColumn("score", F.round("score", 6))
 
 
-VEC = "vec AS (SELECT message_uuid, session_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS score FROM msg JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % 500 CROSS JOIN q0)"
+VEC = "vec AS (SELECT message_uuid, session_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS score FROM msg JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) CROSS JOIN q0)"
 
 
 def message_vectors(spark, sf) -> DataFrame:
-    v = table(spark, sf, "embeddings").where(F.col("vec_id") < 500).select("vec_id", "embedding")
-    return msg(spark, sf).withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 500).join(v, "vec_id")
+    return with_vector(spark, sf, msg(spark, sf), F.col("conv_id") * 7 + F.col("turn"))
 
 
 def session_hits(spark, sf, n: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +160,7 @@ def w6(spark, sf) -> DataFrame:
     return search.promotion(nothing, nothing, found.select("message_uuid").union(near.select("message_uuid")))
 
 
-A5 = f"{MSG}, x AS (SELECT p.vec_id AS query_idx, m.session_id, m.message_uuid, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, m.message_uuid) AS rank FROM msg m JOIN embeddings e ON e.vec_id = (m.conv_id * 7 + m.turn) % 500 JOIN embeddings p ON p.vec_id < 12), best AS (SELECT *, row_number() OVER (PARTITION BY session_id, message_uuid ORDER BY score DESC, query_idx, rank) AS n FROM x WHERE rank <= 5)"
+A5 = f"{MSG}, x AS (SELECT p.vec_id AS query_idx, m.session_id, m.message_uuid, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, m.message_uuid) AS rank FROM msg m JOIN embeddings e ON e.vec_id = (m.conv_id * 7 + m.turn) % (SELECT count(*) FROM embeddings) JOIN embeddings p ON p.vec_id < 12), best AS (SELECT *, row_number() OVER (PARTITION BY session_id, message_uuid ORDER BY score DESC, query_idx, rank) AS n FROM x WHERE rank <= 5)"
 
 
 def recalled(spark, sf) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +27,12 @@ def skip_manifest(gaps: DataFrame) -> DataFrame:
 
 
 def render_index(layers: DataFrame, tags: DataFrame, aliases: DataFrame) -> str:
-    """The index note: files by layer, files by tag, file by alias. Small tables by nature, rendered on the driver."""
+    """The index note: files by layer and by tag (key, file), file by alias. Small tables by nature, rendered on the driver."""
     out = ["# Index", ""]
-    for title, df, key, value in (("Layers", layers, "layer", "files"), ("Tags", tags, "key", "files"), ("Aliases", aliases, "alias", "file_path")):
+    for title, df, key, value in (("Layers", layers, "key", "file"), ("Tags", tags, "key", "file"), ("Aliases", aliases, "alias", "file_path")):
         out += [f"## {title}", ""]
-        for r in df.orderBy(key).toLocalIterator():
-            v = r[value]
-            out.append(f"- {r[key]}: {', '.join(v) if isinstance(v, list) else v}")
+        for name, rows in groupby(df.orderBy(key, value).toLocalIterator(), lambda r: r[key]):
+            out.append(f"- {name}: {', '.join(r[value] for r in rows)}")
         out.append("")
     return "\n".join(out)
 

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_unset: dict[str, str] = {}
+from quern.store import scratch
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A folder for a query's checkpoint and output below the session's shared folder."""
-    key = "spark.checkpoint.dir"
-    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not base:  # no cluster has named a folder: one for this application
-        app = spark.sparkContext.applicationId
-        base = _unset.get(app) or _unset.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quern-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:

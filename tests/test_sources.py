@@ -73,7 +73,7 @@ def test_review_and_index(spark):
     ranked = spark.createDataFrame([("always", 0, 1, "c1", "cmd1", "active"), ("when", 1, 1, "c2", "cmd2", "active"), ("when", 1, 2, "c3", "cmd3", "deferred")], "layer string, layer_order int, rank int, content string, command string, status string")
     out = sinks.render_review(ranked)
     assert out.index("## always") < out.index("## when") < out.index("## Deferred") < out.index("c3") and "capture: `cmd1`" in out
-    index = sinks.render_index(spark.createDataFrame([("always", ["a"])], "layer string, files array<string>"), spark.createDataFrame([("t", ["a", "b"])], "key string, files array<string>"), spark.createDataFrame([("al", "a")], "alias string, file_path string"))
+    index = sinks.render_index(spark.createDataFrame([("always", "a")], "key string, file string"), spark.createDataFrame([("t", "b"), ("t", "a")], "key string, file string"), spark.createDataFrame([("al", "a")], "alias string, file_path string"))
     assert "- t: a, b" in index and "- al: a" in index
     assert sinks.skip_manifest(spark.createDataFrame([("b",), ("a",)], "path string")).first() == (2, ["a", "b"])
 
