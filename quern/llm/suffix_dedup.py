@@ -2,15 +2,16 @@
 
 Finding where to look. Winnowing picks anchors in every text: positions whose GRAM bytes have the least hash of some
 window. Any LENGTH-byte string holds an anchor that depends on its bytes alone, so equal strings share it. Anchors
-seen once are done. An anchor's context is all that a LENGTH-byte string around it can reach; a context seen before,
-byte for byte, repeats as a whole.
+seen once are done. An anchor's context is all that a LENGTH-byte string around it can reach; a context seen before
+(by the 64-bit hashes of its gram and of itself) repeats as a whole.
 
 Deciding. The first places of the other contexts are dealt by anchor, so that all strings that can be equal meet in
 one suffix bucket. A task takes its buckets in order, a bounded block of them at a time: it sorts the suffixes of the
 block that start a string. A difference cover of the positions modulo PERIOD is ranked first, by doubling; suffixes are
 then sorted by their anchor, their distance from it and the bytes up to the next covered position, and ties, the long
 repeats, are resolved by the ranks there. Neighbours that agree in LENGTH bytes are equal strings; all but the first
-repeat.
+repeat. A bucket of more than MOST_CONTEXTS contexts is refined until its members can be told apart by counting: its
+strings are dealt by their own digest, so no task holds the bucket, however large it is.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WINDOW = LENGTH - GRAM + 1
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes of contexts that a task sorts at once.
 BLOCK_BYTES = 1 << 20
+#: Distinct contexts of an anchor that one task sorts together; the buckets of more are refined.
+MOST_CONTEXTS = 2000
 _rng = np.random.default_rng(20240301)
 BYTE_VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -257,7 +260,7 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 2048)
                 parts.append((*(part.column(i).to_numpy() for i in range(3)), part.column(3).to_pylist()))
                 size += part.column(3).nbytes
-                if size < BLOCK_BYTES:
+                if size < BLOCK_BYTES or parts[0][0][0] == parts[-1][0][-1]:  # one bucket, which may go on
                     continue
                 gram, doc, place, contexts = taken(parts)
                 cut = int(np.flatnonzero(gram == gram[-1])[0])  # the last bucket may go on
@@ -271,17 +274,31 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram").select("gram", "doc_id", "place", "bytes").mapInArrow(run, "doc_id long, a long, b long")
 
 
+def by_strings(rows: DataFrame) -> DataFrame:
+    """The same as sorted_buckets(), one row a string, for the contexts (gram, doc_id, place, bytes) of large buckets.
+
+    Strings of a bucket meet by their 128-bit digest; first places are found by partial aggregates.
+    """
+    begin = F.greatest(F.floor(F.col("place") / 128).cast("long") - (LENGTH - GRAM), F.lit(0))
+    starts = F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)
+    each = rows.where(F.octet_length("bytes") >= LENGTH).withColumn("begin", begin).withColumn("k", F.explode(starts))
+    found = each.select(F.unhex(F.md5(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)))).alias("string"), "doc_id", (F.col("begin") + F.col("k")).alias("a"))
+    strings = staged(found, "strings")
+    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.max(F.struct("doc_id", "a")).alias("last")).where("first <> last").select("string", "first")
+    return strings.join(first, "string").where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", (F.col("a") + LENGTH).alias("b"))
+
+
 def removals(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, a, b) of repeated runs, and (doc_id, name, packed) of the texts that may hold them."""
     anchor = found_anchors(docs)
     live = staged(anchor.withColumn("many", F.expr("count(1) over (partition by gram)")).where("many > 1").drop("many"), "live")
     free_shuffles(docs.sparkSession)  # all anchors; those that are alive are written
     of_context = live.groupBy("gram", "context").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    several = of_context.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram")
-    wanted = of_context.join(several, "gram").select("gram", "context", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "place")).alias("asked"))
+    several = of_context.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram", (F.col("contexts") > MOST_CONTEXTS).alias("large"))
+    wanted = of_context.join(several, "gram").select("gram", "context", "large", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"))
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "place", "large")).alias("asked"))
     touched = live.select("doc_id").distinct().join(asked, "doc_id", "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("packed", pa.binary()), ("gram", pa.list_(pa.int64())), ("place", pa.list_(pa.int64())), ("bytes", pa.list_(pa.binary()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("packed", pa.binary()), ("gram", pa.list_(pa.int64())), ("place", pa.list_(pa.int64())), ("large", pa.list_(pa.bool_())), ("bytes", pa.list_(pa.binary()))])
 
     def cut(ids: list[int], texts: list[bytes | None], names: list[int], asked_: list) -> dict:
         pack = zstandard.ZstdCompressor(level=3)
@@ -293,15 +310,15 @@ def removals(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
                 at, gram, context = anchors(t)
                 mine = set(zip((at * 128 + np.minimum(len(t) - at, LENGTH)).tolist(), context.view(np.int64).tolist(), strict=True))
                 want = [w for w in want if (w["place"], w["context"]) in mine]
-            for n, v in (("doc_id", doc_id), ("name", name), ("packed", pack.compress(t)), ("gram", [w["gram"] for w in want]), ("place", [w["place"] for w in want]), ("bytes", [t[max(0, w["place"] // 128 - (LENGTH - GRAM)) : w["place"] // 128 + LENGTH] for w in want])):
+            for n, v in (("doc_id", doc_id), ("name", name), ("packed", pack.compress(t)), ("gram", [w["gram"] for w in want]), ("place", [w["place"] for w in want]), ("large", [w["large"] for w in want]), ("bytes", [t[max(0, w["place"] // 128 - (LENGTH - GRAM)) : w["place"] // 128 + LENGTH] for w in want])):
                 out[n].append(v)
         return out
 
     texts = docs.withColumn("name", F.xxhash64(F.coalesce("text", F.lit("")))).join(touched, "doc_id")
-    held = staged(map_texts(texts, cut, schema, "doc_id long, name long, packed binary, gram array<long>, place array<long>, bytes array<binary>", ["name", "asked"]), "held")
+    held = staged(map_texts(texts, cut, schema, "doc_id long, name long, packed binary, gram array<long>, place array<long>, large array<boolean>, bytes array<binary>", ["name", "asked"]), "held")
     free_shuffles(docs.sparkSession)  # all texts
-    contexts = held.select("doc_id", F.explode(F.arrays_zip("gram", "place", "bytes")).alias("c")).select("c.gram", "doc_id", "c.place", "c.bytes")
-    by_sort = sorted_buckets(contexts)
+    contexts = held.select("doc_id", F.explode(F.arrays_zip("gram", "place", "large", "bytes")).alias("c")).select("c.gram", "doc_id", "c.place", "c.large", "c.bytes")
+    by_sort = sorted_buckets(contexts.where("not large").drop("large")).unionByName(by_strings(contexts.where("large").drop("large")))
     later = live.join(of_context, ["gram", "context"]).where(F.struct("doc_id", "place") != F.col("first"))
     at = F.floor(F.col("place") / 128).cast("long")
     whole = later.select("doc_id", F.greatest(at - (LENGTH - GRAM), F.lit(0)).alias("a"), (at + F.col("place") % 128).alias("b")).where(F.col("b") - F.col("a") >= LENGTH)
@@ -319,7 +336,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     """
     docs = keep(df, id_col, text_col)
     named = staged(text_names(docs), "texts")
-    origin = named.groupBy("name").agg(F.min("doc_id").alias("origin"))
+    long = named.where(F.col("n_bytes") >= LENGTH)  # shorter ones, empty ones above all, have nothing to meet for
+    origin = long.groupBy("whole_sha256").agg(F.min("doc_id").alias("origin"))
     cuts, held = removals(docs, named)
     runs = staged(cuts.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("runs")), "runs")
     kinds = "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
@@ -343,8 +361,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
 
     cut = held.join(runs, "doc_id").dropDuplicates(["doc_id", "name"]).select("doc_id", "name", "packed", "runs").mapInArrow(apply, kinds)
     cut = cut.withColumnsRenamed({"doc_id": "d", "name": "m"})
-    joined = named.join(origin, "name").join(cut, (F.col("doc_id") == F.col("d")) & (F.col("name") == F.col("m")), "left")
-    copy = (F.col("origin") != F.col("doc_id")) & (F.col("n_bytes") >= LENGTH)
+    told = long.join(origin, "whole_sha256").unionByName(named.where(F.col("n_bytes") < LENGTH).withColumn("origin", F.col("doc_id")))
+    joined = told.join(cut, (F.col("doc_id") == F.col("d")) & (F.col("name") == F.col("m")), "left")
+    copy = F.coalesce(F.col("origin") != F.col("doc_id"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     nothing = F.sha2(F.lit(b""), 256)
     cols = ["doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256")]
     if with_text:

@@ -278,6 +278,25 @@ def test_repeats_of_odd_texts(spark):
     assert dedup(empty(spark)).count() == 0 and dedup(odd(spark)).count() == 19
 
 
+def crowded(n):
+    """One passage in n distinct contexts, some of which repeat strings that lie across its edges."""
+    rng = np.random.default_rng(4)
+    letters = lambda k: "".join(rng.choice(list("abcdefghij klmnop"), k))
+    ends = [letters(60) for _ in range(12)]
+    return [(i, letters(40) + ends[i % 7] * (i % 3 == 0) + PROSE[:60] + ends[i % 12] * (i % 5 == 0) + letters(50)) for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [2000, 20, 1])
+def test_buckets_of_many_contexts(spark, monkeypatch, most):
+    from quern.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    rows = crowded(300)
+    out = dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_repeats(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == want and sum(w[1] > 0 for w in want.values()) > 40
+
+
 def test_difference_cover():
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
     owner, inside = repeats([], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
