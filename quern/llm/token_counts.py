@@ -8,7 +8,9 @@ sequence can merge are the tokens; characters without a piece count one token fo
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import keep, map_texts
 
-#: Known cuts that a Python worker keeps; beyond it they are forgotten and counted anew.
-CACHE = 500_000
+#: Bytes of known cuts that a Python worker keeps (each with ENTRY more for itself); beyond it they are forgotten and
+#: counted anew. Cuts of over KEPT bytes are never kept.
+CACHE_BYTES, ENTRY, KEPT = 96 << 20, 150, 256
+#: Longer cuts (text without blanks) are merged by themselves, rank by rank over linked places.
+LONG = 1024
 BLANK = "▁"
 NEVER = np.iinfo(np.int32).max
 SLOT_BITS, SPREAD = 20, np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +43,7 @@ class PieceTable:
     cuts: re.Pattern
     dummy_prefix: bool
     cache: dict[bytes, int] = field(default_factory=dict)
+    held: int = 0  # bytes of the cache
 
     @classmethod
     def load(cls, model_file: str) -> PieceTable:
@@ -151,6 +157,69 @@ class PieceTable:
             rank[np.cumsum(lengths) - 1] = NEVER
         return total.tolist()
 
+    def count_long(self, cut: bytes) -> int:
+        """Tokens of one long cut: as count(), but places are linked and those of one rank are listed together.
+
+        A round takes the lowest rank that any pair has and merges all its pairs, so that its cost is that of the
+        pairs that it merges, not of the whole cut.
+        """
+        other = self.n - 1
+        codes = np.frombuffer(cut.decode().replace(" ", BLANK).encode("utf-32-le"), dtype=np.uint32)
+        sym = self.char_ids[codes]
+        n = len(sym)
+        odd = codes[sym == other]
+        total = n + int(((odd > 0x7F).astype(np.int64) + (odd > 0x7FF) + (odd > 0xFFFF)).sum())
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        made, rank = self.find(sym, np.r_[sym[1:], other])
+        rank[n - 1] = NEVER
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] != NEVER]
+            if not len(at):
+                return
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            ranks = rank[at]
+            edges = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1], True])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                r = int(ranks[lo])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(at[lo:hi])
+
+        put(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            here = np.unique(np.concatenate(places.pop(r)))
+            here = here[rank[here] == r]  # others have changed since
+            if not len(here):
+                continue
+            later = here[:0]
+            if len(here) > 1:
+                # of overlapping equal pairs every second one, from the left
+                first = np.r_[True, here[1:] != after[here[:-1]]]
+                run = np.maximum.accumulate(np.where(first, np.arange(len(here)), 0))
+                take = ((np.arange(len(here)) - run) % 2 == 0) & ~self.alone[made[here]]
+                take[0] = True
+                later, here = here[~take], here[take]
+            gone = after[here]
+            sym[here] = made[here]
+            rank[gone] = NEVER
+            after[here] = on = after[gone]
+            inner = on < n
+            before[on[inner]] = here[inner]
+            total -= len(here)
+            left = before[here]
+            stale = np.unique(np.r_[here, left[left >= 0]])
+            right = after[stale]
+            made[stale], rank[stale] = self.find(sym[stale], sym[np.minimum(right, n - 1)])
+            rank[stale[right >= n]] = NEVER
+            put(np.union1d(stale, later))
+        return total
+
     def cut(self, text: bytes) -> list[bytes]:
         if not text:
             return []
@@ -162,14 +231,35 @@ class PieceTable:
     def count_texts(self, texts: list[bytes]) -> list[int]:
         """Tokens of each whole text; distinct cuts are merged once while the cache keeps them."""
         cuts = [self.cut(t) for t in texts]
-        if len(self.cache) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        new = list(set().union(*cuts).difference(self.cache))
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.cache.update(zip(part, self.count(part), strict=True))
+            self.held = 0
+        new = set().union(*cuts).difference(self.cache)
+        rare = {c: self.count_long(c) if len(c) > LONG else 0 for c in new if len(c) > KEPT}
+        ragged = sorted(new.difference(rare), key=len) + [c for c in rare if len(c) <= LONG]
+        for part in portions(ragged):
+            for c, n in zip(part, self.count(part), strict=True):
+                if len(c) > KEPT:
+                    rare[c] = n
+                else:
+                    self.cache[c] = n
+                    self.held += len(c) + ENTRY
         get = self.cache.__getitem__
-        return [sum(map(get, c)) for c in cuts]
+        if not rare:
+            return [sum(map(get, c)) for c in cuts]
+        return [sum(rare[x] if x in rare else get(x) for x in c) for c in cuts]
+
+
+def portions(cuts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Runs of cuts of so many bytes, or 50,000 cuts, at most."""
+    start = size = 0
+    for i, c in enumerate(cuts):
+        if i > start and (size + len(c) > most or i - start >= 50_000):
+            yield cuts[start:i]
+            start, size = i, 0
+        size += len(c)
+    if start < len(cuts):
+        yield cuts[start:]
 
 
 _tables: dict[str, PieceTable] = {}
@@ -179,7 +269,8 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, id_col: str
     """doc_id, n_bytes, n_tokens, over_limit for every row; a null text counts as empty and has no tokens.
 
     Rows are handled one by one, so repeated ids give repeated rows; an empty table gives no rows; other columns
-    are not read. One pass without a shuffle. A worker's memory: a chunk, the model and CACHE known cuts.
+    are not read. One pass without a shuffle. A worker's memory: a chunk, the model and CACHE_BYTES of known cuts; very
+    long texts without blanks take time in proportion to their length times its logarithm.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 

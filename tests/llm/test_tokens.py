@@ -85,3 +85,54 @@ def test_queries_match_the_libraries(spark, name):
         else:
             ids = TIK.encode_ordinary(texts[r.doc_id])
             assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def unbroken(seed=1):
+    """Long texts without blanks: random letters, base64, repeated and mixed characters."""
+    import base64
+    import random
+
+    r = random.Random(seed)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(r.choices(of, k=n))
+    return [letters(n) for n in (1023, 1025, 1500, 60_000)] + [base64.b64encode(r.randbytes(45_000)).decode(), "a" * 50_000, "ab" * 4000, "-=" * 3000, letters(9000, "日本語中文é😀ñab"), letters(3000, "aab") + " " + letters(3000, "the"), "\n" * 3000, "1234567890" * 900]
+
+
+def test_long_texts_without_blanks():
+    import time
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    from quern.llm.byte_bpe import ByteBpe
+    from quern.llm.token_counts import PieceTable
+
+    table, library = PieceTable.load(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = unbroken()
+    assert table.count_texts([t.encode() for t in texts]) == [len(library.encode(t)) for t in texts]
+    bpe = ByteBpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    reference = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in bpe.tokens.items()}, special_tokens={})
+    for t in texts:
+        assert bpe.encode(t.encode()).tolist() == reference.encode_ordinary(t)
+    assert all(len(k) <= 256 for cache in (table.cache, bpe.cache) for k in cache)
+    began = time.time()
+    table.count_texts([t.encode() for t in unbroken(2)])
+    assert time.time() - began < 20  # a second for 170 kB here; by rounds over the whole it was minutes
+
+
+def test_caches_stay_within_their_bytes(monkeypatch):
+    import random
+
+    import public_tokenizers as P
+
+    from quern.llm import byte_bpe, token_counts
+
+    r = random.Random(3)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 100_000)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 100_000)
+    table, bpe = token_counts.PieceTable.load(P.path("piece_bpe_32k.model")), byte_bpe.ByteBpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for _ in range(30):
+        text = " ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(400)).encode()
+        table.count_texts([text])
+        bpe.encode(text)
+        assert max(table.held, bpe.held) < 300_000 and max(len(table.cache), len(bpe.cache)) < 2000
