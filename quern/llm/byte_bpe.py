@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import keep, map_texts, sha256
 
-#: Resolved stretches (white space and what follows) that a Python worker keeps; beyond it they are forgotten and resolved anew.
-CACHE = 700_000
+#: Bytes of resolved stretches (white space and what follows) that a Python worker keeps, each with ENTRY more for
+#: itself; beyond it they are forgotten and resolved anew. Stretches of over KEPT bytes are never kept.
+CACHE_BYTES, ENTRY, KEPT = 160 << 20, 200, 256
 NONE: dict[int, int] = {}
 LOW, SPREAD = 0xFFFFFFFF, 0x9E3779B97F4A7C15
 #: Fixed value: the pattern of the vocabulary's files, for which texts may be split into units first.
@@ -84,6 +85,7 @@ class ByteBpe:
     kind: str
     units: bool  # the pattern is the one for which UNIT is right
     cache: dict[bytes, bytes] = field(default_factory=dict)
+    held: int = 0  # bytes of the cache
 
     @classmethod
     def load(cls, rank_file: str, pattern: str) -> ByteBpe:
@@ -159,11 +161,19 @@ class ByteBpe:
             return np.frombuffer(self.resolve(text.decode()), dtype=self.kind)
         units = UNIT.findall(text)
         cache = self.cache
-        if len(cache) > CACHE:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
+        rare: dict[bytes, bytes] = {}
         for u in set(units).difference(cache):
-            cache[u] = self.resolve(u.decode())
-        return np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype=self.kind)
+            found = self.resolve(u.decode())
+            if len(u) > KEPT:
+                rare[u] = found
+            else:
+                cache[u] = found
+                self.held += len(u) + len(found) + ENTRY
+        parts = (rare[u] if u in rare else cache[u] for u in units) if rare else map(cache.__getitem__, units)
+        return np.frombuffer(b"".join(parts), dtype=self.kind)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.texts.__getitem__, ids))
