@@ -7,6 +7,7 @@ hashes, one row of values for each; a search in them scores a batch of words und
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +23,11 @@ TRAIN_DOCS = 600
 #: Ids that are sent to every task, at most; more are joined by a shuffle.
 MOST_SENT = 200_000
 ORDER = 5
-#: Scored words that a Python worker keeps.
-CACHE = 400_000
+#: Bytes of scored words that a Python worker keeps, each with ENTRY more for itself. Longer runs without blanks than
+#: KEPT bytes are not kept, and letters are read in words of WORD at most.
+CACHE_BYTES, ENTRY, KEPT, WORD = 96 << 20, 150, 256, 64
 FIELD = np.uint64(0x9E3779B97F4A7C15)
-LETTERS = regex.compile(r"\p{L}+")
+LETTERS = regex.compile(r"\p{L}{1,%d}" % WORD)
 MARK = 1  # the code of a word's boundary; characters follow
 
 
@@ -61,6 +63,7 @@ class Models:
     least: float = 0.5
     cache: dict[bytes, int] = field(default_factory=dict)
     table: np.ndarray | None = None
+    held: int = 0  # bytes of the cache
 
     def costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of -log p of each word's letters and its end under every language, and their number."""
@@ -77,27 +80,37 @@ class Models:
         starts = np.flatnonzero(place == 0)
         return np.add.reduceat(cost, starts, axis=0), np.diff(np.r_[starts, len(flat)]) - 1.0
 
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Costs under every language and number of places of each blank-separated word, over its runs of letters."""
+        runs = [LETTERS.findall(w.decode().lower()) for w in words]
+        cost, count = self.costs([r for x in runs for r in x])
+        owner = np.repeat(np.arange(len(words)), [len(x) for x in runs])
+        return np.stack([*(np.bincount(owner, cost[:, k], minlength=len(words)) for k in range(len(self.langs))), np.bincount(owner, count, minlength=len(words))], 1)
+
     def score_texts(self, texts: list[bytes | None]) -> tuple[list[str], list[float], list[bool], list[float | None]]:
         """Language, calibrated score, rejected and cross-entropy of each whole text."""
         width = len(self.langs)
         words = [(t or b"").split() for t in texts]
-        if self.table is None or len(self.cache) > CACHE:
+        if self.table is None or self.held > CACHE_BYTES:
             self.cache.clear()
-            self.table = np.zeros((0, width + 1), dtype=np.float32)
+            self.held = 0
+            self.table = np.zeros((0, width + 1), dtype=np.float64)
+        table, rare = self.table, {}
         if new := list(set().union(*words).difference(self.cache)):
-            runs = [LETTERS.findall(w.decode().lower()) for w in new]
-            cost, count = self.costs([r for x in runs for r in x])
-            owner = np.repeat(np.arange(len(new)), [len(x) for x in runs])
-            rows = np.zeros((len(new), width + 1), dtype=np.float32)
-            for k in range(width):
-                rows[:, k] = np.bincount(owner, cost[:, k], minlength=len(new))
-            rows[:, width] = np.bincount(owner, count, minlength=len(new))
-            self.cache.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, rows])
+            new.sort(key=lambda w: len(w) > KEPT)  # those that are kept come first
+            rows = np.concatenate([self.rows(part) for part in portions(new)])
+            at = dict(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            table = np.concatenate([table, rows])
+            kept = sum(len(w) <= KEPT for w in new)
+            self.cache.update((w, at[w]) for w in new[:kept])
+            self.held += sum(map(len, new[:kept])) + kept * (ENTRY + 8 * (width + 1))
+            rare = {w: at[w] for w in new[kept:]}
+            self.table = table[: len(table) - len(rare)]
         langs, scores, rejected, entropy = [], [], [], []
-        get = self.cache.__getitem__
+        known = self.cache.__getitem__
+        get = (lambda w: rare[w] if w in rare else known(w)) if rare else known
         for w in words:
-            total = self.table[np.fromiter(map(get, w), dtype=np.int64, count=len(w))].sum(0, dtype=np.float64)
+            total = table[np.fromiter(map(get, w), dtype=np.int64, count=len(w))].sum(0, dtype=np.float64)
             if not total[width]:
                 for a, v in ((langs, "und"), (scores, 0.0), (rejected, True), (entropy, None)):
                     a.append(v)
@@ -113,6 +126,17 @@ class Models:
         return langs, scores, rejected, entropy
 
 
+def portions(words: list[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
+    """Runs of words of so many bytes at most, or single ones."""
+    start = size = 0
+    for i, w in enumerate(words):
+        if i > start and size + len(w) > most:
+            yield words[start:i]
+            start, size = i, 0
+        size += len(w)
+    yield words[start:]
+
+
 def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
     hashes, values = table
     if not len(hashes):
@@ -188,7 +212,10 @@ def learn(docs: DataFrame, allowed, per_lang: int = TRAIN_DOCS) -> Models | None
     the others the calibration. Words are counted on the executors; the driver gets the sample's distinct words.
     """
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_lang)
+    able = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", (F.xxhash64("doc_id") / 2.0**64 + 0.5).alias("u"))
+    # the least hashes lie below this share, but for odds beyond reckoning: so few rows of a language meet to be ranked
+    share = able.groupBy("lang").agg(F.count("*").alias("c")).select("lang", (2.0 * per_lang / F.col("c")).alias("share"))
+    ids = able.join(share, "lang").where("u <= share").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_lang)
     chosen = staged(ids.select("doc_id", F.col("lang").alias("language"), (F.col("k") % 5 == 0).alias("held")), "ids")
     # per_lang ids of each language: small unless there are thousands of languages
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen, "doc_id")
@@ -223,7 +250,7 @@ def learn(docs: DataFrame, allowed, per_lang: int = TRAIN_DOCS) -> Models | None
 
     got = sorted(map(tuple, sample.where("held").select("text", "language").mapInArrow(margins, "margin double, hit double").collect()))
     calibrate(models, np.array([g[0] for g in got]), np.array([g[1] for g in got]))
-    models.cache, models.table = {}, None
+    models.cache, models.table, models.held = {}, None, 0
     return models
 
 

@@ -21,12 +21,15 @@ from quern.llm.common import crc_mod, keep, map_texts, read_table, staged
 BITS = 22
 #: Labelled documents of each class that the machine learns from, at most: those with the least hashes of their ids.
 TRAIN_ROWS = 6000
-#: Buckets that the machine knows, at most; documents of the sample that a bucket must be in, and its least G (chance: 1 in 10,000).
+#: Parameters of the machine, like its number of factors; documents are scored by whole texts whatever they are. Buckets
+#: that it knows, at most (on 0.1 GB some 1,900 pass the tests below, so the bound leaves next to none out); documents of
+#: the sample that a bucket must be in, and its least G (chance: 1 in 10,000).
 BUCKETS, LEAST_DOCS, LEAST_G = 2048, 4, 15.1
 #: Lengths of the beginnings that count as terms of their own.
 STEMS = (4, 5, 6)
 FACTORS = 8
-CACHE = 500_000
+#: Bytes of known words that a Python worker keeps, each with ENTRY more for itself; words of over KEPT bytes are not kept.
+CACHE_BYTES, ENTRY, KEPT = 96 << 20, 200, 256
 TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -51,6 +54,7 @@ class Machine:
     factor: np.ndarray
     index: dict[int, int] = field(default_factory=dict)
     cache: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
+    held: int = 0  # bytes of the cache
 
     def raw(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Scores before the logistic function of documents given as places of known buckets, one after the other."""
@@ -58,15 +62,21 @@ class Machine:
         return self.bias + linear + 0.5 * (sums**2 - squares).sum(-1)
 
     def score_texts(self, texts: list[bytes | None]) -> np.ndarray:
-        if len(self.cache) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         words = [set((t or b"").split()) for t in texts]
         if new := set().union(*words).difference(self.cache):
             if not self.index:
                 self.index.update((int(b), i) for i, b in enumerate(self.known))
             for w in new:
-                self.cache[w] = tuple(self.index[b] for b in buckets_of(w) if b in self.index)
-        get = self.cache.__getitem__
+                if len(w) <= KEPT:
+                    self.cache[w] = at = tuple(self.index[b] for b in buckets_of(w) if b in self.index)
+                    self.held += len(w) + 8 * len(at) + ENTRY
+
+        def get(w: bytes) -> tuple[int, ...]:
+            return self.cache[w] if len(w) <= KEPT else tuple(self.index[b] for b in buckets_of(w) if b in self.index)
+
         found = [sorted(set().union(*map(get, w))) for w in words]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         raw = self.raw(np.array([i for x in found for i in x], dtype=np.int64), np.cumsum(sizes) - sizes)

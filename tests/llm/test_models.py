@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -219,3 +219,63 @@ def test_targets(spark, counts):
     got = {r.source: r.target for r in mixing.source_targets(df).collect()}
     want = brute_targets(counts)
     assert all(abs(got[s] - want[s]) < 1e-9 * max(1, want[s]) for s in want)
+
+
+def test_machine_equals_a_plain_pair_sum():
+    from quern.llm.toxicity import Machine
+
+    rng = np.random.default_rng(8)
+    m = Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    docs = [[0, 3, 5], [], [8], list(range(9)), [1, 2]]
+    flat, sizes = np.array([i for d in docs for i in d]), np.array(list(map(len, docs)))
+    plain = [0.3 + sum(m.weight[i] for i in d) + sum(float(m.factor[i] @ m.factor[j]) for a, i in enumerate(d) for j in d[a + 1 :]) for d in docs]
+    assert np.allclose(m.raw(flat, np.cumsum(sizes) - sizes), plain)
+
+
+def plain_kneser_ney(words, order, letters):
+    """Cost of a word by plain dictionaries of strings, as the docstring of language_id.fit() has it."""
+    marked = {f"\1{w}\1": n for w, n in words.items()}
+    models = []
+    for n in range(1, order + 1):
+        times, before = Counter(), defaultdict(set)
+        for w, k in marked.items():
+            for p in range(max(1, n - 1), len(w)):
+                times[w[p - n + 1 : p + 1]] += k
+                if n < order and p >= n:
+                    before[w[p - n + 1 : p + 1]].add(w[p - n])
+        amount = {g: len(before[g]) if g in before else k for g, k in times.items()}
+        n1, n2 = sum(v == 1 for v in amount.values()), sum(v == 2 for v in amount.values())
+        off = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
+        total, kinds = Counter(), Counter()
+        for g, v in amount.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        models.append((amount, off, total, kinds))
+
+    def cost(word):
+        w, out = f"\1{word}\1", 0.0
+        for p in range(1, len(w)):
+            prob = 1 / (len(letters) + 1)
+            for n, (amount, off, total, kinds) in enumerate(models, 1):
+                if p < n - 1:
+                    continue
+                g = w[p - n + 1 : p + 1]
+                if total[g[:-1]]:
+                    prob = max(amount.get(g, 0) - off, 0) / total[g[:-1]] * (g in amount) + off * kinds[g[:-1]] / total[g[:-1]] * prob
+            out -= np.log(prob)
+        return out
+
+    return cost
+
+
+def test_costs_equal_plain_kneser_ney():
+    from quern.llm.language_id import ORDER, fit
+
+    counts = {"en": {"the": 40, "then": 9, "other": 5, "there": 7, "a": 20, "than": 1}, "de": {"der": 30, "oder": 8, "andere": 3, "die": 25, "das": 20, "ändern": 1}}
+    models = fit(counts)
+    letters = set("".join(w for x in counts.values() for w in x)) | {"\1"}
+    words = ["the", "other", "oder", "xyz", "an", "t", "theretofore", "ändere"]
+    got, _ = models.costs(words)
+    for k, lang in enumerate(models.langs):
+        plain = plain_kneser_ney(counts[lang], ORDER, letters)
+        assert np.allclose(got[:, k], [plain(w) for w in words])
