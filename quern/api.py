@@ -1,29 +1,40 @@
 """The engine's verbs over a store folder: index, search, ingest, recall, review, coverage, doctor, forget, import.
 
-A store holds versioned tables (files, chunks, messages, vectors, ledger); a version is written beside the old one and
-then turned to, so that readers and failures never meet half a table.
+A store holds tables (files, chunks, identity, messages, vectors, postings, stats, ledger, archive) under one manifest:
+a change of several is written beside the old ones and then turned to at once, so that readers and failures never meet
+half of it; ingest adds parts and rewrites nothing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import store, verbs
 from quern.config import DEFAULTS, Settings
 from quern.functions import chunks as chunking
 from quern.functions import text as rules
 from quern.functions.globs import excluded
 from quern.functions.vectors import Embedder, embedder
-from quern.operators import fts, health, ingest, recall, reconcile, review, search
-from quern.sources import files
+from quern.operators import fts, health, ingest, recall, reconcile, review, search, state
+from quern.sources import files, sinks
+from quern.store import Store, staged
 
 SOURCES = ("memory", "sessions", "all")
+#: Number of the layout of the store's tables.
+SCHEMA = 2
 #: A component of a path that may come from outside: no separators, no dots alone, no control characters.
 SAFE = r"^(?!\.+$)[\p{L}\p{N}_.\-]{1,255}$"
 
 
+def prefix_of(root: str) -> str:
+    """A short name of an included folder, for its messages and its mark."""
+    return hashlib.sha256(root.rstrip("/").encode()).hexdigest()[:16]
+
+
 def is_safe(component: Column) -> Column:
     return F.coalesce(component.rlike(SAFE), F.lit(False))
 
@@ -52,27 +63,30 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str, settings: Settings = DEFAULTS, model: Embedder | None = None, exclude: list[str] = ()):
         self.spark, self.store, self.s, self.exclude = spark, store.rstrip("/"), settings, list(exclude)
         self.model = model or embedder("hashing", settings.dim)
+        self.db = Store(spark, self.store)
 
     # ------------------------------------------------------------------ tables
 
     def has(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}/CURRENT")
-        return bool(at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+        return self.db.has(name)
 
     def table(self, name: str) -> DataFrame:
-        return reconcile.read_current(self.spark, f"{self.store}/{name}")
+        return self.db.table(name)
 
-    def put(self, name: str, df: DataFrame) -> None:
-        root = f"{self.store}/{name}"
-        version = int(self.spark.read.text(f"{root}/CURRENT").first()[0]) + 1 if self.has(name) else 1
-        reconcile.write_version(df, root, version)
+    def identity(self) -> DataFrame:
+        """One row: by which model and in what width vectors are made, and when the index was made last."""
+        return self.spark.createDataFrame([(type(self.model).__name__, self.model.dim, SCHEMA, self.s.now)], "model string, dim int, schema int, indexed_at timestamp_ntz")
 
     # ------------------------------------------------------------------ notes
 
     def _disk(self, home: str) -> DataFrame:
-        raw = files.memory_files(self.spark, home).select("path", "rel", "content", F.sha2("content", 256).alias("hash"))
+        raw = files.memory_files(self.spark, home).select("path", "rel", "content", "mtime_unix", F.sha2("content", 256).alias("hash"))
         return raw.join(files.notes(raw), "path").withColumn("file_path", F.concat(F.lit("/m/"), "rel"))
 
+    @staticmethod
+    def _files(disk: DataFrame) -> DataFrame:
+        return disk.select("file_path", "hash", "ok", "reason", "mtime_unix")
+
     def _chunks(self, notes: DataFrame) -> DataFrame:
         """Chunks of notes with their vectors; a note without a body is one chunk of its name and description."""
         cut = chunking.chunks(notes.select("file_path", "body"), "file_path", "body", self.s.chunk_bytes)
@@ -84,8 +98,7 @@ class Engine:
     def build_index(self, home: str) -> DataFrame:
         """A full rebuild; the old index stays until the new one stands. Returns counters by disposition."""
         disk = self._disk(home)
-        self.put("files", disk.select("file_path", "hash", "ok", "reason"))
-        self.put("chunks", self._chunks(disk.where("ok")))
+        self.db.commit({"files": self._files(disk), "chunks": self._chunks(disk.where("ok")), "identity": self.identity()})
         return self.table("files").groupBy(F.when(F.col("ok"), "indexed").otherwise(F.concat(F.lit("skipped: "), "reason")).alias("disposition")).agg(F.count("*").alias("n"))
 
     def update_index(self, home: str) -> DataFrame:
@@ -94,13 +107,12 @@ class Engine:
             self.build_index(home)
         disk = self._disk(home)
         old = self.table("files").where("ok").select(F.col("file_path").alias("path"), "hash")
-        actions = reconcile.index_diff(disk.select(F.col("file_path").alias("path"), "hash", "ok"), old)
+        actions = staged(reconcile.index_diff(disk.select(F.col("file_path").alias("path"), "hash", "ok"), old), "actions")
         touched = actions.where("action not in ('keep', 'invalid')").select(F.col("path").alias("file_path"))
         again = disk.where("ok").join(touched, "file_path", "left_semi")
-        plan = actions.collect()  # one row a note file
-        self.put("chunks", reconcile.replace_rows(self.table("chunks"), self._chunks(again), "file_path", touched))
-        self.put("files", disk.select("file_path", "hash", "ok", "reason"))
-        return self.spark.createDataFrame(plan, "path string, action string")
+        chunks = reconcile.replace_rows(self.table("chunks"), self._chunks(again), "file_path", touched)
+        self.db.commit({"chunks": chunks, "files": self._files(disk), "identity": self.identity()})
+        return actions
 
     # ------------------------------------------------------------------ transcripts
 
@@ -115,40 +127,99 @@ class Engine:
         lines = files.transcripts(self.spark, path).join(todo.select(F.col("path").alias("jsonl_path")), "jsonl_path", "left_semi")
         told = ingest.messages(lines)
         good = told.where("disposition = 'message'").where(is_safe(F.col("session_id"))).drop("kind", "disposition")
+        told_, listing = staged(ingest.counters(told), "counters"), staged(listing, "listing")
+        self._add_messages(good, {"ledger": listing})
+        return told_
+
+    def _add_messages(self, rows: DataFrame, put: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Adds the messages that the store lacks, with their vectors and postings, all in one version."""
         old = self.table("messages") if self.has("messages") else None
-        new = ingest.first_writer(good, old)
-        counts = ingest.counters(told).collect()  # a handful of rows
-        self.put("messages", new if old is None else old.unionByName(new))
-        self.embed_missing()
-        self.put("ledger", listing)
-        return self.spark.createDataFrame(counts, "disposition string, n long")
-
-    def embed_missing(self) -> None:
-        """Vectors for the messages that lack one."""
+        new = ingest.first_writer(rows, old)
+        new = staged(new if old is None else new.select(*old.columns), "new")
+        text = F.col("content")
+        add = {"messages": new, "vectors": self.model.embed(new.select("message_uuid", "content"), "message_uuid", text), "postings": fts.postings(new, "message_uuid", text, True), "stats": fts.doc_stats(new, "message_uuid", text)}
+        self.db.commit(put, add)
+        return new
+
+    def embed_missing(self) -> int:
+        """Adds vectors for the messages that lack one; how many. What is stored is never embedded again."""
         rows = self.table("messages").select("message_uuid", "content")
-        old = self.table("vectors") if self.has("vectors") else None
-        todo = rows if old is None else ingest.unembedded(rows, old, "message_uuid")
-        new = self.model.embed(todo, "message_uuid", F.col("content"))
-        self.put("vectors", new if old is None else old.unionByName(new))
+        todo = staged(ingest.unembedded(rows, self.table("vectors"), "message_uuid"), "todo")
+        many = todo.count()
+        if many:
+            made = staged(self.model.embed(todo, "message_uuid", F.col("content")), "made")
+            if made.count() != many:
+                raise RuntimeError(f"{many} messages gave {made.count()} vectors")
+            self.db.commit(add={"vectors": made})
+        return many
+
+    def upsert_vectors(self, rows: DataFrame) -> None:
+        """Replaces the vectors of the rows' messages (message_uuid, embedding) and adds those that are new."""
+        self.db.commit({"vectors": reconcile.replace_rows(self.table("vectors"), rows.select("message_uuid", "embedding"), "message_uuid", rows)})
+
+    def rebuild_fts(self) -> None:
+        """Postings and lengths of all messages, made anew."""
+        m, text = self.table("messages"), F.col("content")
+        self.db.commit({"postings": fts.postings(m, "message_uuid", text, True), "stats": fts.doc_stats(m, "message_uuid", text)})
 
     def forget(self, session: str) -> None:
-        """Drops a session from every table; an unknown one is an error."""
+        """Drops a session from every table and from the archive, in one version; an unknown one is an error."""
         gone = self.spark.createDataFrame([(session,)], "session_id string")
         m = self.table("messages")
-        if m.where(F.col("session_id") == session).isEmpty():
+        ids = staged(m.join(gone, "session_id", "left_semi").select("message_uuid", "jsonl_path"), "forgotten")
+        archived = self.table("archive").where(F.col("session_id") == session) if self.has("archive") else None
+        if ids.isEmpty() and (archived is None or archived.isEmpty()):
             raise KeyError(f"no session {session!r}")
-        kept = reconcile.forget({"messages": m}, gone)["messages"]
-        vectors = self.table("vectors").join(m.join(gone, "session_id", "left_semi").select("message_uuid"), "message_uuid", "left_anti")
-        self.put("vectors", vectors)
-        self.put("messages", kept)
+        without = lambda t: self.table(t).join(ids.select("message_uuid"), "message_uuid", "left_anti")
+        put = {"messages": reconcile.forget({"m": m}, gone)["m"]} | {t: without(t) for t in ("vectors", "postings", "stats") if self.has(t)}
+        if self.has("ledger"):
+            put["ledger"] = self.table("ledger").join(ids.select(F.col("jsonl_path").alias("path")).distinct(), "path", "left_anti")
+        if archived is not None:
+            put["archive"] = self.table("archive").where(~F.col("session_id").eqNullSafe(session))
+        self.db.commit(put)
+
+    # ------------------------------------------------------------------ archive
+
+    def archive(self, path: str) -> DataFrame:
+        """Keeps the bytes of transcripts that may go from disk; counters by what was done.
+
+        The archive's rows are path, cwd, session_id, data, mtime_unix, size_bytes and origin. Unchanged files are
+        skipped, grown ones and backfilled ones replaced, others of the same name kept beside the old one under a name
+        with their content's hash. Files whose folder (cwd) is excluded now are neither taken nor left in it; one
+        whose folder cannot be told stays.
+        """
+        raw = files.files(self.spark, path, "*.jsonl").select("path", "mtime_unix", "size_bytes", F.col("content").alias("data"))
+        lines = files.transcripts(self.spark, path)
+        where = ingest.transcript_cwd(lines).withColumnRenamed("jsonl_path", "path")
+        session = lines.where("line_number <= 50").select(F.col("jsonl_path").alias("path"), F.get_json_object("raw", "$.sessionId").alias("session_id")).groupBy("path").agg(F.max("session_id").alias("session_id"))
+        shut = F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False))
+        live = raw.join(where, "path", "left").join(session, "path", "left").where(~shut)
+        old = self.table("archive") if self.has("archive") else None
+        shape = "path string, cwd string, session_id string, data binary, mtime_unix long, size_bytes long, origin string"
+        held = old if old is not None else self.spark.createDataFrame([], shape)
+        decided = staged(reconcile.archive_reconcile(live, held.select("path", "data"), held.select("path", "mtime_unix", "size_bytes", "origin")), "decided")
+        taken = decided.where("action <> 'skipped_unchanged'").join(live, "path").select(F.coalesce("sidecar", "path").alias("path"), "cwd", "session_id", "data", "mtime_unix", "size_bytes", F.lit("live").alias("origin"))
+        open_ = held.where(~shut)
+        self.db.commit({"archive": open_.join(taken.select("path"), "path", "left_anti").unionByName(taken)})
+        removed = held.where(shut).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("removed_excluded").alias("action"), "n")
+        return decided.groupBy("action").agg(F.count("*").alias("n")).unionByName(removed)
+
+    def backfill(self) -> DataFrame:
+        """Sessions of the index that the archive lacks, put together again and archived; session_id and n_lines."""
+        held = self.table("archive").select("session_id") if self.has("archive") else self.spark.createDataFrame([], "session_id string")
+        lines = ingest.to_jsonl(self.table("messages").join(held.distinct(), "session_id", "left_anti"))
+        made = staged(reconcile.reassemble(lines.withColumnsRenamed({"raw": "content"}).withColumn("message_uuid", F.lit(""))), "backfilled")
+        data = F.col("body").cast("binary")
+        rows = made.select(F.concat(F.lit("backfill/"), "session_id", F.lit(".jsonl")).alias("path"), F.lit(None).cast("string").alias("cwd"), "session_id", data.alias("data"), F.lit(0).cast("long").alias("mtime_unix"), F.octet_length("body").cast("long").alias("size_bytes"), F.lit("backfill").alias("origin"))
+        self.db.commit(add={"archive": rows})
+        return made.select("session_id", "n_lines")
 
     # ------------------------------------------------------------------ search
 
     def _session_hits(self, query: str, n: int) -> tuple[DataFrame, DataFrame]:
-        m = self.table("messages")
-        keys = m.select("session_id", "message_uuid")
+        keys = self.table("messages").select("session_id", "message_uuid")
         phrases = fts.stem_phrases(fts.query_phrases(query))
-        words = fts.bm25(m, "message_uuid", F.col("content"), phrases, stemmed=True).orderBy(F.desc("score"), "message_uuid").limit(n)
+        words = fts.bm25_phrases(self.table("postings"), self.table("stats"), "message_uuid", phrases).orderBy(F.desc("score"), "message_uuid").limit(n)
         near = search.cosine_topk(self.table("vectors"), self.model.embed_query(query), n, "message_uuid").select("message_uuid", F.col("cosine_score").alias("score"))
         return (words.join(keys, "message_uuid").withColumn("rank", F.lit(0)), near.join(keys, "message_uuid").withColumn("rank", F.lit(0)))
 
@@ -172,11 +243,125 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def suspect_index(self, query: str) -> bool:
+        """Whether a search that finds nothing should not be believed: rows are stored, and none was merely filtered."""
+        stored = sum(self.table(t).count() for t in ("chunks", "messages") if self.has(t))
+        if not stored or not self.search(query).isEmpty():
+            return False
+        return health.silent_empty(stored, 0, self.search(query, include_invalidated=True).count())
+
+    # ------------------------------------------------------------------ lookups
+
+    def file(self, file_path: str) -> DataFrame:
+        return self.table("files").where(F.col("file_path") == file_path)
+
+    def chunks_of(self, file_path: str) -> DataFrame:
+        return self.table("chunks").where(F.col("file_path") == file_path).orderBy("chunk_no").drop("embedding")
+
+    def width(self) -> int | None:
+        """Width of the stored vectors; None where there is none."""
+        row = self.table("chunks").select(F.size("embedding").alias("n")).first() if self.has("chunks") else None
+        return row["n"] if row else None
+
+    def last_indexed(self) -> DataFrame:
+        """One row: when the index was made last, and the newest time of its files."""
+        newest = self.table("files").agg(F.max("mtime_unix").alias("newest_mtime"))
+        return self.table("identity").agg(F.max("indexed_at").alias("indexed_at")).join(F.broadcast(newest))
+
+    # ------------------------------------------------------------------ notes and tasks on disk
+
+    def capture(self, home: str, layer: str, filename: str, name: str, description: str, body: str | None = None, tags: list[str] = (), aliases: list[str] = (), project: str | None = None, valid_from: str | None = None, force: bool = False) -> str:
+        """Writes a new note and indexes it; refused where the file exists or a known chunk is a near-duplicate."""
+        path = verbs.note_path(home, layer, filename, project)
+        if store.exists(self.spark, path):
+            raise FileExistsError(path)
+        text = body or f"# {name}\n\n{description}\n"
+        if not force and self.has("chunks"):
+            note = self.spark.createDataFrame([("new", name, text if chunking.chunk(text, 1 << 30) else None)], "note_id string, name string, body string")
+            hit = self.near_duplicates(note).first()
+            if hit:
+                raise ValueError(f"a note like this is known: chunk {hit.hit['nearest']}, similarity {hit.hit['similarity']:.3f}")
+        if not store.create(self.spark, path, verbs.note_text(layer, name, description, self.s.now, body, tags, aliases, valid_from).encode()):
+            raise FileExistsError(path)
+        self.update_index(home)
+        return path
+
+    def confirm(self, home: str, rel: str) -> None:
+        verbs.confirm_note(self.spark, f"{home.rstrip('/')}/{rel}", self.s.today)
+        self.update_index(home)
+
+    def suspect(self, home: str, rel: str, reason: str | None = None) -> None:
+        verbs.suspect_note(self.spark, f"{home.rstrip('/')}/{rel}", self.s.now, reason)
+        self.update_index(home)
+
+    def invalidate(self, home: str, rel: str, at: str | None = None, reason: str | None = None) -> None:
+        verbs.invalidate_note(self.spark, f"{home.rstrip('/')}/{rel}", self.s.now, at, reason)
+        self.update_index(home)
+
+    def migrate(self, root: str, home: str) -> DataFrame:
+        """Writes older notes (folders named memory) into the home, one of each body that is not there; path and target.
+
+        Bodies are compared by hash in tables; a note is one small file, written through the file system.
+        """
+        raw = files.legacy_notes(self.spark, root)
+        notes = files.notes(raw).where("ok").join(raw.select("path", "dir"), "path")
+        known = files.notes(files.memory_files(self.spark, home)).select(reconcile.body_hash(F.col("body")).alias("body_hash")) if self.has("files") else self.spark.createDataFrame([], "body_hash string")
+        layer = files.legacy_layer(F.col("type"))
+        slug = rules.slug(F.regexp_replace("dir", "/memory$", ""))
+        new = reconcile.new_bodies(notes, known).withColumns({"layer": layer, "target": files.legacy_target(F.element_at(F.split("path", "/"), -1), slug, layer)})
+        rows = []
+        for r in new.orderBy("path").toLocalIterator():
+            path = verbs.note_path(home, r["layer"], r["target"])
+            if store.create(self.spark, path, verbs.note_text(r["layer"], r["name"], r["description"], self.s.now, "\n" + r["body"] + "\n", r["tags"], r["aliases"]).encode()):
+                rows.append((r["path"], path))
+        self.update_index(home)
+        return self.spark.createDataFrame(rows, "path string, target string")
+
+    def tasks(self, home: str) -> DataFrame:
+        return state.task_list(files.tasks(self.spark, f"{home.rstrip('/')}/tasks"))
+
+    # ------------------------------------------------------------------ bootstrap
+
+    def bootstrap(self, folder: str, scope: dict | None = None, top_n: int = 30, probes: tuple[str, ...] = rules.PROBES) -> dict | None:
+        """Plans batches of candidates by project and writes a review file for each; goes on with a plan that was begun.
+
+        scope: slugs and days. A plan of another scope is refused. The plan is saved before the first file and after
+        each, so that a crash leaves what is done; a batch is done when finish_batch() says so.
+        """
+        folder, scope = folder.rstrip("/"), {"slugs": sorted((scope or {}).get("slugs", [])), "days": (scope or {}).get("days", self.s.scope_days)}
+        at = f"{folder}/plan.json"
+        plan = verbs.load_plan(self.spark, at)
+        if plan is not None and plan["scope"] != scope:
+            raise ValueError(f"the plan {at} has another scope: {plan['scope']}")
+        fresh = self.recall_candidates(probes).where("not captured").withColumn("ts", F.timestamp_seconds("timestamp_unix").cast("timestamp_ntz"))
+        import dataclasses
+
+        found = staged(recall.apply_scope(fresh, scope["slugs"], self.s.now, dataclasses.replace(self.s, scope_days=scope["days"])), "candidates")
+        if plan is None:
+            batches = [r.slug for r in recall.batches(found).orderBy("slug").collect()]  # projects among a bounded number of candidates
+            if not batches:
+                return None
+            plan = {"version": verbs.PLAN_VERSION, "scope": scope, "batches": batches, "completed": [], "written": 0, "model": type(self.model).__name__, "created": self.s.now.isoformat()}
+            verbs.save_plan(self.spark, at, plan)
+        for b in verbs.open_batches(plan):
+            path = f"{folder}/review-{b}.md"
+            if store.exists(self.spark, path):
+                continue
+            mine = found.where(F.col("slug") == b)
+            ranked = recall.top_n(mine.withColumn("command", rules.capture_command(F.col("content"))), top_n, F.desc("score"), "message_uuid")
+            shown = recall.by_layer(ranked.withColumn("content", rules.one_line(F.col("content"))), F.desc("score"), "message_uuid")
+            store.create(self.spark, path, sinks.render_review(shown.select("layer", "layer_order", "rank", "content", "command", "status")).encode())
+            plan["written"] += mine.count()
+            verbs.save_plan(self.spark, at, plan)
+        return plan
+
     # ------------------------------------------------------------------ curation
 
     def near_duplicates(self, notes: DataFrame, least: float | None = None) -> DataFrame:
         """First conflicting chunk of each new note (note_id, body) with what is known."""
         cut = chunking.chunks(notes, "note_id", "body", self.s.chunk_bytes).withColumn("key", F.xxhash64("note_id", "chunk_no"))
+        if "name" in notes.columns:  # as the index embeds them
+            cut = cut.join(notes.select("note_id", "name"), "note_id").withColumn("text", chunking.embedding_text(F.col("name"), F.col("text")))
         vec = self.model.embed(cut, "key", F.col("text"))
         return recall.first_conflict(cut.join(vec, "key").select("note_id", "chunk_no", "embedding"), self.table("chunks").select(F.col("chunk_id").alias("corpus_id"), "embedding"), least or self.s.capture_similarity)
 
@@ -206,19 +391,54 @@ class Engine:
         disk = every.join(walked, "path", "left").fillna({"ok": False, "walked": False})
         return health.coverage(disk, self.table("chunks").select(F.col("file_path").alias("path")).distinct())
 
-    def doctor(self, home: str) -> DataFrame:
+    def doctor(self, home: str, scope_file: str | None = None, archive_path: str | None = None) -> DataFrame:
         """label, detail, status and remedy of every check."""
         health.check_dimension(self.table("chunks"), "embedding", self.model.dim)
+        other = self.table("identity").where((F.col("model") != type(self.model).__name__) | (F.col("dim") != self.model.dim) | (F.col("schema") != SCHEMA))
         checks = {
             "notes that search cannot see": (self.coverage(home), "update the index"),
             "indexed notes without chunks": (health.files_without_chunks(self.table("files").where("ok").select("file_path"), self.table("chunks")), "rebuild the index"),
+            "index made by another model or schema": (other, "rebuild the index"),
+            "chunks that do not find themselves": (self.lost_chunks(), "rebuild the index"),
         }
         if self.has("messages"):
             m, v = self.table("messages"), self.table("vectors")
             checks["messages without a vector"] = (ingest.unembedded(m.select("message_uuid"), v, "message_uuid"), "embed what is missing")
             checks["vectors without a message"] = (v.select("message_uuid").join(m.select("message_uuid"), "message_uuid", "left_anti"), "rebuild the vectors")
+            stray, missing = fts.consistency(m, self.table("postings").select("message_uuid"), "message_uuid", F.col("content"))
+            checks["postings without a message"] = (stray, "rebuild the keyword index")
+            checks["messages that are not in the keyword index"] = (missing, "rebuild the keyword index")
+        if archive_path:
+            live = files.files(self.spark, archive_path, "*.jsonl").select("path")
+            held = self.table("archive").select("path") if self.has("archive") else live.limit(0)
+            checks["transcripts that are not archived"] = (live.join(held, "path", "left_anti"), "archive them")
+            label = verbs.cloud_of(self.store)
+            checks["the archive lies in a folder that is copied elsewhere" + (f": {label}" if label else "")] = (self.spark.range(1 if label else 0), "move the store")
+        if scope_file:
+            checks["included files that are not imported"] = (self.unimported(scope_file), "import the included folders")
         return health.findings(checks)
 
+    def archive_facts(self) -> DataFrame:
+        """One row: sessions and files in the archive, the newest file's time and the bytes."""
+        return self.table("archive").agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("files"), F.max("mtime_unix").alias("newest"), F.sum("size_bytes").alias("bytes"))
+
+    def lost_chunks(self, every: int = 64, top: int = 3) -> DataFrame:
+        """Of one in so many stored chunks, those that a search by their own vector does not bring up among the first."""
+        rows = self.table("chunks").select("chunk_id", "embedding")
+        asked = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0).orderBy("chunk_id").limit(32)
+        hits = search.probes_topk(rows, asked.select(F.col("chunk_id").alias("probe"), F.col("embedding").alias("query")), top, "chunk_id")
+        # a chunk of the same text may stand before it
+        best = hits.groupBy("probe").agg(F.max("cosine_score").alias("best"), F.count_if(F.col("probe") == F.col("chunk_id")).alias("found"))
+        return best.where("found = 0 and best < 0.999").select("probe")
+
+    def unimported(self, scope_file: str) -> DataFrame:
+        """Files of the included folders that no message was made of."""
+        out = self.spark.createDataFrame([], "message_uuid string, rel_to_source string")
+        for root, found in self._included(scope_file):
+            rows = ingest.document_messages(found, prefix_of(root)).select("message_uuid").join(self.table("messages").select("message_uuid"), "message_uuid", "left_anti")
+            out = out.unionByName(rows.withColumn("rel_to_source", F.lit(root)))
+        return out
+
     def probe(self, related: tuple[str, str], unrelated: str) -> bool:
         """Whether the embedder tells a related pair from an unrelated one by the margin."""
         a, b, c = (self.model.embed_query(t) for t in (*related, unrelated))
@@ -227,16 +447,45 @@ class Engine:
 
     # ------------------------------------------------------------------ import
 
+    def _import(self, found: DataFrame, prefix: str) -> DataFrame:
+        rows = ingest.document_messages(found, prefix).drop("type").withColumns({"timestamp_unix": F.try_to_timestamp("timestamp_iso").cast("long"), "jsonl_path": F.concat(F.lit(f"import:{prefix}/"), "session_id"), "line_number": F.lit(1)})
+        return self._add_messages(rows)
+
     def import_documents(self, root: str, prefix: str, deny: tuple[str, ...] = ()) -> DataFrame:
         """Messages of a tree of text files, one session a folder; first writer wins as for transcripts."""
-        found = files.sessions(files.text_files(self.spark, root, s=self.s, deny=deny), root)
-        rows = ingest.document_messages(found, prefix).drop("type").withColumns({"timestamp_unix": F.try_to_timestamp("timestamp_iso").cast("long"), "jsonl_path": F.concat(F.lit(f"import:{prefix}/"), "session_id"), "line_number": F.lit(1)})
-        old = self.table("messages") if self.has("messages") else None
-        new = ingest.first_writer(rows, old)
-        self.put("messages", new if old is None else old.unionByName(new.select(*old.columns)))
-        self.embed_missing()
+        self._import(files.sessions(files.text_files(self.spark, root, s=self.s, deny=deny), root), prefix)
         return self.table("messages").where(F.col("jsonl_path").startswith(f"import:{prefix}/"))
 
+    def _included(self, scope_file: str):
+        dirs, deny = verbs.scope(self.spark, scope_file)
+        for root in dirs:
+            if store.exists(self.spark, root):
+                yield root, files.sessions(files.text_files(self.spark, root, s=self.s, deny=tuple(deny)), root)
+
+    def import_included(self, scope_file: str) -> DataFrame:
+        """Imports every included folder whose files have changed since the last time; root and what was done."""
+        done = []
+        for root in verbs.scope(self.spark, scope_file)[0]:
+            if not store.exists(self.spark, root):
+                done.append((root, "missing"))
+        for root, found in self._included(scope_file):
+            listing = found.select(F.lit(root).alias("root"), F.col("rel_to_source").alias("path"), "mtime_unix", F.octet_length("text").alias("size_bytes"))
+            row = review.manifest_hash(listing, "root").first()
+            mark = f"{self.store}/included-{prefix_of(root)}"
+            now = row["manifest"] if row else ""
+            if store.exists(self.spark, mark) and store.read_small(self.spark, mark) == now:
+                done.append((root, "unchanged"))
+                continue
+            self._import(found, prefix_of(root))
+            if not store.create(self.spark, mark, now.encode()):  # after the import: a crash before it repeats the import
+                store.replace(self.spark, mark, now.encode())
+            done.append((root, "imported"))
+        return self.spark.createDataFrame(done, "root string, done string")
+
+    def count_transcripts(self, root: str, most: int = 10_000) -> int:
+        """Transcripts below a folder, counted up to a limit; a listing alone, no file is read."""
+        return files.files(self.spark, root, "*.jsonl").select("path").limit(most).count() if store.exists(self.spark, root) else 0
+
     def discover_dirs(self, root: str) -> DataFrame:
         """Folders with text below root, those with most notes first."""
         found = files.text_files(self.spark, root, s=self.s)

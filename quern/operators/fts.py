@@ -27,12 +27,13 @@ def query_phrases(query: str) -> list[list[str]]:
     return found
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """term, id, positions of every token."""
-    return docs.select(F.col(id_col), F.posexplode(tokens(text)).alias("position", "term")).groupBy("term", id_col).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+def postings(docs: DataFrame, id_col: str, text: Column, stemmed: bool = False) -> DataFrame:
+    """term, id, positions of every token, or of every token's stem."""
+    return docs.select(F.col(id_col), (stems(text) if stemmed else tokens(text)).alias("toks")).select(F.col(id_col), F.posexplode("toks").alias("position", "term")).groupBy("term", id_col).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def doc_stats(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """id and number of tokens; stems are as many as their tokens."""
     return docs.select(F.col(id_col), F.size(tokens(text)).alias("dl"))
 
 
@@ -77,6 +78,36 @@ def bm25_indexed(index: DataFrame, stats: DataFrame, id_col: str, terms: list[st
     return scored.groupBy(id_col).agg(F.sum("part").alias("score"), F.count("*").alias("found")).where(F.col("found") == len(set(terms))).select(id_col, "score")
 
 
+def bm25_phrases(index: DataFrame, stats: DataFrame, id_col: str, phrases: list[list[str]]) -> DataFrame:
+    """bm25() over a stored index: the query's postings only are read, and meet by row; a row's are bounded by the query."""
+    if not phrases:
+        return stats.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    terms = sorted({t for p in phrases for t in p})
+    met = index.where(F.col("term").isin(*terms)).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+    empty = F.array().cast("array<int>")
+    at = lambda t: F.coalesce(F.element_at("m", F.lit(t)), empty)
+
+    def times(phrase: list[str]) -> Column:
+        def whole(p: Column) -> Column:
+            hit = F.lit(True)
+            for k, t in enumerate(phrase[1:], 1):
+                hit = hit & F.array_contains(at(t), p + k)
+            return hit
+
+        return F.size(F.filter(at(phrase[0]), whole))
+
+    tf = met.select(id_col, *[times(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    seen = tf.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
+    total = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).join(F.broadcast(seen))
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(len(phrases)):
+        f, d = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(FLOOR))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        every = every & (F.col(f"tf{i}") > 0)
+    return tf.join(stats, id_col).join(F.broadcast(total)).where(every).select(id_col, score.alias("score"))
+
+
 # -------------------------------------------------------------------------------- Porter's algorithm of 1980
 
 VOWELS = "aeiou"

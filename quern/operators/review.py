@@ -26,6 +26,15 @@ def review_tag(ref: Column, s: Settings = DEFAULTS) -> Column:
     return F.when(age.isNull() | (age > s.confirm_days), " [review?]").otherwise("")
 
 
+def confidence_tag(relative: Column, invalidated_at: Column, suspected_at: Column, suspect_reason: Column, last_confirmed: Column) -> Column:
+    """What to know of a hit: suspected since when and why, confirmed when or never; nothing of an invalidated one."""
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    why = F.when(filled(suspect_reason), F.concat(F.lit(" — "), suspect_reason)).otherwise("")
+    doubt = F.when(filled(suspected_at), F.concat(F.lit(" ⚠ suspected (since "), suspected_at, why, F.lit(")"))).otherwise("")
+    sure = F.when(filled(last_confirmed), F.concat(F.lit(" · confirmed "), F.coalesce(relative, last_confirmed))).otherwise(" · unconfirmed")
+    return F.when(filled(invalidated_at), "").otherwise(F.concat(doubt, sure))
+
+
 def confidence(files: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Live always-notes to hedge: suspected, then overdue, then never confirmed; the first few shown, the rest counted."""
     ref = to_date(F.col("last_confirmed"))
@@ -84,6 +93,30 @@ def distinct_snippets(notes: DataFrame, text_col: str, *order: str) -> DataFrame
     return notes.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
+def is_stale(last_success: Column, now: dt.datetime, days: int = 14) -> Column:
+    """No check has succeeded for so long; never counts as stale, a time still to come does not."""
+    return last_success.isNull() | (last_success <= F.lit(now - dt.timedelta(days=days)))
+
+
+def dismissed(version: Column, dismissed_version: Column) -> Column:
+    """A notice that was dismissed for just this version."""
+    return F.coalesce(version == dismissed_version, F.lit(False))
+
+
+def missing_handlers(settings: DataFrame, expected: list[str], json_col: str = "settings") -> DataFrame:
+    """Expected handler names (handler) that no command of nested settings JSON (hooks: event, blocks, hooks) names."""
+    blocks = F.from_json(F.get_json_object(json_col, "$.hooks"), "map<string, array<struct<hooks: array<struct<command: string>>>>>")
+    wired = wired_commands(settings.select(blocks.alias("events")))
+    spark = settings.sparkSession
+    return spark.createDataFrame([(x,) for x in expected], "handler string").join(wired.select("handler").distinct(), "handler", "left_anti")
+
+
+def wired_commands(events: DataFrame) -> DataFrame:
+    """event and handler (file name of a command's program) of nested settings."""
+    each = events.select(F.explode("events").alias("event", "blocks")).select("event", F.explode("blocks").alias("b")).select("event", F.explode("b.hooks").alias("h"))
+    return each.select("event", F.explode(F.regexp_extract_all("h.command", F.lit(r"([\w.-]+\.(?:sh|py))"), F.lit(1))).alias("handler")).distinct()
+
+
 def throttle_due(last: Column, now: dt.datetime, hours: int = 24) -> Column:
     """Due if never, long ago, or at a time still to come."""
     return last.isNull() | (last > F.lit(now)) | (last <= F.lit(now - dt.timedelta(hours=hours)))
