@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,14 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.store import scratch, staged  # noqa: F401
+
 #: Rows and bytes of text that a Python worker handles at once; memory, not results, depends on them.
 CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_unset: dict[str, str] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -31,29 +27,6 @@ def keep(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names in spark.checkpoint.dir."""
-    key = "spark.checkpoint.dir"
-    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not base:  # no cluster has named a folder, as in tests: one for this application
-        app = spark.sparkContext.applicationId
-        base = _unset.get(app) or _unset.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quern-"))
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rerun."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the table stands for its shuffles: their files may go with the write
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished stages now: it does so when the driver's JVM collects them."""
     gc.collect()
@@ -140,7 +113,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             label = up
         else:
             after = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            label = staged(label.join(after, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            old, label = label, staged(label.join(after, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            drop_staged(old)
         x, y = up.select(F.col("node").alias("u"), F.col("label").alias("x")), up.select(F.col("node").alias("v"), F.col("label").alias("y"))
-        rest = staged(rest.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        before, rest = rest, staged(rest.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        drop_staged(before)
+        if label is not up:
+            drop_staged(up)
     return label if label is not None else rest.select(F.col("u").alias("node"), F.col("v").alias("label"))
