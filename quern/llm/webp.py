@@ -162,6 +162,36 @@ def distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+#: Images of so many pixels, palettes above all, are read with one number for all their bits.
+SMALL_IMAGE = 256
+
+
+def read_literals(r: Reader, group: list[Code], out: list[int]) -> int:
+    """Fills out with pixels up to the first that is no literal; how many."""
+    base = r.at >> 3
+    value, at = int.from_bytes(r.data[base : base + 8 * len(out) + 8], "little") >> (r.at & 7), 0
+    codes = [(shift, c.only, *c.lists(), (1 << c.top) - 1) for shift, c in zip((8, 16, 0, 24), group[:4], strict=True)]
+    used = 0
+    for i in range(len(out)):
+        pixel, now = 0, used
+        for shift, only, symbols, sizes, mask in codes:
+            if only is None:
+                w = value >> now & mask
+                now += sizes[w]
+                s = symbols[w]
+            else:
+                s = only
+            if s >= LITERALS:
+                r.at += used
+                return i
+            pixel |= s << shift
+        out[i], used = pixel, now
+    r.at += used
+    if r.at > r.end:
+        raise Damaged("the stream ends early")
+    return len(out)
+
+
 def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = r.read(4) if r.read(1) else 0
     if cache_bits > 11:
@@ -175,6 +205,8 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         return read_green(r, groups[0], width, width * height)
     n, at = width * height, 0
     out = [0] * n
+    if tiles is None and not cache_bits and n <= SMALL_IMAGE:
+        at = read_literals(r, groups[0], out)
     cache, cached = [0] * (1 << cache_bits), 0  # pixels before cached are in the cache
     tile_row = -(-width >> tile_bits)
     tile_list = tiles.tolist() if tiles is not None else None
@@ -320,6 +352,10 @@ def predicted(mode: int, left: list[int], up: list[int], right: list[int], corne
 def predict(c: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     """Adds the predictions to residuals, or with forward subtracts them from pixels. c: height, width, 4."""
     height, width, _ = c.shape
+    if not forward and (modes == 1).all():  # sums from the left, below the corner from above
+        first = np.cumsum(c[:, 0], axis=0, dtype=np.uint8)
+        first[:, 3] += np.uint8(255)
+        return np.cumsum(np.concatenate([first[:, None], c[:, 1:]], axis=1), axis=1, dtype=np.uint8)
     source = c.tolist()
     made = [[[0, 0, 0, 0]] * width for _ in range(height)]
     real = source if forward else made
@@ -562,41 +598,149 @@ def encode(image: np.ndarray, predictor: np.ndarray | None = None, colour: np.nd
     return riff(w.value.to_bytes(-(-w.n // 8), "little"))
 
 
-@lru_cache(maxsize=1)
-def text_codes() -> tuple[int, int, Code, Code]:
-    """Bits (value, number) from the transforms to the last code of a grey image of text, and its two codes.
+def put_only(w: Writer, symbol: int) -> None:
+    """A code of one symbol, which takes no bits."""
+    w.put(1 | 4, 3)
+    w.put(symbol, 8)
+
 
-    Weights by rule: blanks, then small letters by the usual order of frequency, then other characters.
+@lru_cache(maxsize=4)
+def sample_lengths(kind: str) -> tuple[int, ...]:
+    """Fixed code lengths of green samples and references, by rule.
+
+    text: blanks, then small letters by the usual order of frequency, then other characters; rank: samples that are
+    numbered by how often they are; step: differences around zero; flat: all alike.
     """
     weights = [1] * (LITERALS + LENGTHS)
-    for i in range(128, 192):
-        weights[i] = 24
-    for i in range(32, 127):
-        weights[i] = 24
-    for i, c in enumerate(b" etnaohirsdluf"):
-        weights[c] = 6000 - 420 * i
-    for c in b"cmgpbywv":
-        weights[c] = 400
-    for c in b".,\n\xc3":
-        weights[c] = 200
-    weights[255] = 8
+    if kind == "text":
+        for i in range(128, 192):
+            weights[i] = 24
+        for i in range(32, 127):
+            weights[i] = 24
+        for i, c in enumerate(b" etnaohirsdluf"):
+            weights[c] = 6000 - 420 * i
+        for c in b"cmgpbywv":
+            weights[c] = 400
+        for c in b".,\n\xc3":
+            weights[c] = 200
+        weights[255] = 8
+    elif kind == "rank":
+        weights = [1 + int(8000 * 0.9**i) for i in range(LITERALS)] + [30] * LENGTHS
+    elif kind == "step":
+        weights = [1 + int(8000 * 0.8 ** min(i, LITERALS - i)) for i in range(LITERALS)] + [30] * LENGTHS
+    return tuple(lengths_of(weights))
+
+
+@lru_cache(maxsize=8)
+def group_bits(kind: str, alpha: int) -> tuple[int, int, Code, Code]:
+    """Bits (value, number) from the last transform to the last code of a green image, and its two codes."""
     w = Writer()
-    w.put(1 | 2 << 1, 3)  # subtract green: grey pixels keep a green sample only
     w.put(0, 1)
     w.put(0, 2)  # no colour cache, one group
-    green = put_code(w, lengths_of(weights))
-    for only in (0, 0, 255):
-        w.put(1 | 4, 3)
-        w.put(only, 8)
+    green = put_code(w, list(sample_lengths(kind)))
+    for only in (0, 0, alpha):
+        put_only(w, only)
     far = put_code(w, [5] * 24 + [6] * 16)
     return w.value, w.n, green, far
 
 
+TURNED = [int(f"{i:08b}"[::-1], 2) for i in range(256)]
+
+
+def put_palette(w: Writer, values: np.ndarray) -> None:
+    """The palette transform of samples in the green channel: deltas with eight bits, and one for alpha."""
+    w.put(1 | 3 << 1, 3)
+    w.put(len(values) - 1, 8)
+    w.put(0, 1)
+    w.put(0, 1)  # green: 256 lengths that are all eight
+    w.put(CODE_LENGTH_ORDER.index(8) + 1 - 4, 4)
+    for s in CODE_LENGTH_ORDER[: CODE_LENGTH_ORDER.index(8) + 1]:
+        w.put(int(s == 8), 3)
+    w.put(1, 1)
+    w.put(3, 3)
+    w.put(LITERALS - 2, 8)
+    put_only(w, 0)
+    put_only(w, 0)
+    w.put(1 | 2 | 4, 3)  # alpha: 0 or 255
+    w.put(0, 8)
+    w.put(255, 8)
+    put_only(w, 0)
+    turned, n = 0, 0
+    for i, d in enumerate(np.diff(values, prepend=np.uint8(0)).tolist()):
+        turned |= (TURNED[d] | (i == 0) << 8) << n
+        n += 9
+    w.put(turned, n)
+
+
+def runs_of(samples: np.ndarray, least: int = 12, most: int = 4096) -> list[tuple[int, int, int]]:
+    """References (start, length, 1) of runs of one sample."""
+    edges = np.flatnonzero(np.r_[True, samples[1:] != samples[:-1], True])
+    long = np.flatnonzero(np.diff(edges) > least)
+    return [(k, min(most, b - k), 1) for a, b in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True) for k in range(a + 1, b, most)]
+
+
+@lru_cache(maxsize=4)
+def length_array(kind: str) -> np.ndarray:
+    return np.array(sample_lengths(kind)[:LITERALS])
+
+
+#: Bits a sample from which the predictor is thought of.
+LEAST_STEP = 6
+
+
+def best_plan(samples: np.ndarray, width: int) -> tuple[str, np.ndarray]:
+    """How a grey image takes the fewest bits, and its distinct samples by frequency.
+
+    grey: as it is; palette: samples as ranks; packed: as ranks of which several share a pixel; step: by the predictor
+    of left neighbours, if samples take many bits otherwise. Bits are reckoned for all samples, without references.
+    """
+    counts = np.bincount(samples, minlength=256)
+    order = np.argsort(-counts, kind="stable")
+    order = order[: np.count_nonzero(counts)]
+    sizes = {"grey": int(length_array("text") @ counts)}
+    if pack := bundle_bits(len(order)):  # so few colours always share pixels
+        sizes["packed"] = (9 * len(samples) >> pack) + 9 * len(order) + 110
+    else:
+        sizes["palette"] = int(length_array("rank")[: len(order)] @ counts[order]) + 9 * len(order) + 110
+    if min(sizes.values()) > LEAST_STEP * len(samples):  # else differences do not take fewer
+        rows = samples.reshape(-1, width)
+        steps = np.bincount(np.diff(rows, axis=1).ravel(), minlength=256) + np.bincount(np.diff(rows[:, 0], prepend=np.uint8(0)), minlength=256)
+        sizes["step"] = int(length_array("step") @ steps) + 60
+    return min(sizes, key=lambda k: (sizes[k], k)), order.astype(np.uint8)
+
+
 def encode_grey(samples: np.ndarray, width: int, matches: list[tuple[int, int, int]]) -> bytes:
-    """A grey image of 8-bit samples with fixed codes; matches: (start, length up to 4096, distance), in order."""
-    value, n, green, far = text_codes()
+    """A grey image of 8-bit samples with fixed codes, after the transforms that make it smallest.
+
+    matches: (start, length up to 4096, distance) of references between equal samples, in order. All plans subtract
+    green, so that grey pixels keep a green sample only.
+    """
+    plan, values = best_plan(samples, width)
     w = Writer()
     head(w, width, len(samples) // width)
+    w.put(1 | 2 << 1, 3)
+    kind, alpha = {"grey": "text", "palette": "rank", "packed": "flat", "step": "step"}[plan], 255
+    if plan in ("palette", "packed"):
+        put_palette(w, values)
+        rank = np.zeros(256, dtype=np.uint8)
+        rank[values] = np.arange(len(values), dtype=np.uint8)
+        samples = rank[samples]
+    if plan == "packed":
+        pack = bundle_bits(len(values))
+        each = np.arange(1 << pack, dtype=np.uint8) * np.uint8(8 >> pack)
+        padded = np.pad(samples.reshape(-1, width), ((0, 0), (0, -width % (1 << pack))))
+        samples = np.bitwise_or.reduce(padded.reshape(len(padded), -1, 1 << pack) << each, axis=2).ravel()
+        matches = runs_of(samples)
+    if plan == "step":
+        w.put(1, 3)
+        w.put(7, 3)  # tiles of 512 pixels, all of mode 1
+        w.put(0, 1)
+        for only in (1, 0, 0, 255, 0):
+            put_only(w, only)
+        rows = samples.reshape(-1, width)
+        samples = np.concatenate([np.diff(rows[:, 0], prepend=np.uint8(0))[:, None], np.diff(rows, axis=1)], axis=1).ravel()
+        matches, alpha = runs_of(samples), 0
+    value, n, green, far = group_bits(kind, alpha)
     w.put(value, n)
     first = w.value.to_bytes(-(-w.n // 8), "little")
     codes, bits, at = [], [], 0

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quern.llm import media, webp
-from tests.llm.edge import empty, odd
+from tests.llm.edge import PROSE, empty, odd
 
 RNG = np.random.default_rng(5)
 
@@ -63,6 +63,45 @@ def test_payloads_come_back(data):
     assert len(p) % 576 == 0 and p.startswith(data) and media.load(media.store(p)).tobytes() == p
 
 
+@pytest.mark.parametrize(
+    "plan,data",
+    [("grey", (PROSE * 5)[:576].encode()), ("palette", "Φίλος και ζωή ".encode() * 90 + bytes(range(60))), ("packed", b"0123456789,.\n" * 200), ("packed", b"ab" * 900), ("packed", b""), ("step", bytes(i * 3 // 2 & 255 for i in range(4032)))],
+)
+def test_plans_are_chosen_by_size_and_come_back(plan, data):
+    p = media.payload_of(data)
+    samples = np.frombuffer(p, dtype=np.uint8)
+    assert webp.best_plan(samples, 576)[0] == plan
+    assert media.load(media.store(p)).tobytes() == p
+
+
+def bits_of(*parts):
+    """Bytes of (value, number of bits), least significant first."""
+    value = n = 0
+    for v, k in parts:
+        value, n = value | v << n, n + k
+    return value.to_bytes(-(-n // 8), "little")
+
+
+def test_files_that_are_written_out_by_hand():
+    """Streams put together bit by bit after the format's text, without this encoder."""
+    only = lambda s: ((1, 1), (0, 1), (1, 1), (s, 8))  # noqa: E731  a simple code of one 8-bit symbol
+    two = lambda a, b: ((1, 1), (1, 1), (1, 1), (a, 8), (b, 8))
+    start = lambda w, h: ((0x2F, 8), (w - 1, 14), (h - 1, 14), (1, 1), (0, 3))
+    # one red-green-blue-alpha pixel, no transform, no cache, one group
+    plain = bits_of(*start(1, 1), (0, 1), (0, 1), (0, 1), *only(20), *only(10), *only(30), *only(255), *only(0))
+    assert webp.decode(webp.riff(plain)).tolist() == [[0xFF0A141E]]
+    # three pixels of two greens: one bit each; green is added to red and blue again
+    greens = bits_of(*start(3, 1), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1), *two(5, 9), *only(1), *only(2), *only(255), *only(0), (0, 1), (1, 1), (0, 1))
+    assert webp.decode(webp.riff(greens)).tolist() == [[0xFF060507, 0xFF0A090B, 0xFF060507]]
+    # a palette of two colours, eight pixels in one byte of green: 0b10110001
+    table = ((0, 1), *two(0, 7), *only(0), *only(0), *two(0, 255), *only(0), (0, 1), (1, 1), (1, 1), (0, 1))
+    packed = bits_of(*start(8, 1), (1, 1), (3, 2), (1, 8), *table, (0, 1), (0, 1), (0, 1), *only(0b10110001), *only(0), *only(0), *only(255), *only(0))
+    assert webp.decode(webp.riff(packed)).tolist() == [[0xFF000700 if 0b10110001 >> i & 1 else 0xFF000000 for i in range(8)]]
+    # the predictor of left neighbours over a row of equal steps
+    steps = bits_of(*start(4, 1), (1, 1), (0, 2), (0, 3), (0, 1), *only(1), *only(0), *only(0), *only(255), *only(0), (0, 1), (0, 1), (0, 1), *only(3), *only(0), *only(0), *only(0), *only(0))
+    assert webp.decode(webp.riff(steps)).tolist() == [[0xFF000300, 0xFF000600, 0xFF000900, 0xFF000C00]]
+
+
 def test_query(spark):
     from quern.llm.registry import queries
 
