@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, keep, map_texts, mix64, read_table, staged, text_chunks
+from quern.llm.common import components, drop_staged, keep, map_texts, mix64, read_table, staged, text_chunks
 
 SKETCH_BITS, MOST_BITS = 1024, 4096
 #: Rows of a kind under a join key that one task compares with each other; more are compared tile by tile.
@@ -459,9 +459,12 @@ def all_links(live: DataFrame, nodes: DataFrame, k: int, num: int, den: int) ->
         tried = staged(compare(rows, failed, num, den, many), "tried")
         good = staged(verify(tried.select("x", "y").distinct(), nodes, k, num, den), "links")
         to = components(tried.join(good, ["x", "y"], "left_semi"), "p", "q").select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = staged(labels.join(to, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "labels")
+        before, labels = labels, staged(labels.join(to, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "labels")
         wrong = staged(tried.join(good, ["x", "y"], "left_anti").select("key", "a", "b", "x", "y"), "failed")
+        for done in (before, tried, good):
+            drop_staged(done)
         if wrong.isEmpty():
+            drop_staged(rows)
             return labels
         failed, many = failed.unionByName(wrong), many * 16
         open_ = rows.select("key", "fp").join(wrong.select("key").distinct(), "key", "left_semi")
@@ -479,6 +482,8 @@ def grouped(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", t
     reps = sets.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "check")).alias("r")).select("fp", "r.doc_id", "r.check")
     nodes = staged(fetch(docs, live.select("fp").distinct().join(reps, "fp"), k), "nodes")
     labels = all_links(live, nodes, k, num, den)
+    drop_staged(live)
+    drop_staged(nodes)
     of_set = sets.join(reps.select("fp", "check").join(labels, "fp"), ["fp", "check"], "left")
     least = of_set.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     told = of_set.join(least, "label", "left").select("fp", "check", F.coalesce("least", "doc_id").alias("component_id"))

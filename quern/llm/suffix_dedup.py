@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_shuffles, keep, map_texts, mix64, read_table, staged
+from quern.llm.common import drop_staged, free_shuffles, keep, map_texts, mix64, read_table, staged
 
 LENGTH, GRAM = 100, 30
 WINDOW = LENGTH - GRAM + 1
@@ -289,7 +289,7 @@ def by_strings(rows: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, a, b) of repeated runs, and (doc_id, name, packed) of the texts that may hold them."""
+    """(doc_id, runs) with the sorted repeated runs [a, b) of a text, and (doc_id, name, packed) of the texts that may hold them."""
     anchor = found_anchors(docs)
     live = staged(anchor.withColumn("many", F.expr("count(1) over (partition by gram)")).where("many > 1").drop("many"), "live")
     free_shuffles(docs.sparkSession)  # all anchors; those that are alive are written
@@ -322,7 +322,10 @@ def removals(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     later = live.join(of_context, ["gram", "context"]).where(F.struct("doc_id", "place") != F.col("first"))
     at = F.floor(F.col("place") / 128).cast("long")
     whole = later.select("doc_id", F.greatest(at - (LENGTH - GRAM), F.lit(0)).alias("a"), (at + F.col("place") % 128).alias("b")).where(F.col("b") - F.col("a") >= LENGTH)
-    return by_sort.unionByName(whole), held.select("doc_id", "name", "packed")
+    runs = by_sort.unionByName(whole).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("runs"))
+    runs = staged(runs, "runs")
+    drop_staged(live)
+    return runs, held.select("doc_id", "name", "packed")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -338,8 +341,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     named = staged(text_names(docs), "texts")
     long = named.where(F.col("n_bytes") >= LENGTH)  # shorter ones, empty ones above all, have nothing to meet for
     origin = long.groupBy("whole_sha256").agg(F.min("doc_id").alias("origin"))
-    cuts, held = removals(docs, named)
-    runs = staged(cuts.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("runs")), "runs")
+    runs, held = removals(docs, named)
     kinds = "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
