@@ -199,9 +199,9 @@ class Engine:
         held = old if old is not None else self.spark.createDataFrame([], shape)
         decided = staged(reconcile.archive_reconcile(live, held.select("path", "data"), held.select("path", "mtime_unix", "size_bytes", "origin")), "decided")
         taken = decided.where("action <> 'skipped_unchanged'").join(live, "path").select(F.coalesce("sidecar", "path").alias("path"), "cwd", "session_id", "data", "mtime_unix", "size_bytes", F.lit("live").alias("origin"))
-        open_ = held.where(~shut)
+        open_, gone = reconcile.now_excluded(held, self.exclude)
         self.db.commit({"archive": open_.join(taken.select("path"), "path", "left_anti").unionByName(taken)})
-        removed = held.where(shut).agg(F.count("*").alias("n")).where("n > 0").select(F.lit("removed_excluded").alias("action"), "n")
+        removed = gone.agg(F.count("*").alias("n")).where("n > 0").select(F.lit("removed_excluded").alias("action"), "n")
         return decided.groupBy("action").agg(F.count("*").alias("n")).unionByName(removed)
 
     def backfill(self) -> DataFrame:

@@ -45,9 +45,19 @@ def check_dimension(df: DataFrame, vector_col: str, dim: int) -> None:
         raise ValueError(f"stored vectors are not {dim} wide: rebuild the index")
 
 
-def silent_empty(stored: int, hits: int, filtered: int) -> bool:
-    """Data is there, nothing was found and nothing was merely filtered: the index is suspect."""
-    return stored > 0 and not hits and not filtered
+def silent_empty(stored, hits, filtered):
+    """Data is there, nothing was found and nothing was merely filtered: the index is suspect. Of numbers or Columns."""
+    return (stored > 0) & (hits == 0) & (filtered == 0)
+
+
+def last_indexed(files: DataFrame) -> DataFrame:
+    """One row: the latest indexed_at, the newest mtime_unix and the number of files."""
+    return files.agg(F.max("indexed_at").alias("indexed_at"), F.max("mtime_unix").alias("newest_mtime"), F.count_distinct("file_path").alias("files"))
+
+
+def counted(rows: DataFrame, most: int) -> DataFrame:
+    """One row: n, how many rows there are, counted no further than a limit."""
+    return rows.limit(most).agg(F.count("*").alias("n"))
 
 
 def margin(related: float, unrelated: float, least: float = 0.10) -> bool:

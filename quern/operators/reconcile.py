@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import store
+from quern.functions.globs import excluded
 
 
 def index_diff(disk: DataFrame, index: DataFrame) -> DataFrame:
@@ -32,6 +33,12 @@ def archive_reconcile(live: DataFrame, archive: DataFrame, manifest: DataFrame)
     return joined.withColumn("action", action).select("path", "action", F.when(F.col("action") == "diverged_sidecar", side).alias("sidecar"))
 
 
+def now_excluded(held: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Archived rows that stay, and those whose folder (cwd) the patterns exclude now; without a folder a row stays."""
+    shut = F.coalesce(excluded(F.col("cwd"), patterns), F.lit(False))
+    return held.where(~shut), held.where(shut)
+
+
 def backfill(messages: DataFrame, archive_sessions: DataFrame) -> DataFrame:
     """Sessions of the index that the archive lacks, put together again: lines in order."""
     missing = messages.join(archive_sessions.select("session_id").distinct(), "session_id", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.config import DEFAULTS, Settings
 from quern.functions.dates import first_filled, to_date
-from quern.functions.text import note_line
+from quern.functions.text import note_line, version
 from quern.operators.search import layer_of
 
 
@@ -105,18 +105,36 @@ def dismissed(version: Column, dismissed_version: Column) -> Column:
 
 def missing_handlers(settings: DataFrame, expected: list[str], json_col: str = "settings") -> DataFrame:
     """Expected handler names (handler) that no command of nested settings JSON (hooks: event, blocks, hooks) names."""
-    blocks = F.from_json(F.get_json_object(json_col, "$.hooks"), "map<string, array<struct<hooks: array<struct<command: string>>>>>")
-    wired = wired_commands(settings.select(blocks.alias("events")))
-    spark = settings.sparkSession
+    spark, wired = settings.sparkSession, wired_commands(hook_events(settings, json_col))
     return spark.createDataFrame([(x,) for x in expected], "handler string").join(wired.select("handler").distinct(), "handler", "left_anti")
 
 
+def hook_events(settings: DataFrame, json_col: str = "settings") -> DataFrame:
+    """events: the map of event to blocks that settings JSON holds under hooks."""
+    return settings.select(F.from_json(F.get_json_object(json_col, "$.hooks"), "map<string, array<struct<hooks: array<struct<command: string>>>>>").alias("events"))
+
+
 def wired_commands(events: DataFrame) -> DataFrame:
     """event and handler (file name of a command's program) of nested settings."""
     each = events.select(F.explode("events").alias("event", "blocks")).select("event", F.explode("blocks").alias("b")).select("event", F.explode("b.hooks").alias("h"))
     return each.select("event", F.explode(F.regexp_extract_all("h.command", F.lit(r"([\w.-]+\.(?:sh|py))"), F.lit(1))).alias("handler")).distinct()
 
 
+def versions(tags: DataFrame, tag_col: str = "tag") -> DataFrame:
+    """tags with major, minor and patch; what is no version goes."""
+    return tags.withColumn("__v", version(F.col(tag_col))).where("__v is not null").select("*", "__v.*").drop("__v")
+
+
+def severities(tags: DataFrame) -> DataFrame:
+    """The highest severity of each version."""
+    return versions(tags).groupBy("major", "minor", "patch").agg(F.max("severity").alias("severity"))
+
+
+def newest_version(tags: DataFrame) -> DataFrame:
+    """One row: the newest version, by numbers."""
+    return versions(tags).agg(F.max(F.struct("major", "minor", "patch")).alias("v")).select("v.*")
+
+
 def throttle_due(last: Column, now: dt.datetime, hours: int = 24) -> Column:
     """Due if never, long ago, or at a time still to come."""
     return last.isNull() | (last > F.lit(now)) | (last <= F.lit(now - dt.timedelta(hours=hours)))

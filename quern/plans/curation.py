@@ -253,16 +253,73 @@ def u2(spark, sf) -> DataFrame:
     return state.suspect(mem(spark, sf), F.col("chunk_id") % 5 == 1, DEFAULTS.now, "old")[1].select("chunk_id")
 
 
-TAGS = ["2.0.1", "v1.10.0", "v1.9.3", "2.0.0", "junk", "v2.0.1"]
+#: Release tags by part: some are no versions.
+TAG_SQL = "CASE p_partkey % 5 WHEN 0 THEN 'v' || p_size % 4 || '.' || p_partkey % 12 || '.' || p_partkey % 7 WHEN 1 THEN 'release-' || p_size ELSE p_size % 4 || '.' || p_partkey % 13 || '.' || p_partkey % 3 END"
 
 
-@query("f26_semver", "WITH t(tag) AS (VALUES " + ", ".join(f"('{t}')" for t in TAGS) + "), v AS (SELECT tag, regexp_extract_all(tag, '\\d+') AS p FROM t WHERE regexp_matches(tag, '^v?\\d+\\.\\d+\\.\\d+$')) SELECT tag, CAST(p[1] AS INTEGER) AS major, CAST(p[2] AS INTEGER) AS minor, CAST(p[3] AS INTEGER) AS patch, row_number() OVER (ORDER BY CAST(p[1] AS INTEGER) DESC, CAST(p[2] AS INTEGER) DESC, CAST(p[3] AS INTEGER) DESC, tag) AS place FROM v")
+def tags(spark, sf) -> DataFrame:
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    text_of = lambda c: c.cast("string")
+    dotted = lambda a, b, c: F.concat_ws(".", text_of(a), text_of(b), text_of(c))
+    size = F.col("p_size")
+    return p.select(F.when(k % 5 == 0, F.concat(F.lit("v"), dotted(size % 4, k % 12, k % 7))).when(k % 5 == 1, F.concat(F.lit("release-"), text_of(size))).otherwise(dotted(size % 4, k % 13, k % 3)).alias("tag"), "p_partkey")
+
+
+VERSIONED = f"v AS (SELECT tag, regexp_extract_all(tag, '\\d+') AS p, p_partkey FROM (SELECT {TAG_SQL} AS tag, p_partkey FROM part) WHERE regexp_matches(tag, '^v?\\d+\\.\\d+\\.\\d+$'))"
+NUMBERS = "CAST(p[1] AS INTEGER) AS major, CAST(p[2] AS INTEGER) AS minor, CAST(p[3] AS INTEGER) AS patch"
+
+
+@query("f26_semver", f"WITH {VERSIONED}, d AS (SELECT DISTINCT tag, {NUMBERS} FROM v) SELECT *, CAST(row_number() OVER (ORDER BY major DESC, minor DESC, patch DESC, tag) AS INTEGER) AS place FROM d")
 def f26(spark, sf) -> DataFrame:
-    v = spark.createDataFrame([(t,) for t in TAGS], "tag string").withColumn("v", text.version(F.col("tag"))).where("v is not null")
-    return v.select("tag", "v.*", F.row_number().over(Window.orderBy(F.desc("v"), "tag")).cast("long").alias("place"))
+    from quern.store import numbered
+
+    v = tags(spark, sf).select("tag", text.version(F.col("tag")).alias("v")).where("v is not null").distinct().select("tag", "v.*")
+    return numbered(v, [F.desc("major"), F.desc("minor"), F.desc("patch"), F.col("tag")], "place")
 
 
-@query("a9_max_severity", "WITH r(version, severity) AS (VALUES ('1.2.0', 1), ('1.2.0', 3), ('1.10.0', 2), ('1.9.0', 0)) SELECT version, max(severity) AS severity FROM r GROUP BY 1")
+@query("a9_max_severity", f"WITH {VERSIONED} SELECT major, minor, patch, max(severity) AS severity FROM (SELECT {NUMBERS}, CAST(p_partkey % 4 AS INTEGER) AS severity FROM v) GROUP BY ALL")
 def a9(spark, sf) -> DataFrame:
-    rows = spark.createDataFrame([("1.2.0", 1), ("1.2.0", 3), ("1.10.0", 2), ("1.9.0", 0)], "version string, severity int")
-    return rows.groupBy("version").agg(F.max("severity").alias("severity"))
+    return review.severities(tags(spark, sf).withColumn("severity", (F.col("p_partkey") % 4).cast("int")))
+
+
+@query("a9_newest_version", f"WITH {VERSIONED} SELECT {NUMBERS} FROM v ORDER BY major DESC, minor DESC, patch DESC LIMIT 1")
+def a9_newest(spark, sf) -> DataFrame:
+    return review.newest_version(tags(spark, sf))
+
+
+CONFIRMED = "coalesce(last_confirmed, '')"
+
+
+@query("f12_confidence_tags", f"WITH {MEM} SELECT chunk_id, CASE WHEN invalidated_at IS NOT NULL THEN '' ELSE CASE WHEN suspected_at IS NOT NULL THEN ' ⚠ suspected (since ' || suspected_at || CASE WHEN chunk_id % 2 = 0 THEN ' — old' ELSE '' END || ')' ELSE '' END || CASE WHEN last_confirmed IS NOT NULL THEN ' · confirmed ' || last_confirmed ELSE ' · unconfirmed' END END AS tag FROM mem")
+def f12_confidence(spark, sf) -> DataFrame:
+    why = F.when(F.col("chunk_id") % 2 == 0, "old")
+    return mem(spark, sf).select("chunk_id", review.confidence_tag(F.lit(None).cast("string"), F.col("invalidated_at"), F.col("suspected_at"), why, F.col("last_confirmed")).alias("tag"))
+
+
+HOOKED = "SELECT DISTINCT 'on_' || event_type AS event, 'h' || (event_id % 7) || CASE WHEN event_id % 2 = 0 THEN '.sh' ELSE '.py' END AS handler FROM events"
+
+
+def hook_settings(spark, sf) -> DataFrame:
+    """Settings as nested JSON: for each kind of event, blocks of commands."""
+    name = F.concat(F.lit("h"), (F.col("event_id") % 7).cast("string"), F.when(F.col("event_id") % 2 == 0, ".sh").otherwise(".py"))
+    wired = table(spark, sf, "events").select(F.concat(F.lit("on_"), "event_type").alias("event"), name.alias("handler")).distinct()
+    command = F.struct(F.concat(F.lit("/opt/hooks/"), "handler", F.lit(" --quiet")).alias("command"))
+    blocks = wired.groupBy("event").agg(F.collect_list(F.struct(F.array(command).alias("hooks"))).alias("blocks"))
+    return blocks.select(F.to_json(F.struct(F.map_from_arrays(F.array("event"), F.array("blocks")).alias("hooks"))).alias("settings"))
+
+
+@query("a17_wired_handlers", HOOKED)
+def a17(spark, sf) -> DataFrame:
+    return review.wired_commands(review.hook_events(hook_settings(spark, sf)))
+
+
+@query("j15_missing_handlers", f"SELECT h.handler FROM (VALUES ('h1.py'), ('h2.sh'), ('h9.sh'), ('h8.py')) h(handler) WHERE handler NOT IN (SELECT handler FROM ({HOOKED}))")
+def j15(spark, sf) -> DataFrame:
+    return review.missing_handlers(hook_settings(spark, sf), ["h1.py", "h2.sh", "h9.sh", "h8.py"])
+
+
+@query("st10_due_notices", "SELECT event_id, ts IS NULL OR ts > TIMESTAMP '2024-01-20' OR ts <= TIMESTAMP '2024-01-19' AS due, ts <= TIMESTAMP '2024-01-06' AS stale, event_id % 3 = 0 AS dismissed FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events)")
+def st10(spark, sf) -> DataFrame:
+    now, at = dt.datetime(2024, 1, 20), F.col("ts").cast("timestamp_ntz")
+    shown = F.when(F.col("event_id") % 3 == 0, "1.2.0")
+    return table(spark, sf, "events").select("event_id", review.throttle_due(at, now).alias("due"), review.is_stale(at, now).alias("stale"), review.dismissed(F.lit("1.2.0"), shown).alias("dismissed"))

@@ -232,3 +232,28 @@ def st6_stream(spark, sf) -> DataFrame:
     from quern.streaming.events import stream_first_over
 
     return stream_first_over(spark, sf, 60.0)
+
+
+@query("a3_last_indexed", f"WITH {MEM} SELECT max(updated) AS indexed_at, max(1700000000 + chunk_id) AS newest_mtime, count(DISTINCT file_path) AS files FROM mem")
+def a3(spark, sf) -> DataFrame:
+    return health.last_indexed(mem(spark, sf).withColumns({"indexed_at": F.col("updated"), "mtime_unix": F.lit(1700000000) + F.col("chunk_id")}))
+
+
+@query("j8_now_excluded", f"WITH {MSG} SELECT jsonl_path, cwd LIKE '%/p1%' OR cwd LIKE '/home/u/p_' AND cwd LIKE '%4' AS gone FROM (SELECT jsonl_path, min_by(cwd, line_number) AS cwd FROM msg GROUP BY 1)")
+def j8(spark, sf) -> DataFrame:
+    m = msg(spark, sf)
+    held = m.groupBy("jsonl_path").agg(F.min_by("cwd", "line_number").alias("cwd"))
+    kept, gone = reconcile.now_excluded(held, ["p1", "*/p4"])
+    return kept.select("jsonl_path", F.lit(False).alias("gone")).unionByName(gone.select("jsonl_path", F.lit(True).alias("gone")))
+
+
+@query("sc14_transcript_count", f"WITH {MSG} SELECT least(count(DISTINCT jsonl_path), 60) AS n FROM msg")
+def sc14(spark, sf) -> DataFrame:
+    return health.counted(msg(spark, sf).select("jsonl_path").distinct(), 60)
+
+
+@query("h7_silent_empty", "SELECT t.*, stored > 0 AND hits = 0 AND filtered = 0 AS suspect FROM (SELECT source, count(*) AS stored, count_if(text LIKE '%zzq%') AS hits, count_if(doc_id % 7 = 0 AND source < 'src3') AS filtered FROM documents WHERE source IS NOT NULL GROUP BY source) t")
+def h7(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").where("source is not null")
+    n = d.groupBy("source").agg(F.count("*").alias("stored"), F.count_if(F.col("text").contains("zzq")).alias("hits"), F.count_if((F.col("doc_id") % 7 == 0) & (F.col("source") < "src3")).alias("filtered"))
+    return n.withColumn("suspect", health.silent_empty(F.col("stored"), F.col("hits"), F.col("filtered")))

@@ -17,6 +17,8 @@ BOOST = """CASE WHEN split_part(file_path, '/', 3) IN ('always', 'knowledge') TH
   ELSE 0.03 * exp(-greatest(0, date_diff('day', CAST(updated AS DATE), DATE '2026-06-01')) / 180.0) END"""
 PROBES = 12
 TERMS = ["than", "tion"]
+#: The keyword side of the twelve probes: one term each.
+TERM_OF_PROBE = ["the", "of", "and", "than", "tion", "er", "this", "with", "ther", "ing", "from", "that"]
 
 
 @query("w1_cosine_topk", f"WITH {Q0} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine_score FROM embeddings CROSS JOIN q0 ORDER BY cosine_score DESC, vec_id LIMIT 10")
@@ -153,25 +155,52 @@ def w5(spark, sf) -> DataFrame:
     return memory.unionByName(sessions)
 
 
-@query("w6_promotion", f"WITH {HITS} SELECT 0::BIGINT AS n_memory, 0::BIGINT AS n_filtered, count(*) AS n_sessions, count(*) > 0 AS promote FROM hits")
-def w6(spark, sf) -> DataFrame:
+def promoted(dead: str, least: float) -> str:
+    """Promotion where memory hits must reach a score; those that are invalidated count as filtered."""
+    return f"""WITH {HITS}, {NEAR.removeprefix(Q0 + ', ')}, good AS (SELECT * FROM near WHERE cosine_score >= {least}), n AS (SELECT (SELECT count(*) FROM good WHERE NOT ({dead})) AS n_memory, (SELECT count(*) FROM good WHERE {dead}) AS n_filtered, (SELECT count(*) FROM hits) AS n_sessions) SELECT *, n_memory = 0 AND n_filtered = 0 AND n_sessions > 0 AS promote FROM n"""
+
+
+def promotion(spark, sf, least: float) -> DataFrame:
     found, near = session_hits(spark, sf)
-    nothing = mem(spark, sf).where(F.col("chunk_id") < 0)
-    return search.promotion(nothing, nothing, found.select("message_uuid").union(near.select("message_uuid")))
+    hits = search.cosine_topk(embedded(spark, sf), query_vector(spark, sf), DEFAULTS.overfetch, "chunk_id").where(F.col("cosine_score") >= least)
+    dead = F.col("invalidated_at").isNotNull()
+    return search.promotion(hits.where(~dead), hits.where(dead), found.select("message_uuid").union(near.select("message_uuid")))
 
 
-A5 = f"{MSG}, x AS (SELECT p.vec_id AS query_idx, m.session_id, m.message_uuid, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, m.message_uuid) AS rank FROM msg m JOIN embeddings e ON e.vec_id = (m.conv_id * 7 + m.turn) % (SELECT count(*) FROM embeddings) JOIN embeddings p ON p.vec_id < 12), best AS (SELECT *, row_number() OVER (PARTITION BY session_id, message_uuid ORDER BY score DESC, query_idx, rank) AS n FROM x WHERE rank <= 5)"
+@query("w6_promotion", promoted("invalidated_at IS NOT NULL", 0.3))
+def w6(spark, sf) -> DataFrame:
+    return promotion(spark, sf, 0.3)
+
+
+@query("w6_promotion_due", promoted("invalidated_at IS NOT NULL", 1.01))
+def w6_due(spark, sf) -> DataFrame:
+    """No memory is as near as that, so what sessions know should become one."""
+    return promotion(spark, sf, 1.01)
+
+
+A5 = f"""{MSG}, {TOKS}, w AS (SELECT message_uuid, unnest(t) AS term FROM toks), tf AS (SELECT message_uuid, term, count(*) AS f FROM w WHERE term IN ({", ".join(f"'{t}'" for t in TERM_OF_PROBE)}) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS d FROM tf GROUP BY term), dl AS (SELECT message_uuid, len(t) AS dl FROM toks), tot AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), q(term, query_idx) AS (VALUES {", ".join(f"('{t}', {i})" for i, t in enumerate(TERM_OF_PROBE))}),
+ k AS (SELECT query_idx, split_part(message_uuid, '-', 1) AS session_id, message_uuid, 0 AS tier_rank, round({part('f', 'd')}, 6) AS score FROM tf JOIN df USING (term) JOIN dl USING (message_uuid) JOIN q USING (term) CROSS JOIN tot),
+ v AS (SELECT p.vec_id AS query_idx, m.session_id, m.message_uuid, 1 AS tier_rank, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM msg m JOIN embeddings e ON e.vec_id = (m.conv_id * 7 + m.turn) % (SELECT count(*) FROM embeddings) JOIN embeddings p ON p.vec_id < 12),
+ x AS (SELECT *, row_number() OVER (PARTITION BY query_idx, tier_rank ORDER BY score DESC, message_uuid) AS rank FROM (SELECT * FROM k UNION ALL SELECT * FROM v)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY session_id, message_uuid ORDER BY score DESC, query_idx, tier_rank, rank) AS n FROM x WHERE rank <= 5)"""
 
 
 def recalled(spark, sf) -> DataFrame:
-    hits = search.probes_topk(message_vectors(spark, sf).select("message_uuid", "embedding"), probes(spark, sf), DEFAULTS.per_probe, "message_uuid")
-    shaped = hits.select(F.split("message_uuid", "-")[0].alias("session_id"), "message_uuid", F.col("cosine_score").alias("score"), F.col("probe").alias("query_idx"), F.lit(1).alias("tier_rank"), "rank")
-    return recall.keep_best(shaped, ["session_id", "message_uuid"], DEFAULTS.recall_most)
+    """The first hits of each probe in either tier, one row a message."""
+    near = search.probes_topk(message_vectors(spark, sf).select("message_uuid", "embedding"), probes(spark, sf), DEFAULTS.per_probe, "message_uuid")
+    hits = near.select("message_uuid", F.col("cosine_score").alias("score"), F.col("probe").cast("int").alias("query_idx"), F.lit(1).alias("tier_rank"), "rank")
+    m = msg(spark, sf)
+    for i, term in enumerate(TERM_OF_PROBE):
+        found = fts.bm25(m, "message_uuid", F.col("content"), [[term]]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "message_uuid").limit(DEFAULTS.per_probe)
+        order = Window.orderBy(F.desc("score"), "message_uuid")  # of five rows
+        hits = hits.unionByName(found.select("message_uuid", "score", F.lit(i).alias("query_idx"), F.lit(0).alias("tier_rank"), F.row_number().over(order).alias("rank")))
+    return recall.keep_best(hits.withColumn("session_id", F.split("message_uuid", "-")[0]), ["session_id", "message_uuid"], DEFAULTS.recall_most)
 
 
-@query("a5_probe_recall", f"WITH {A5} SELECT session_id, message_uuid, score, query_idx AS matched_query FROM best WHERE n = 1 ORDER BY score DESC, query_idx, rank LIMIT 50")
+@query("a5_probe_recall", f"WITH {A5} SELECT session_id, message_uuid, score, query_idx AS matched_query, tier_rank FROM best WHERE n = 1 ORDER BY score DESC, query_idx, tier_rank, rank, session_id, message_uuid LIMIT 50")
 def a5(spark, sf) -> DataFrame:
-    return recalled(spark, sf).select("session_id", "message_uuid", "score", F.col("query_idx").alias("matched_query"))
+    return recalled(spark, sf).select("session_id", "message_uuid", "score", F.col("query_idx").alias("matched_query"), "tier_rank")
 
 
 @query("j10_dedupe_memory", "WITH c AS (SELECT vec_id AS cand, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 0), k AS (SELECT vec_id AS mem_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label <> 0), x AS (SELECT cand, mem_id, round(list_cosine_similarity(c.e, k.e), 6) AS s FROM c, k), r AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY s DESC, mem_id) AS n FROM x) SELECT cand, mem_id AS nearest, s AS similarity, s >= 0.8 AS captured FROM r WHERE n = 1")

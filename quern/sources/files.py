@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.config import DEFAULTS, HARNESS_LAYERS, INDEXED_DIRS, LAYERS, LEGACY_LAYERS, TEXT_EXTENSIONS, Settings
 from quern.functions.globs import excluded
 from quern.schemas import MEMORY_FILE
+from quern.store import numbered
 
 #: Folders that never hold knowledge, matched as whole segments below the root.
 JUNK_DIRS = ("node_modules", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".next", ".nuxt", ".cache", ".gradle", ".idea", ".vscode", "vendor", "site-packages", ".terraform", "coverage")
@@ -160,9 +161,14 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """jsonl_path, line_number (from 1, blank lines counted) and raw of every transcript line."""
-    whole = files(spark, root, "*.jsonl").select(F.col("path").alias("jsonl_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
-    return whole.select("jsonl_path", F.posexplode(F.split("body", "\r?\n")).alias("i", "raw")).select("jsonl_path", (F.col("i") + 1).alias("line_number"), "raw")
+    """jsonl_path, line_number (from 1, blank lines counted) and raw of every transcript line.
+
+    Lines are read by splits of files, so that no file is held as one value; they are numbered by a sort by place.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")  # as listings name it
+    placed = read.select(path.alias("jsonl_path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"), F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("raw"))
+    return numbered(placed, [F.col("__start"), F.col("__row")], "line_number", by="jsonl_path").select("jsonl_path", "line_number", "raw")
 
 
 def tasks(spark: SparkSession, root: str) -> DataFrame:

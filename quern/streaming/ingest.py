@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.store import scratch
+from quern.operators.ingest import first_writer
+from quern.store import exists, scratch
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -43,9 +44,18 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def dedupe(stream: DataFrame) -> DataFrame:
-    """First writer of each (session_id, message_uuid). State holds one key a message."""
-    return stream.dropDuplicates(["session_id", "message_uuid"])
+def dedupe(stream: DataFrame, time_col: str | None = None, within: str = "7 days") -> DataFrame:
+    """One row of each (session_id, message_uuid).
+
+    With a time column, state is dropped when a key is older than `within`, which a repetition may be late by; without
+    one, state holds a key of every message for ever.
+    """
+    keys = ["session_id", "message_uuid"]
+    return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark(keys) if time_col else stream.dropDuplicates(keys)
+
+
+#: Parts that a table of upsert_batches() is dealt into by session.
+BUCKETS = 256
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +66,20 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, store: str, base: str):
-    """Exactly-once ingest into a table: each batch adds the keys that the table lacks."""
+    """Exactly-once ingest into a table: each batch adds the keys that the table lacks, of each the first by path and line.
+
+    The table is dealt by a hash of the session, and a batch is compared with the parts of its own sessions alone.
+    """
     spark = stream.sparkSession
 
     def put(df: DataFrame, n: int) -> None:
-        new = df.dropDuplicates(["session_id", "message_uuid"])
-        at = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            new = new.join(spark.read.schema(df.schema).parquet(store).select("session_id", "message_uuid"), ["session_id", "message_uuid"], "left_anti")
-        new.write.mode("append").parquet(store)
+        placed = {"jsonl_path", "line_number"} <= set(df.columns)
+        new = first_writer(df) if placed else df.dropDuplicates(["session_id", "message_uuid"])
+        new = new.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
+        if exists(spark, store):
+            mine = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            old = spark.read.schema(new.schema).parquet(store).where(F.col("bucket").isin(mine))
+            new = new.join(old.select("session_id", "message_uuid"), ["session_id", "message_uuid"], "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(store)
 
     return stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put)
