@@ -82,7 +82,10 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, by: str | None
 
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":  # without checksum files, which edits by other programs would make wrong
+        fs = fs.getRawFileSystem()
+    return fs, at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -113,12 +116,12 @@ def replace(spark: SparkSession, path: str, data: bytes) -> None:
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
     if not create(spark, tmp, data):
         raise OSError(f"could not write {tmp}")
-    jvm = spark._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    over = getattr(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), "OVERWRITE")
-    kinds = spark.sparkContext._gateway.new_array(over.getClass(), 1)
-    kinds[0] = over
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path), kinds)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    jvm.java.lang.reflect.Array.set(options, 0, jvm.java.lang.Enum.valueOf(kind, "OVERWRITE"))
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(_fs(spark, path)[0].getUri(), conf).rename(at(tmp), at(path), options)
 
 
 def read_small(spark: SparkSession, path: str) -> str:
