@@ -93,3 +93,29 @@ def test_porter(word, stem):
 
 def test_query_phrases():
     assert query_phrases("slack-daemon don't !! x") == [["slack", "daemon"], ["don", "t"], ["x"]] and query_phrases("?! --") == []
+
+
+def test_limits_are_known_by_their_codes(spark):
+    rows = [("rate_limit", ""), ("billing_error", ""), ("usage_limit", ""), ("overloaded", ""), ("invalid_request", ""), (None, "You've reached your usage limit"), (None, "limit of lines"), ("x", "the limit resets 3:00"), (None, None), ("account_billing_error_2", None), ("Rate_Limit", "")]
+    got = [r.x for r in spark.createDataFrame(rows, "code string, message string").select(text.is_limit(F.col("code"), F.col("message")).alias("x")).collect()]
+    assert got == [True, True, True, False, False, True, False, True, False, True, False]
+
+
+def test_rules_read_all_of_unicode(spark):
+    """Blanks and letters beyond ASCII: as the patterns mean them, not as a plain Java pattern has them."""
+    rows = ["use tabs here", "  Décision: garder. ", "- REMEMBER:　rotate ", "note:  wide ", "étoken is abc", "Token is abc", "schlüsselpassword = x1", "DON’T", "prefer ünits"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string")
+    got = {r.i: (r.note, r.secret, r.layer) for r in df.select("i", text.note_line(F.col("t")).alias("note"), text.has_secret(F.col("t")).alias("secret"), text.layer_guess(F.col("t")).alias("layer")).collect()}
+    assert got[0][0] == "tabs here" and got[2][0] == "rotate" and got[3][0] == "wide" and got[8][0] == "ünits"
+    assert not got[4][1] and got[5][1] and got[6][1] and got[0][2] == "always"
+
+
+def test_tables_and_queries_split_text_alike(spark):
+    rows = ["a b c", "a　b\x1cc\x85d", "ä ß É", "x", "", None, "   ", "a a a b" * 40]
+    df = spark.createDataFrame([(f"k{i}", x) for i, x in enumerate(rows)], "id string, t string")
+    got = {r.id: r.embedding for r in vectors.embed(df, "id", F.col("t"), 64).collect()}
+    for i, x in enumerate(rows):
+        assert got[f"k{i}"] == pytest.approx(vectors.embed_query(x or "", 64))
+    slots = {(r.id, r.slot): r.weight for r in vectors.hash_slots(df, "id", F.col("t"), 64).collect()}
+    seeds, signs = vectors.token_slots("x")
+    assert {s: w for (k, s), w in slots.items() if k == "k3"} == {s % 64: sum(g for q, g in zip(seeds, signs, strict=True) if q % 64 == s % 64) for s in seeds}
