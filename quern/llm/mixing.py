@@ -4,7 +4,9 @@ Every document gets the whole part of its source's repetition rate; the fraction
 The flight phase moves three probabilities at a time along the null space of the balancing constraints (words and
 documents), so that both totals keep their values while one probability becomes 0 or 1. It runs in blocks of a
 source; what the blocks leave undecided (two documents each) flies again in fewer blocks, until one block of each
-source is left, whose last documents are landed by giving up the count first and the words last.
+source is left, whose last documents are landed by giving up the count first and the words last. Rows that repeat id and size are
+one unit of the flight and move together, so that reruns agree; the words' total counts every row, the documents' total
+counts such a unit once.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import keep, map_texts, read_table
+from quern.llm.common import keep, map_texts, read_table, text_chunks
 
 #: Labelled rows that the trees learn from, at most: those with the least hashes of their ids.
 TRAIN_ROWS = 16_000
@@ -207,14 +207,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches):
         for batch in batches:
-            found = [statistics(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            if not found:
-                continue
-            b = np.array([x for x, _ in found], dtype=np.int64)
-            good = ~((b[:, 0] < 50) | (100 * b[:, 4] > 50 * b[:, 0]))
-            if trees is not None:
-                good &= trees.score(np.array([s for _, s in found])) >= threshold
-            yield batch.filter(pa.array(good))
+            for lo, hi in text_chunks(batch, at):
+                part = batch.slice(lo, hi - lo)
+                found = [statistics(t) for t in part.column(at).cast(pa.binary()).to_pylist()]
+                b = np.array([x for x, _ in found], dtype=np.int64)
+                good = ~((b[:, 0] < 50) | (100 * b[:, 4] > 50 * b[:, 0]))
+                if trees is not None:
+                    good &= trees.score(np.array([s for _, s in found])) >= threshold
+                yield part.filter(pa.array(good))
 
     return docs.select(*cols).mapInArrow(run, docs.schema)
 

@@ -129,6 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     """
     spark = docs.sparkSession
     by = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    by = staged(by.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")  # labels without a document do not use up the sample
     chosen = [(r.doc_id, r.y) for k in (0, 1) for r in by.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
     if len({y for _, y in chosen}) < 2:
         return None
