@@ -263,6 +263,21 @@ class Engine:
         row = self.table("chunks").select(F.size("embedding").alias("n")).first() if self.has("chunks") else None
         return row["n"] if row else None
 
+    def fit_width(self) -> bool:
+        """Makes tables of vectors that are empty anew; ones of another width than the model's are an error. Whether any was made."""
+        empty = {}
+        for name in ("chunks", "vectors"):
+            if not self.has(name):
+                continue
+            t = self.table(name)
+            if t.isEmpty():
+                empty[name] = t
+            else:
+                health.check_dimension(t, "embedding", self.model.dim)
+        if empty:
+            self.db.commit(empty)
+        return bool(empty)
+
     def last_indexed(self) -> DataFrame:
         """One row: when the index was made last, and the newest time of its files."""
         newest = self.table("files").agg(F.max("mtime_unix").alias("newest_mtime"))

@@ -30,5 +30,6 @@ def iso_z(unix: Column) -> Column:
     return F.date_format(F.timestamp_seconds(unix), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def session_date(unix: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(unix), "yyyy-MM-dd")
+def session_date(unix: Column, zone: str = "UTC") -> Column:
+    """The day of a time where the reader is."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(F.timestamp_seconds(unix), F.current_timezone()).cast("timestamp_ntz")), "yyyy-MM-dd")

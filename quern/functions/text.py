@@ -46,6 +46,11 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def cache_key(text: Column) -> Column:
+    """Sixteen hexadecimal digits that name a text's vector in a cache."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
 def slug(path: Column) -> Column:
     """Project slug of a path: its last segment in lower case, other characters as single dashes; else `unknown`."""
     last = F.element_at(F.split(F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), "/"), -1)

@@ -99,10 +99,10 @@ def f1_sections(spark, sf) -> DataFrame:
     return chunks.section_rows(marked_up(spark, sf), "doc_id", F.col("body")).select("doc_id", "section", "heading", "line_start", "n_lines")
 
 
-@query("f22_hashes", "SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 8) AS sidecar, octet_length(encode(text)) AS n_bytes FROM documents")
+@query("f22_hashes", "SELECT doc_id, sha256(text) AS content_hash, substr(sha256(text), 1, 8) AS sidecar, substr(sha256(text), 1, 16) AS cache_key, octet_length(encode(text)) AS n_bytes FROM documents")
 def f22(spark, sf) -> DataFrame:
     h = F.sha2("text", 256)
-    return table(spark, sf, "documents").select("doc_id", h.alias("content_hash"), F.substring(h, 1, 8).alias("sidecar"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return table(spark, sf, "documents").select("doc_id", h.alias("content_hash"), F.substring(h, 1, 8).alias("sidecar"), text.cache_key(F.col("text")).alias("cache_key"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 STRIPPED = "nullif(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '')"

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import dates
 from quern.operators import events, fts, health, ingest, reconcile, review
 from quern.plans.base import query
 from quern.plans.binding import EVT, MEM, MSG, evt, mem, msg, table
@@ -257,3 +258,9 @@ def h7(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").where("source is not null")
     n = d.groupBy("source").agg(F.count("*").alias("stored"), F.count_if(F.col("text").contains("zzq")).alias("hits"), F.count_if((F.col("doc_id") % 7 == 0) & (F.col("source") < "src3")).alias("filtered"))
     return n.withColumn("suspect", health.silent_empty(F.col("stored"), F.col("hits"), F.col("filtered")))
+
+
+@query("f29_session_dates", "SELECT conv_id, turn, strftime(make_timestamp((1767225600 + conv_id * 3600 + turn * 60) * 1000000) + INTERVAL 5 HOUR + INTERVAL 30 MINUTE, '%Y-%m-%d') AS day FROM conversations")
+def f29(spark, sf) -> DataFrame:
+    at = (F.lit(1767225600) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("long")
+    return table(spark, sf, "conversations").select("conv_id", "turn", dates.session_date(at, "Asia/Kolkata").alias("day"))

@@ -110,6 +110,12 @@ def text_files(spark: SparkSession, root: str, exts: tuple[str, ...] = TEXT_EXTE
     return text.where(F.col("text").rlike(r"(?U)\S")).select("path", "rel", "mtime_unix", "size_bytes", "text")
 
 
+def scope_counts(spark: SparkSession, root: str, exts: tuple[str, ...] = TEXT_EXTENSIONS, s: Settings = DEFAULTS, deny: tuple[str, ...] = ()) -> DataFrame:
+    """One row: inspected (files below root) and in_scope (those that text_files() takes)."""
+    inspected = files(spark, root).agg(F.count("*").alias("inspected"))
+    return inspected.join(F.broadcast(text_files(spark, root, exts, s, deny).agg(F.count("*").alias("in_scope"))))
+
+
 def sessions(df: DataFrame, folder: str) -> DataFrame:
     """Import sessions: a file's first folder, or `_root` for loose files; columns of document_messages()."""
     part = F.split("rel", "/")

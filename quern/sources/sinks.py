@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ingest import to_jsonl
 
 
 def write_transcripts(messages: DataFrame, path: str) -> None:
-    """One folder of lines for each session, in order; what was there is replaced."""
-    lines = to_jsonl(messages)
-    lines.repartition("session_id").sortWithinPartitions("session_id", "line_number").select("session_id", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("session_id").text(path)
+    """One folder of lines for each session, in order; what was there is replaced.
+
+    Folders are named by the session with odd characters as dashes; two sessions of one name are an error.
+    """
+    lines = to_jsonl(messages).withColumn("session", folder_name(F.col("session_id")))
+    names = lines.groupBy("session").agg(F.min("session_id").alias("a"), F.max("session_id").alias("b")).where("a <> b").first()
+    if names:
+        raise ValueError(f"sessions {names['a']!r} and {names['b']!r} have the same folder {names['session']!r}")
+    lines.repartition("session").sortWithinPartitions("session", "line_number").select("session", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("session").text(path)
+
+
+def folder_name(session: Column) -> Column:
+    return F.regexp_replace(session, r"[^\p{L}\p{N}_.\-]+", "-")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

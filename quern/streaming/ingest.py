@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,16 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(dedupe(named), "ingest").groupBy("session_id").agg(F.count("*").alias("n"))
 
 
+def watch(changes: DataFrame, act: Callable[[], None], base: str, every: str = "500 milliseconds"):
+    """Runs act once for all changes of an interval: bursts are taken together, and no two runs overlap."""
+
+    def run(df: DataFrame, n: int) -> None:
+        if not df.isEmpty():
+            act()
+
+    return changes.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(processingTime=every).foreachBatch(run)
+
+
 def upsert_batches(stream: DataFrame, store: str, base: str):
     """Exactly-once ingest into a table: each batch adds the keys that the table lacks, of each the first by path and line.
 

@@ -1,5 +1,6 @@
 """File sources, sinks and streams on small trees."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators.ingest import document_messages, messages
@@ -90,3 +91,49 @@ def test_streams_resume(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r.message_uuid, r.n) for r in spark.read.parquet(f"{tmp_path}/store").collect()) == [("a", 1), ("b", 1), ("c", 2)]
     assert run_once(stream(), "t").count() == 4
+
+
+def test_sessions_of_one_folder_name_are_an_error(spark, tmp_path):
+    rows = [("a b", "m1", None, "user", "x", None, "2026-01-01T00:00:00Z", 1), ("a/b", "m2", None, "user", "y", None, "2026-01-01T00:00:00Z", 1)]
+    m = spark.createDataFrame(rows, "session_id string, message_uuid string, parent_uuid string, role string, content string, cwd string, timestamp_iso string, line_number int")
+    with pytest.raises(ValueError, match="same folder"):
+        sinks.write_transcripts(m, f"{tmp_path}/out")
+    sinks.write_transcripts(m.where("message_uuid = 'm1'"), f"{tmp_path}/out")
+    assert (tmp_path / "out/session=a-b").is_dir()
+
+
+def test_transcripts_are_numbered_over_splits(spark, tmp_path):
+    """Lines of a file keep their numbers however it is split; blank ones count, ends of lines of either kind."""
+    lines = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(2000)]
+    put(tmp_path, "t/a b+c.jsonl", "\r\n".join(lines))
+    put(tmp_path, "t/d.jsonl", "one\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.transcripts(spark, f"{tmp_path}/t").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {(r.jsonl_path.rsplit("/", 1)[-1], r.line_number): r.raw for r in rows}
+    names = {r.path for r in files.files(spark, f"{tmp_path}/t").select("path").collect()}
+    assert {r.jsonl_path for r in rows} == names
+    a = next(n for n in names if "d.jsonl" not in n).rsplit("/", 1)[-1]
+    assert [got[a, i + 1] for i in range(1999)] == lines[:1999] and got["d.jsonl", 2] == "two"
+
+
+def test_scope_counts_and_bursts(spark, tmp_path):
+    from quern.streaming.ingest import dedupe, watch
+
+    put(tmp_path, "s/a.txt", "x")
+    put(tmp_path, "s/node_modules/b.txt", "x")
+    put(tmp_path, "s/c.bin", "x")
+    assert tuple(files.scope_counts(spark, f"{tmp_path}/s").first()) == (3, 1)
+    changes = spark.createDataFrame([("a",), ("b",)], "path string")
+    changes.repartition(2).write.parquet(f"{tmp_path}/in")
+    runs = []
+    q = watch(spark.readStream.schema(changes.schema).parquet(f"{tmp_path}/in"), lambda: runs.append(1), f"file://{tmp_path}/w", "100 milliseconds").start()
+    q.processAllAvailable()
+    q.stop()
+    assert len(runs) == 1
+    rows = spark.createDataFrame([("s", "a", "2026-01-01 00:00:00"), ("s", "a", "2026-01-01 00:00:05"), ("s", "b", "2026-01-01 00:00:00")], "session_id string, message_uuid string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/d")
+    assert run_once(dedupe(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/d"), "t"), "within").count() == 2
