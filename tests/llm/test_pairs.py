@@ -206,6 +206,15 @@ def families(rng):
     return lines
 
 
+def at_the_threshold(rng):
+    """Lines of all lengths with one to a few edits, around the similarity that counts."""
+    lines = []
+    for _ in range(100):
+        words = [word(rng) for _ in range(int(rng.integers(12, 80)))]
+        lines += [" ".join(words), edited(rng, words, max(1, round(len(words) * rng.uniform(0.02, 0.06))))]
+    return lines
+
+
 def template(rng):
     """Families of similar lines whose bands are made of words that all families share."""
     common, lines = [word(rng) for _ in range(52)], []
@@ -230,7 +239,7 @@ def without_blanks(rng):
     return lines + [x[:-1] for x in lines[::4]] + ["x" + x for x in lines[1::4]] + [x[: len(x) // 2] + "々" + x[len(x) // 2 :] for x in lines[2::4]]
 
 
-@pytest.mark.parametrize("made", [families, template, hot_band, without_blanks])
+@pytest.mark.parametrize("made", [families, at_the_threshold, template, hot_band, without_blanks])
 def test_similar_lines(spark, made):
     """Recall against brute force over whole sets, and no line lost that has no similar one before it; all with exact."""
     lines = made(np.random.default_rng(9))
