@@ -60,25 +60,33 @@ def hashed(df: DataFrame, id_col: str, text: Column, dim: int, unit: bool) -> Da
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        size = 0
+        known: dict[str, int] = {}  # place of a token in slots and signs
+        slots, signs, held = np.zeros((1024, 16), dtype=np.int64), np.zeros((1024, 16), dtype=np.int64), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sums, touched = np.zeros((part.num_rows, dim), dtype=np.int64), np.zeros((part.num_rows, dim), dtype=bool)
+                if held > 64 << 20:
+                    known.clear()
+                    held = 0
+                row, token, many = [], [], []
                 for r, t in enumerate(part.column(1).to_pylist()):
-                    for token, times in Counter((t or "").split()).items():
-                        at = known.get(token)
+                    counted = Counter((t or "").split())
+                    for x in counted:
+                        at = known.get(x)
                         if at is None:
-                            seeds, signs = token_slots(token)
-                            at = np.array(seeds) % dim, np.array(signs)
-                            if len(token) <= 64:  # long ones are rare and would fill the memory
-                                if size >= 100_000:
-                                    known.clear()
-                                    size = 0
-                                known[token], size = at, size + 1
-                        np.add.at(sums[r], at[0], at[1] * times)
-                        touched[r, at[0]] = True
+                            at = known[x] = len(known)
+                            held += len(x) + 400
+                            if at == len(slots):
+                                slots, signs = (np.concatenate([v, np.zeros_like(v)]) for v in (slots, signs))
+                            seeds, signs[at] = token_slots(x)
+                            slots[at] = [seed % dim for seed in seeds]
+                        token.append(at)
+                    row += [r] * len(counted)
+                    many += counted.values()
+                flat = (np.array(row, dtype=np.int64)[:, None] * dim + slots[token]).ravel()
+                weight = (signs[token] * np.array(many, dtype=np.int64)[:, None]).ravel()
+                sums = np.bincount(flat, weight, minlength=part.num_rows * dim).astype(np.int64).reshape(-1, dim)
+                touched = np.bincount(flat, minlength=part.num_rows * dim).reshape(-1, dim) > 0
                 if unit:
                     length = np.sqrt((sums * sums).sum(1, dtype=np.float64))
                     made = sums / np.where(length > 0, length, 1)[:, None]
