@@ -484,9 +484,10 @@ def grouped(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", t
     labels = all_links(live, nodes, k, num, den)
     drop_staged(live)
     drop_staged(nodes)
-    of_set = sets.join(reps.select("fp", "check").join(labels, "fp"), ["fp", "check"], "left")
-    least = of_set.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    told = of_set.join(least, "label", "left").select("fp", "check", F.coalesce("least", "doc_id").alias("component_id"))
+    members = staged(sets.join(reps.select("fp", "check").join(labels, "fp"), ["fp", "check"]), "members")
+    least = staged(members.groupBy("label").agg(F.min("doc_id").alias("least")), "least")  # so that the join can split a large component
+    found = members.join(least, "label").select("fp", "check", "least")
+    told = sets.join(found, ["fp", "check"], "left").select("fp", "check", F.coalesce("least", "doc_id").alias("component_id"))
     linked_ = full.join(told, ["fp", "check"], "left")
     cols = ["doc_id", "mark", "n", "fp", "check"]
     alone = named.where("n = 0").select(*cols, F.col("doc_id").alias("component_id"))
