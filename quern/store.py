@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import threading
 import uuid
@@ -24,7 +25,7 @@ def scratch(spark: SparkSession, name: str = "quern") -> str:
     key = "spark.checkpoint.dir"
     base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"{key} must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _unset.get(app) or _unset.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quern-"))
