@@ -95,7 +95,8 @@ def flight(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-UNIT = "doc_id long, source string, size long, n long, source_size long, target double, whole long, bulk double, chance double, mark long, blocks long, round long, last boolean, block long"
+#: Ids travel as strings: in pandas, long ids beside a null one would become floats.
+UNIT = "doc_id string, source string, size long, n long, source_size long, target double, whole long, bulk double, chance double, mark long, blocks long, round long, last boolean, block long"
 
 
 def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
@@ -112,7 +113,7 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     joined = units.join(about.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", F.least(rate, F.lit(most)))
     whole = F.floor(F.col("rate") + EDGE)
     pending = joined.select(
-        "doc_id", "source", "size", "n", "source_size", "target", whole.cast("long").alias("whole"), (F.col("size") * F.col("n")).cast("double").alias("bulk"),
+        F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "n", "source_size", "target", whole.cast("long").alias("whole"), (F.col("size") * F.col("n")).cast("double").alias("bulk"),
         F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("chance"), F.xxhash64("doc_id", "source", "size").alias("mark"), F.ceil(F.col("rows") / F.lit(float(block))).cast("long").alias("blocks"),
     )
     done: DataFrame | None = None
@@ -128,7 +129,7 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
             break
         # two of a block are left; a source whose blocks were few comes together now
         pending = open_.withColumn("blocks", F.ceil(F.col("blocks") * 2 / F.lit(float(block))).cast("long")).drop("round", "last", "block")
-    return done.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("chance").cast("long")).alias("copies"))
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -138,7 +139,8 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mix_report(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, **cols: str) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and copies of every row.
 
-    A null text has size 0; a null source is a source of its own, the last. Repeated rows share their fate. An empty
+    A null text has size 0; a null source is a source of its own, the last. A null id is an id like any other. Repeated
+    rows share their fate. An empty
     table gives no rows. Reruns agree: blocks and random numbers come from hashes of the rows.
     """
     made = copies(staged(sized(df, **cols), "sizes"), weights, share, most)
