@@ -6,7 +6,8 @@ which two sketches differ is a lower bound of the symmetric difference of their
 band the difference of two linked sets is at most D, and B is larger than D, so that linked sets agree in a whole word
 (pigeonhole): documents are joined on (band, block, word). Blocks without a shingle agree for nothing, so a document
 draws its blocks anew, by the next seed, until fewer than B - D of them are empty; it joins under all seeds up to there,
-and of two linked sets the one that needs fewer seeds has a word with shingles in common with the other.
+and of two linked sets the one that needs fewer seeds has a word with shingles in common with the other. As linked sets
+differ in D words at most, they agree in one of their D + 1 rarest words, so only these are join keys.
 
 A second sketch of single bits prunes candidates by Hamming distance; what is left is verified exactly.
 """
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import components, drop_staged, keep, map_texts, mix64, read_table, staged, text_chunks
@@ -114,9 +115,12 @@ class Bands:
 
     @staticmethod
     def enough(n: int, d: int) -> int:
-        """Blocks so many that n shingles leave fewer than B - D of them empty, by two deviations if that is possible."""
+        """Blocks so many that n shingles leave fewer than B - D of them empty, by two deviations if that is possible.
+
+        Half as many more than D at least, so that the words of a passage that many share can be spared.
+        """
         best, at = -1e9, d + 1
-        for b in range(d + 1, 8 * (d + n) + 16):
+        for b in range(d + d // 2 + 4, 8 * (d + n) + 16):
             fill = n / b
             empty = b * math.exp(-fill)
             spread = math.sqrt(max(empty * (1 - (1 + fill) * math.exp(-fill)), 0.01))
@@ -144,9 +148,13 @@ def bands_of(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
-def sketch_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: hashes of (band, seed, block, word) of its blocks that hold shingles."""
-    found = []
+def sketch_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of a set: hashes of (band, seed, block, word) of its blocks that hold shingles.
+
+    And of each key its sketch (band and seed), and how many of that sketch's keys are more than D + 1: linked sets
+    differ in D words at most, so that they agree in one of the first D + 1 in any order of all keys.
+    """
+    found, sketch, spare = [], [], []
     for i in bands.of(len(s)):
         _, _, d, b = bands.at(i)
         seed = 0
@@ -158,10 +166,14 @@ def sketch_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             word = np.bitwise_xor.reduceat(mix64(h[order] + BASE), first)
             found.append(mix64(word + mix64(at[first].astype(np.uint64) + np.uint64(seed << 48) + np.uint64(i << 36))))
+            sketch.append(np.full(len(first), i << 12 | seed, dtype=np.int32))
+            spare.append(np.full(len(first), len(first) - d - 1, dtype=np.int32))
             if b - len(first) < b - d:  # empty blocks are fewer than the words that must agree
                 break
             seed += 1
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+    return np.concatenate(found), np.concatenate(sketch), np.concatenate(spare)
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
@@ -197,8 +209,8 @@ def names(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """key and fp for every join key of every set; a task puts a set out once."""
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    """key, fp, sketch and spare for every join key of every set; a task puts a set out once."""
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("sketch", pa.int32()), ("spare", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = bands_of(num, den), set()
@@ -214,11 +226,26 @@ def keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     seen.add(fp)
                     own = sketch_keys(s, bands)
                     made.append(own)
-                    of.append(np.full(len(own), fp, dtype=np.int64))
+                    of.append(np.full(len(own[0]), fp, dtype=np.int64))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(of))], schema=schema)
+                    key, sketch, spare = (np.concatenate([x[i] for x in made]) for i in range(3))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(of)), pa.array(sketch), pa.array(spare)], schema=schema)
+
+    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, fp long, sketch int, spare int")
 
-    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "key long, fp long")
+
+def rarest(shared: DataFrame) -> DataFrame:
+    """key, fp, least of the keys by which sets have to meet, of rows of keys().
+
+    Keys that one set has come first in the order of all keys, the others by how many rows have them. Of a sketch the
+    last ones, its commonest, go as far as they are spare, so that words of a passage that many documents share are no
+    keys, and sets without enough keys in common with any other meet nobody.
+    """
+    over = "over (partition by key)"
+    held = shared.select("*", F.expr(f"min(fp) {over}").alias("least"), F.expr(f"max(fp) {over}").alias("largest"), F.expr(f"count(1) {over}").alias("many")).where("least <> largest")
+    last = F.dense_rank().over(Window.partitionBy("fp", "sketch").orderBy(F.col("many").desc(), "key"))  # rows may repeat
+    left = held.withColumn("last", last).where("last > spare").select("key", "fp")
+    return left.withColumns({"least": F.expr(f"min(fp) {over}"), "largest": F.expr(f"max(fp) {over}")}).where("least <> largest").select("key", "fp", "least")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -474,8 +501,7 @@ def grouped(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", t
     """doc_id, mark (hash of the text), n, fp, check, and component_id, one row for every row of df."""
     docs = keep(df, id_col, text_col)
     named = staged(names(docs, k), "names")
-    shared = keys(docs, k, num, den).select("key", "fp", F.expr("min(fp) over (partition by key)").alias("least"), F.expr("max(fp) over (partition by key)").alias("largest"))
-    live = staged(shared.where("least <> largest").select("key", "fp", "least"), "live")
+    live = staged(rarest(keys(docs, k, num, den)), "live")
     full = named.where("n > 0")
     # two sets with one name: the one that is looked at is that of the least (doc_id, check), the others link with nothing
     sets = full.groupBy("fp", "check").agg(F.min("doc_id").alias("doc_id"))

@@ -199,6 +199,14 @@ def test_mix_of_odd_rows(spark):
     assert mixing.apply_mix(empty(spark)).count() == 0
 
 
+def test_long_ids_beside_a_null_one(spark):
+    ids = [(1 << 60) + 2 * i + 1 for i in range(200)] + [None]
+    df = spark.createDataFrame([(i, "one two three " * (1 + k % 5), "s") for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    rows = mixing.mix_report(df).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(ids)
+    assert Counter(r.doc_id for r in mixing.apply_mix(df).collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+
+
 def test_flight_keeps_totals():
     import random
 

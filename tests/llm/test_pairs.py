@@ -119,6 +119,23 @@ def test_group_of_near_copies_is_exact_and_makes_few_pairs(spark, monkeypatch, t
     assert max(made) < 240 * 239 / 8
 
 
+def test_a_passage_that_all_documents_share_is_no_key(spark, monkeypatch):
+    """Keys and pairs grow with the documents that are alike, not with a common passage; links stay exact."""
+    from quern.llm import jaccard_join
+
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"foot{i}" for i in range(40))
+    fresh = lambda: [f"w{x}" for x in rng.integers(0, 1 << 30, 40)]
+    texts = [fresh() for _ in range(1200)]
+    texts += [[*t[:20], "x", *t[21:]] for t in texts[:30]]
+    rows = [(i, f"{' '.join(t)} {shared}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = jaccard_join.rarest(jaccard_join.keys(df, 4, 85, 100))
+    assert keyed.groupBy("key").count().agg({"count": "max"}).first()[0] < 20
+    got = {r.doc_id: r.component_id for r in similar(df, 4, 85, 100).collect()}
+    assert got == {i: i - 1200 if i >= 1200 else i for i in range(1230)}
+
+
 @pytest.mark.parametrize("start", [[0], [0, 20, 40], [0, 59]])
 def test_forests_cover_what_hamming_leaves(start):
     from quern.llm.jaccard_join import bit_sketch, candidates, forests, linked
@@ -174,6 +191,28 @@ def test_lines_of_odd_rows(spark):
     assert kept.columns == odd(spark).columns and texts[15] == ("line one of two\nline two", 24) and 2 not in texts and texts[3][0] is None
 
 
+def test_lines_of_rows_without_ids(spark):
+    """They stand before all others; repeated ones lose the same lines."""
+    df = spark.createDataFrame([(None, "alpha beta gamma delta\nsecond line of it"), (4, "alpha beta gamma delta\nits own line here"), (None, "x\nits own line here"), (4, "its own line here")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_lines, tuple(r.removed)) for r in line_report(df).collect())
+    assert got == [(0, 2, ()), (0, 2, ()), (4, 1, (0,)), (4, 2, (0, 1))]
+    assert {r.text for r in drop_lines(df).collect()} == {"alpha beta gamma delta\nsecond line of it", "x\nits own line here"}
+
+
+@pytest.mark.parametrize("pairs", [800, 3000])
+def test_lines_of_few_words_in_many_combinations(spark, pairs):
+    """Pairs of lines that differ in one of twenty words, among thousands that share every word with others."""
+    rng = np.random.default_rng(pairs)
+    words = [["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3)] for _ in range(20)]
+    lines = []
+    for _ in range(pairs):
+        at, k = rng.integers(0, 3, 20), int(rng.integers(20))
+        lines += [" ".join(w[v] for w, v in zip(words, at, strict=True)), " ".join(w[(v + (i == k)) % 3] for i, (w, v) in enumerate(zip(words, at, strict=True)))]
+    sets = whole_sets(lines)
+    should = {2 * p + 1 for p in range(pairs) if 100 * len(sets[2 * p] & sets[2 * p + 1]) >= 80 * len(sets[2 * p] | sets[2 * p + 1])}
+    assert len(should) > pairs // 4 and len(gone(spark, lines) & should) >= 0.98 * len(should)
+
+
 def whole_sets(lines):
     return [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
 
