@@ -1,6 +1,6 @@
 """The engine's verbs over a store folder: index, search, ingest, recall, review, coverage, doctor, forget, import.
 
-A store holds tables (files, chunks, identity, messages, vectors, postings, stats, ledger, archive) under one manifest:
+A store holds tables (files, chunks, identity, messages, vectors, postings, stats, totals, ledger, archive) under one manifest:
 a change of several is written beside the old ones and then turned to at once, so that readers and failures never meet
 half of it; ingest adds parts and rewrites nothing.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import store, verbs
@@ -19,13 +19,13 @@ from quern.functions import chunks as chunking
 from quern.functions import text as rules
 from quern.functions.globs import excluded
 from quern.functions.vectors import Embedder, embedder
-from quern.operators import fts, health, ingest, recall, reconcile, review, search, state
+from quern.operators import fts, health, ingest, keyword_index, recall, reconcile, review, search, state
 from quern.sources import files, sinks
 from quern.store import Store, staged
 
 SOURCES = ("memory", "sessions", "all")
 #: Number of the layout of the store's tables.
-SCHEMA = 2
+SCHEMA = 3
 #: A component of a path that may come from outside: no separators, no dots alone, no control characters.
 SAFE = r"^(?!\.+$)[\p{L}\p{N}_.\-]{1,255}$"
 
@@ -63,7 +63,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str, settings: Settings = DEFAULTS, model: Embedder | None = None, exclude: list[str] = ()):
         self.spark, self.store, self.s, self.exclude = spark, store.rstrip("/"), settings, list(exclude)
         self.model = model or embedder("hashing", settings.dim)
-        self.db = Store(spark, self.store)
+        self.db = Store(spark, self.store, {"postings": keyword_index.LAYOUT})
 
     # ------------------------------------------------------------------ tables
 
@@ -124,7 +124,8 @@ class Engine:
         listing = files.files(self.spark, path, "*.jsonl").select("path", "mtime_unix", "size_bytes")
         listing = listing.where(~excluded(F.col("path"), self.exclude))
         todo = listing if full or not self.has("ledger") else ingest.changed_files(listing, self.table("ledger"))
-        lines = files.transcripts(self.spark, path).join(todo.select(F.col("path").alias("jsonl_path")), "jsonl_path", "left_semi")
+        # what has not changed is not opened; the names of what has are fewer than those that Spark's own listing holds
+        lines = files.transcripts(self.spark, *[files.as_path(r.path) for r in todo.select("path").collect()])
         told = ingest.messages(lines)
         good = told.where("disposition = 'message'").where(is_safe(F.col("session_id"))).drop("kind", "disposition")
         told_, listing = staged(ingest.counters(told), "counters"), staged(listing, "listing")
@@ -137,10 +138,14 @@ class Engine:
         new = ingest.first_writer(rows, old)
         new = staged(new if old is None else new.select(*old.columns), "new")
         text = F.col("content")
-        add = {"messages": new, "vectors": self.model.embed(new.select("message_uuid", "content"), "message_uuid", text), "postings": fts.postings(new, "message_uuid", text, True), "stats": fts.doc_stats(new, "message_uuid", text)}
+        add = {"messages": new, "vectors": self.model.embed(new.select("message_uuid", "content"), "message_uuid", text)} | self._postings(new)
         self.db.commit(put, add)
         return new
 
+    @staticmethod
+    def _postings(messages: DataFrame) -> dict[str, DataFrame]:
+        return dict(zip(("postings", "stats", "totals"), keyword_index.build(messages, "message_uuid", F.col("content"), True), strict=True))
+
     def embed_missing(self) -> int:
         """Adds vectors for the messages that lack one; how many. What is stored is never embedded again."""
         rows = self.table("messages").select("message_uuid", "content")
@@ -159,8 +164,7 @@ class Engine:
 
     def rebuild_fts(self) -> None:
         """Postings and lengths of all messages, made anew."""
-        m, text = self.table("messages"), F.col("content")
-        self.db.commit({"postings": fts.postings(m, "message_uuid", text, True), "stats": fts.doc_stats(m, "message_uuid", text)})
+        self.db.commit(self._postings(self.table("messages")))
 
     def forget(self, session: str) -> None:
         """Drops a session from every table and from the archive, in one version; an unknown one is an error."""
@@ -171,7 +175,11 @@ class Engine:
         if ids.isEmpty() and (archived is None or archived.isEmpty()):
             raise KeyError(f"no session {session!r}")
         without = lambda t: self.table(t).join(ids.select("message_uuid"), "message_uuid", "left_anti")
-        put = {"messages": reconcile.forget({"m": m}, gone)["m"]} | {t: without(t) for t in ("vectors", "postings", "stats") if self.has(t)}
+        put = {"messages": reconcile.forget({"m": m}, gone)["m"]} | ({"vectors": without("vectors")} if self.has("vectors") else {})
+        if self.has("postings"):
+            lost = ids.select(F.col("message_uuid").alias("id"))
+            put |= {"postings": keyword_index.without(self.table("postings"), lost), "stats": (stats := self.table("stats").join(lost, "id", "left_anti"))}
+            put["totals"] = stats.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"))
         if self.has("ledger"):
             put["ledger"] = self.table("ledger").join(ids.select(F.col("jsonl_path").alias("path")).distinct(), "path", "left_anti")
         if archived is not None:
@@ -195,6 +203,11 @@ class Engine:
         shut = F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False))
         live = raw.join(where, "path", "left").join(session, "path", "left").where(~shut)
         old = self.table("archive") if self.has("archive") else None
+        if old is not None:  # a session that was put together again goes by its transcript's name, so that this replaces it
+            named = live.where("session_id is not null").groupBy("session_id").agg(F.min("path").alias("__live"))
+            named = named.join(old.select(F.col("path").alias("__live")), "__live", "left_anti")  # but not if that one is archived as well
+            made = F.col("origin") == "backfill"
+            old = old.join(named, "session_id", "left").withColumn("path", F.when(made, F.coalesce("__live", "path")).otherwise(F.col("path"))).select(*old.columns)
         shape = "path string, cwd string, session_id string, data binary, mtime_unix long, size_bytes long, origin string"
         held = old if old is not None else self.spark.createDataFrame([], shape)
         decided = staged(reconcile.archive_reconcile(live, held.select("path", "data"), held.select("path", "mtime_unix", "size_bytes", "origin")), "decided")
@@ -205,12 +218,17 @@ class Engine:
         return decided.groupBy("action").agg(F.count("*").alias("n")).unionByName(removed)
 
     def backfill(self) -> DataFrame:
-        """Sessions of the index that the archive lacks, put together again and archived; session_id and n_lines."""
+        """Sessions of the index that the archive lacks, put together again and archived; session_id and n_lines.
+
+        Sessions whose folder (cwd) is excluded are left out.
+        """
         held = self.table("archive").select("session_id") if self.has("archive") else self.spark.createDataFrame([], "session_id string")
-        lines = ingest.to_jsonl(self.table("messages").join(held.distinct(), "session_id", "left_anti"))
+        of_session = self.table("messages").groupBy("session_id").agg(F.min_by("cwd", F.when(F.col("cwd") != "", F.col("line_number"))).alias("cwd"))
+        open_ = staged(of_session.where(~F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False))).join(held.distinct(), "session_id", "left_anti"), "open")
+        lines = ingest.to_jsonl(self.table("messages").join(open_.select("session_id"), "session_id", "left_semi"))
         made = staged(reconcile.reassemble(lines.withColumnsRenamed({"raw": "content"}).withColumn("message_uuid", F.lit(""))), "backfilled")
         data = F.col("body").cast("binary")
-        rows = made.select(F.concat(F.lit("backfill/"), "session_id", F.lit(".jsonl")).alias("path"), F.lit(None).cast("string").alias("cwd"), "session_id", data.alias("data"), F.lit(0).cast("long").alias("mtime_unix"), F.octet_length("body").cast("long").alias("size_bytes"), F.lit("backfill").alias("origin"))
+        rows = made.join(open_, "session_id").select(F.concat(F.lit("backfill/"), "session_id", F.lit(".jsonl")).alias("path"), "cwd", "session_id", data.alias("data"), F.lit(0).cast("long").alias("mtime_unix"), F.octet_length("body").cast("long").alias("size_bytes"), F.lit("backfill").alias("origin"))
         self.db.commit(add={"archive": rows})
         return made.select("session_id", "n_lines")
 
@@ -219,16 +237,20 @@ class Engine:
     def _session_hits(self, query: str, n: int) -> tuple[DataFrame, DataFrame]:
         keys = self.table("messages").select("session_id", "message_uuid")
         phrases = fts.stem_phrases(fts.query_phrases(query))
-        words = fts.bm25_phrases(self.table("postings"), self.table("stats"), "message_uuid", phrases).orderBy(F.desc("score"), "message_uuid").limit(n)
+        words = keyword_index.topk(self.table("postings"), self.table("totals"), phrases, n).withColumnRenamed("id", "message_uuid")
         near = search.cosine_topk(self.table("vectors"), self.model.embed_query(query), n, "message_uuid").select("message_uuid", F.col("cosine_score").alias("score"))
         return (words.join(keys, "message_uuid").withColumn("rank", F.lit(0)), near.join(keys, "message_uuid").withColumn("rank", F.lit(0)))
 
     def search(self, query: str, k: int | None = None, source: str = "all", include_invalidated: bool = False) -> DataFrame:
-        """tier, id, score, snippet of the best memories and the best session messages; the tiers stay apart."""
+        """tier, id, score, snippet of the best memories and the best session messages; the tiers stay apart.
+
+        An index of another model is an error, one of an older layout is brought up to date first.
+        """
         import dataclasses
 
         if source not in SOURCES:
             raise ValueError(f"source is one of {SOURCES}")
+        self.guard()
         s = dataclasses.replace(self.s, k=k or self.s.k)
         parts = []
         if source != "sessions":
@@ -243,6 +265,19 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def guard(self) -> bool:
+        """Stops where the index was made by another model; makes anew what an older layout holds otherwise. Whether it did."""
+        row = self.table("identity").first() if self.has("identity") else None
+        if row is None:
+            return False
+        if (row.model, row.dim) != (type(self.model).__name__, self.model.dim):
+            raise ValueError(f"the index was made by {row.model} ({row.dim} wide), not {type(self.model).__name__} ({self.model.dim}): rebuild it")
+        if row.schema == SCHEMA:
+            return False
+        now = self.table("identity").withColumn("schema", F.lit(SCHEMA))
+        self.db.commit({"identity": staged(now, "identity")} | (self._postings(self.table("messages")) if self.has("messages") else {}))
+        return True
+
     def suspect_index(self, query: str) -> bool:
         """Whether a search that finds nothing should not be believed: rows are stored, and none was merely filtered."""
         stored = sum(self.table(t).count() for t in ("chunks", "messages") if self.has(t))
@@ -382,13 +417,17 @@ class Engine:
 
     def recall_candidates(self, probes: tuple[str, ...] = rules.PROBES) -> DataFrame:
         """Messages that standing phrases find in either tier, best score first, near-known ones marked captured."""
-        hits = None
-        for i, probe in enumerate(probes):
-            for tier, df in enumerate(self._session_hits(probe, self.s.per_probe)):
-                part = df.select("session_id", "message_uuid", "score", F.lit(i).alias("query_idx"), F.lit(tier).alias("tier_rank"), F.col("rank"))
-                hits = part if hits is None else hits.unionByName(part)
+        asked = {i: fts.stem_phrases(fts.query_phrases(p)) for i, p in enumerate(probes)}
+        told = self.table("totals").agg(F.sum("docs").alias("n"), F.sum("tokens").alias("t")).first()
+        found = keyword_index.hits(self.table("postings"), {t for x in asked.values() for p in x for t in p})  # one scan for all probes
+        words = keyword_index.probe_scores(found, asked, told.n or 0, (told.t or 0) / max(told.n or 0, 1) or 1.0).select("probe", F.col("id").alias("message_uuid"), "score")
+        first = Window.partitionBy("probe").orderBy(F.desc("score"), "message_uuid")
+        words = words.withColumn("n", F.row_number().over(first)).where(F.col("n") <= self.s.per_probe).select("message_uuid", "score", F.col("probe").alias("query_idx"), F.lit(0).alias("tier_rank"), F.lit(0).alias("rank"))
+        queries = self.spark.createDataFrame([(i, self.model.embed_query(p)) for i, p in enumerate(probes)], "probe int, query array<double>")
+        near = search.probes_topk(self.table("vectors"), queries, self.s.per_probe, "message_uuid")
+        hits = near.select("message_uuid", F.col("cosine_score").alias("score"), F.col("probe").alias("query_idx"), F.lit(1).alias("tier_rank"), F.lit(0).alias("rank")).unionByName(words)
         m = self.table("messages")
-        paths = m.select("message_uuid", "jsonl_path")
+        paths = m.select("message_uuid", "session_id", "jsonl_path")
         best = recall.keep_best(hits.join(paths, "message_uuid"), ["session_id", "message_uuid"], self.s.recall_most, "jsonl_path", self.exclude)
         full = best.join(m.select("message_uuid", "content", "role", "cwd", "timestamp_unix"), "message_uuid")
         marked = recall.split_captured(self.table("vectors").join(best.select("message_uuid"), "message_uuid", "left_semi"), self.table("chunks").select("chunk_id", "embedding"), "message_uuid", "chunk_id", self.s.recall_similarity)
@@ -420,7 +459,7 @@ class Engine:
             m, v = self.table("messages"), self.table("vectors")
             checks["messages without a vector"] = (ingest.unembedded(m.select("message_uuid"), v, "message_uuid"), "embed what is missing")
             checks["vectors without a message"] = (v.select("message_uuid").join(m.select("message_uuid"), "message_uuid", "left_anti"), "rebuild the vectors")
-            stray, missing = fts.consistency(m, self.table("postings").select("message_uuid"), "message_uuid", F.col("content"))
+            stray, missing = fts.consistency(m, self.table("postings").select(F.explode("entries.id").alias("message_uuid")), "message_uuid", F.col("content"))
             checks["postings without a message"] = (stray, "rebuild the keyword index")
             checks["messages that are not in the keyword index"] = (missing, "rebuild the keyword index")
         if archive_path:
@@ -438,13 +477,13 @@ class Engine:
         return self.table("archive").agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("files"), F.max("mtime_unix").alias("newest"), F.sum("size_bytes").alias("bytes"))
 
     def lost_chunks(self, every: int = 64, top: int = 3) -> DataFrame:
-        """Of one in so many stored chunks, those that a search by their own vector does not bring up among the first."""
-        rows = self.table("chunks").select("chunk_id", "embedding")
+        """Of one in so many stored chunks, those that a search for their own text, embedded anew, does not bring up among the first."""
+        rows = self.table("chunks")
         asked = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0).orderBy("chunk_id").limit(32)
-        hits = search.probes_topk(rows, asked.select(F.col("chunk_id").alias("probe"), F.col("embedding").alias("query")), top, "chunk_id")
-        # a chunk of the same text may stand before it
-        best = hits.groupBy("probe").agg(F.max("cosine_score").alias("best"), F.count_if(F.col("probe") == F.col("chunk_id")).alias("found"))
-        return best.where("found = 0 and best < 0.999").select("probe")
+        again = self.model.embed(asked.select("chunk_id", chunking.embedding_text(F.col("name"), F.col("text")).alias("t")), "chunk_id", F.col("t"))
+        hits = search.probes_topk(rows.select("chunk_id", "embedding"), again.select(F.col("chunk_id").alias("probe"), F.col("embedding").alias("query")), top, "chunk_id")
+        # a chunk of the same text may stand before it; one that only comes up as nothing is nearer does not find itself
+        return hits.groupBy("probe").agg(F.max("cosine_score").alias("best")).where("best < 0.999").select("probe")
 
     def unimported(self, scope_file: str) -> DataFrame:
         """Files of the included folders that no message was made of."""

@@ -1,15 +1,19 @@
-"""Heading-aware chunks of markdown. Python, in Arrow batches: line rules and paragraph packing have no built-in."""
+"""Heading-aware chunks of markdown: for tables by array functions and a fold, for single strings in Python."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
+#: The white space that str.strip() takes off, and what str.splitlines() breaks at.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = f"{BLANK}+"
+BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+HEAD = f"^#{{1,6}}{BLANKS}(.+)$"
 
 
 def sections(body: str) -> Iterator[tuple[str | None, str, int, int]]:
@@ -54,18 +58,63 @@ def chunk(body: str | None, most: int) -> list[dict]:
     return [dict(zip(names, c, strict=True)) for s in sections(body or "") for c in packed(*s, most)]
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """id, chunk_no, heading, text, line_start, line_end of every chunk; blank bodies have none."""
-    kind = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]))
-    of = dict(df.dtypes)[id_col]
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
+
+
+def _lines(body: Column) -> Column:
+    """The lines of a text, without an empty one after its last line break."""
+    found = F.split(F.regexp_replace(body, BREAKS, "\n"), "\n", -1)
+    return F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+
+
+def _sections(lines: Column) -> Column:
+    """Array of (heading, text, first, last) of the text before the first heading and of each heading's."""
+    n = F.size(lines)
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HEAD), i)), lambda i: i.isNotNull())
+    ends = F.arrays_zip(F.concat(F.array(F.lit(0)), heads).alias("a"), F.concat(heads, F.array(n)).alias("b"))
+    heading = lambda at: F.nullif(_strip(F.regexp_extract(F.get(lines, at), HEAD, 1)), F.lit(""))
+    made = F.transform(ends, lambda z: F.struct(heading(z["a"]).alias("heading"), _strip(F.array_join(F.slice(lines, z["a"] + 1, z["b"] - z["a"]), "\n")).alias("text"), (z["a"] + 1).alias("first"), z["b"].alias("last")))
+    return F.filter(made, lambda s: s["text"] != "")
+
+
+def _parts(text: Column, most: int) -> Column:
+    """What is packed of a section: the whole text if it fits, else its paragraphs, a heading with the next one."""
+    parts = F.split(text, f"\n{BLANK}*\n", -1)
+    glued = F.concat(F.array(F.concat(F.get(parts, F.lit(0)), F.lit("\n\n"), F.get(parts, F.lit(1)))), F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))))
+    alone = (F.size(parts) > 1) & F.substring_index(F.get(parts, F.lit(0)), "\n", 1).rlike(HEAD)
+    return F.when(F.octet_length(text) <= most, F.array(text)).when(alone, glued).otherwise(parts)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([chunk(t, most) for t in part.column(1).to_pylist()], kind)], names=[id_col, "chunks"])
+CHUNK = "struct<text:string,line_start:int,line_end:int>"
+
+
+def _packed(section: Column, most: int) -> Column:
+    """Array of CHUNK of a section: a fold over its parts, whose state is the chunks so far and the open one."""
+    start = F.struct(F.array().cast(f"array<{CHUNK}>").alias("done"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("size"), F.lit(0).alias("lines"), section["first"].alias("start"))
+
+    def closed(s: Column, end: Column) -> Column:
+        text = _strip(s["text"])
+        return F.when(text != "", F.concat(s["done"], F.array(F.struct(text.alias("text"), s["start"].alias("line_start"), F.least(end, section["last"]).alias("line_end"))))).otherwise(s["done"])
+
+    def step(s: Column, p: Column) -> Column:
+        size, lines = F.octet_length(p), F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 2
+        end = s["start"] + s["lines"] - 1
+        opened = F.struct(closed(s, end).alias("done"), p.alias("text"), size.alias("size"), lines.alias("lines"), (end + 1).alias("start"))
+        first = F.struct(s["done"].alias("done"), p.alias("text"), size.alias("size"), lines.alias("lines"), s["start"].alias("start"))
+        grown = F.struct(s["done"].alias("done"), F.concat(s["text"], F.lit("\n\n"), p).alias("text"), (s["size"] + size).alias("size"), (s["lines"] + lines).alias("lines"), s["start"].alias("start"))
+        return F.when(s["text"].isNull(), first).when(s["size"] + size > most, opened).otherwise(grown)
+
+    return F.aggregate(_parts(section["text"], most), start, step, lambda s: closed(s, section["last"]))
+
+
+def chunks(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """id, chunk_no, heading, text, line_start, line_end of every chunk; blank bodies have none. No shuffle, no Python.
 
-    made = df.select(id_col, text_col).mapInArrow(run, f"{id_col} {of}, chunks array<struct<heading:string,text:string,line_start:int,line_end:int>>")
+    Sections longer than `most` bytes are packed: their paragraphs are joined while they fit, joints do not count, one
+    paragraph may overshoot.
+    """
+    made = df.select(F.col(id_col), F.flatten(F.transform(_sections(_lines(F.col(text_col))), lambda s: F.transform(_packed(s, most), lambda c: F.struct(s["heading"].alias("heading"), c["text"].alias("text"), c["line_start"].alias("line_start"), c["line_end"].alias("line_end"))))).alias("chunks"))
     return made.select(id_col, F.posexplode("chunks").alias("chunk_no", "c")).select(id_col, "chunk_no", "c.*")
 
 

@@ -80,7 +80,7 @@ def note_line(line: Column) -> Column:
 
 
 def suggested_name(text: Column) -> Column:
-    first = F.trim(F.regexp_extract(F.btrim(text, F.lit(" \n\r\t")), r"^([^.\n!?]*)", 1))
+    first = stripped(F.regexp_extract(stripped(text), r"^([^.\n!?]*)", 1))
     return F.when(F.length(first) > 70, F.concat(F.substring(first, 1, 70), F.lit("…"))).when(first == "", "untitled").otherwise(first)
 
 
@@ -130,7 +130,7 @@ def version(tag: Column) -> Column:
 def is_limit(code: Column, message: Column) -> Column:
     """A stop that looks like a usage limit: a known code, or a message of a limit that is worded like one."""
     said = F.lower(F.coalesce(message, F.lit("")))
-    return F.coalesce(code, F.lit("")).rlike(LIMIT_CODES) | said.contains("limit") & said.rlike(LIMIT_WORDS)
+    return F.lower(F.coalesce(code, F.lit(""))).rlike(LIMIT_CODES) | said.contains("limit") & said.rlike(LIMIT_WORDS)
 
 
 def reset_time(message: Column, base: Column) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.config import DEFAULTS, Settings
 from quern.functions.dates import first_filled, to_date
-from quern.functions.vectors import cosine, cosine_to, l2
+from quern.functions.vectors import TINY, cosine_to
 
 
 def cosine_topk(df: DataFrame, query: list[float], k: int, id_col: str, vector_col: str = "embedding", digits: int | None = 6) -> DataFrame:
@@ -17,11 +23,45 @@ def cosine_topk(df: DataFrame, query: list[float], k: int, id_col: str, vector_c
 
 
 def probes_topk(df: DataFrame, probes: DataFrame, k: int, id_col: str, vector_col: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """The k nearest rows of every probe (probe, query). Probes are few by contract and go to every task."""
-    score = {"cosine": cosine, "l2": lambda a, b: -l2(a, b)}[metric](F.col(vector_col), F.col("query"))
-    scored = df.join(F.broadcast(probes)).select("probe", id_col, F.round(score, 6).alias("cosine_score"))
-    rank = Window.partitionBy("probe").orderBy(F.desc("cosine_score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    """The k nearest rows of every probe (probe, query), by cosine or by the negative distance (l2).
+
+    Probes are few by contract and go to every task, which multiplies its rows' matrix by theirs and keeps k rows a
+    probe. Ids are long or string; scores are rounded to six digits and ties go by id.
+    """
+    if metric not in ("cosine", "l2"):
+        raise ValueError("metric is cosine or l2")
+    asked = probes.select("probe", "query").collect()
+    kind = df.schema[id_col].dataType
+    shape = T.StructType().add("i", T.IntegerType()).add(id_col, kind).add("cosine_score", T.DoubleType())
+    if not asked:
+        return df.sparkSession.createDataFrame([], T.StructType().add(probes.schema["probe"]).add(df.schema[id_col]).add("cosine_score", T.DoubleType()).add("rank", T.IntegerType()))
+    q = np.array([r.query for r in asked], dtype=np.float64)
+    long = np.sqrt((q * q).sum(axis=1))
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in asked]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                piece = batch.slice(lo, 2048)
+                ids = piece.column(0).to_pylist()
+                v = piece.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                if metric == "cosine":
+                    scores = (q @ v.T) / ((np.sqrt((v * v).sum(axis=1)) + TINY)[None, :] * (long + TINY)[:, None])
+                else:
+                    scores = -np.sqrt(np.stack([((v - x) ** 2).sum(axis=1) for x in q]))
+                scores = np.round(scores, 6)
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+                for i, floor in enumerate(least.tolist()):
+                    mine = [(-s, ids[j]) for j, s in ((j, float(scores[i, j])) for j in np.flatnonzero(scores[i] >= floor).tolist())]
+                    best[i] = sorted(best[i] + mine)[:k]
+        rows = [(i, x, -s) for i, found in enumerate(best) for s, x in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], arrow), pa.array([r[2] + 0.0 for r in rows], pa.float64())], names=["i", id_col, "cosine_score"])
+
+    there = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    named = F.broadcast(df.sparkSession.createDataFrame([(i, r.probe) for i, r in enumerate(asked)], T.StructType().add("i", T.IntegerType()).add(probes.schema["probe"])))
+    rank = Window.partitionBy("i").orderBy(F.desc("cosine_score"), id_col)
+    return there.mapInArrow(run, shape).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).join(named, "i").select("probe", id_col, "cosine_score", "rank")
 
 
 def layer_of(path: Column, home: str) -> Column:

@@ -85,9 +85,18 @@ def marked_up(spark, sf) -> DataFrame:
     return d.select("doc_id", F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text", F.lit("\n\n## More\n"), "text").alias("body"))
 
 
-@query("f1_chunks")
+@query("f1_chunks", f"""WITH RECURSIVE b AS (SELECT doc_id, string_split('# Title ' || doc_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '## More' || chr(10) || text, chr(10)) AS l FROM documents),
+ x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM b), h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS head FROM x),
+ s AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h),
+ t AS (SELECT doc_id, section, max(CASE WHEN head THEN trim(regexp_extract(line, '^#{{1,6}}\\s+(.+)$', 1)) END) AS heading, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, min(i) AS first, max(i) AS last FROM s GROUP BY ALL),
+ u AS (SELECT *, string_split_regex(text, '\\n\\s*\\n') AS p FROM t WHERE text <> ''),
+ q AS (SELECT * REPLACE (CASE WHEN strlen(text) <= {DEFAULTS.chunk_bytes} THEN [text] WHEN len(p) > 1 AND regexp_matches(split_part(p[1], chr(10), 1), '^#{{1,6}}\\s+.+$') THEN list_concat([p[1] || chr(10) || chr(10) || p[2]], p[3:]) ELSE p END AS p) FROM u),
+ k AS (SELECT doc_id, section, 1 AS i, 0 AS g, strlen(p[1]) AS size FROM q UNION ALL
+  SELECT k.doc_id, k.section, k.i + 1, CASE WHEN size + strlen(p[k.i + 1]) > {DEFAULTS.chunk_bytes} THEN g + 1 ELSE g END, CASE WHEN size + strlen(p[k.i + 1]) > {DEFAULTS.chunk_bytes} THEN strlen(p[k.i + 1]) ELSE size + strlen(p[k.i + 1]) END FROM k JOIN q USING (doc_id, section) WHERE k.i < len(p)),
+ m AS (SELECT doc_id, section, g, heading, first, last, regexp_replace(string_agg(p[i], chr(10) || chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, sum(length(p[i]) - length(replace(p[i], chr(10), '')) + 2) AS n FROM k JOIN q USING (doc_id, section) GROUP BY ALL),
+ c AS (SELECT *, first + coalesce(sum(n) OVER (PARTITION BY doc_id, section ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins, (g = max(g) OVER (PARTITION BY doc_id, section)) AS closing FROM m)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section NULLS FIRST, g) - 1 AS INTEGER) AS chunk_no, heading, text, CAST(begins AS INTEGER) AS line_start, CAST(CASE WHEN closing THEN last ELSE least(begins + n - 1, last) END AS INTEGER) AS line_end FROM c WHERE text <> ''""")
 def f1(spark, sf) -> DataFrame:
-    """Chunks with packing; the packing loop is no SQL, so it has tests of its own. Sections below have SQL."""
     return chunks.chunks(marked_up(spark, sf), "doc_id", "body", DEFAULTS.chunk_bytes)
 
 

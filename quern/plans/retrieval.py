@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quern.config import DEFAULTS
 from quern.functions import vectors
-from quern.operators import fts, recall, search
+from quern.operators import fts, keyword_index, recall, search
+from quern.operators.vector_index import VectorIndex
 from quern.plans.base import query
-from quern.plans.binding import MEM, MSG, embedded, mem, msg, query_vector, table, with_vector
+from quern.plans.binding import MEM, MSG, embedded, msg, query_vector, table, with_vector
+from quern.store import staged
 
 Q0 = "q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 NEAR = f"{Q0}, {MEM}, near AS (SELECT m.*, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS cosine_score FROM mem m JOIN embeddings e ON e.vec_id = m.chunk_id % (SELECT count(*) FROM embeddings) CROSS JOIN q0 ORDER BY cosine_score DESC, chunk_id LIMIT 25)"
@@ -44,6 +46,14 @@ def w2_l2(spark, sf) -> DataFrame:
     return search.probes_topk(table(spark, sf, "embeddings"), probes(spark, sf), 5, "vec_id", metric="l2")
 
 
+@query("w2_ivf_exact", "SELECT probe, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT p.vec_id AS probe, e.vec_id, round(-list_distance(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(-list_distance(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings p ON p.vec_id % 100 = 0) WHERE rank <= 10")
+def w2_ivf(spark, sf) -> DataFrame:
+    """The ten nearest rows of every row whose id is divisible by 100, over an inverted-file index, by bounds of its lists."""
+    e = table(spark, sf, "embeddings")
+    index = VectorIndex.build(e, "vec_id", cosine=False)
+    return index.search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("query")), 10, exact=True)
+
+
 HASHED = """WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS token FROM documents),
  c AS (SELECT doc_id, token, count(*) AS times FROM t WHERE token <> '' GROUP BY ALL), h AS (SELECT doc_id, times, sha256(token) AS d FROM c),
  p AS (SELECT doc_id, times, CAST(('0x' || substr(d, 4 * i + 1, 4)) AS INTEGER) AS seed, 1 - 2 * (CAST(('0x' || substr(d, 4 * i + 1, 2)) AS INTEGER) % 2) AS sign FROM h, range(16) r(i)),
@@ -111,6 +121,22 @@ def w3_porter(spark, sf) -> DataFrame:
     return fts.bm25(msg(spark, sf), "message_uuid", F.col("content"), fts.stem_phrases([[t] for t in TERMS]), stemmed=True).withColumn("score", F.round("score", 6))
 
 
+def stored_index(spark, sf) -> tuple[DataFrame, DataFrame]:
+    blocks, _, totals = keyword_index.build(msg(spark, sf), "message_uuid", F.col("content"))
+    return staged(blocks, "blocks", layout=keyword_index.LAYOUT), totals
+
+
+@query("w3_indexed_topk", f"WITH {MSG}, {TF2} SELECT message_uuid, round({TWO}, 6) AS score FROM tf CROSS JOIN tot WHERE tf0 > 0 AND tf1 > 0 ORDER BY round({TWO}, 6) DESC, message_uuid LIMIT 20")
+def w3_indexed(spark, sf) -> DataFrame:
+    """The search of w3_bm25_topk over a stored index, from the buckets of the greatest bounds on."""
+    return keyword_index.topk(*stored_index(spark, sf), [[t] for t in TERMS], 20).withColumnRenamed("id", "message_uuid")
+
+
+@query("w3_indexed_phrase", f"WITH {MSG}, {TOKS}, tf AS (SELECT message_uuid, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf0 FROM toks), tot AS (SELECT count(*) AS n, avg(dl) AS a, count_if(tf0 > 0) AS d0 FROM tf) SELECT message_uuid, round({part('tf0', 'd0')}, 6) AS score FROM tf CROSS JOIN tot WHERE tf0 > 0")
+def w3_indexed_phrase(spark, sf) -> DataFrame:
+    return keyword_index.topk(*stored_index(spark, sf), fts.query_phrases("of-the"), None).withColumnRenamed("id", "message_uuid")
+
+
 VEC = "vec AS (SELECT message_uuid, session_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 6) AS score FROM msg JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) CROSS JOIN q0)"
 
 
@@ -188,13 +214,14 @@ A5 = f"""{MSG}, {TOKS}, w AS (SELECT message_uuid, unnest(t) AS term FROM toks),
 
 def recalled(spark, sf) -> DataFrame:
     """The first hits of each probe in either tier, one row a message."""
-    near = search.probes_topk(message_vectors(spark, sf).select("message_uuid", "embedding"), probes(spark, sf), DEFAULTS.per_probe, "message_uuid")
-    hits = near.select("message_uuid", F.col("cosine_score").alias("score"), F.col("probe").cast("int").alias("query_idx"), F.lit(1).alias("tier_rank"), "rank")
-    m = msg(spark, sf)
-    for i, term in enumerate(TERM_OF_PROBE):
-        found = fts.bm25(m, "message_uuid", F.col("content"), [[term]]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "message_uuid").limit(DEFAULTS.per_probe)
-        order = Window.orderBy(F.desc("score"), "message_uuid")  # of five rows
-        hits = hits.unionByName(found.select("message_uuid", "score", F.lit(i).alias("query_idx"), F.lit(0).alias("tier_rank"), F.row_number().over(order).alias("rank")))
+    found, rows = keyword_index.scanned(msg(spark, sf), "message_uuid", F.col("content"), set(TERM_OF_PROBE), "conv_id", "turn")  # the only scan of the messages
+    n = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
+    words = keyword_index.probe_scores(found, {i: [[t]] for i, t in enumerate(TERM_OF_PROBE)}, n.n, n.average)
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "id")
+    words = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DEFAULTS.per_probe).select(F.col("id").alias("message_uuid"), "score", F.col("probe").alias("query_idx"), F.lit(0).alias("tier_rank"), "rank")
+    vectors_of = with_vector(spark, sf, rows.select(F.col("id").alias("message_uuid"), "conv_id", "turn"), F.col("conv_id") * 7 + F.col("turn"))
+    near = search.probes_topk(vectors_of.select("message_uuid", "embedding"), probes(spark, sf), DEFAULTS.per_probe, "message_uuid")
+    hits = near.select("message_uuid", F.col("cosine_score").alias("score"), F.col("probe").cast("int").alias("query_idx"), F.lit(1).alias("tier_rank"), "rank").unionByName(words)
     return recall.keep_best(hits.withColumn("session_id", F.split("message_uuid", "-")[0]), ["session_id", "message_uuid"], DEFAULTS.recall_most)
 
 

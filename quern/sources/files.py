@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.config import DEFAULTS, HARNESS_LAYERS, INDEXED_DIRS, LAYERS, LEGACY_LAYERS, TEXT_EXTENSIONS, Settings
 from quern.functions.globs import excluded
 from quern.schemas import MEMORY_FILE
-from quern.store import numbered
+from quern.store import staged
 
 #: Folders that never hold knowledge, matched as whole segments below the root.
 JUNK_DIRS = ("node_modules", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".next", ".nuxt", ".cache", ".gradle", ".idea", ".vscode", "vendor", "site-packages", ".terraform", "coverage")
@@ -166,15 +167,27 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")).select(F.get_json_object("raw", "$.ts").alias("ts"), F.get_json_object("raw", "$.payload").alias("payload"))
 
 
-def transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """jsonl_path, line_number (from 1, blank lines counted) and raw of every transcript line.
+def as_path(name: str) -> str:
+    """A file's name as a path that a reader takes as it is, not as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
 
-    Lines are read by splits of files, so that no file is held as one value; they are numbered by a sort by place.
+
+def transcripts(spark: SparkSession, *roots: str) -> DataFrame:
+    """jsonl_path, line_number (from 1, blank lines counted) and raw of every transcript line; roots: folders or files.
+
+    Lines are read by splits of files, so that no file is held as one value. A line's number is its place in its split
+    and the lines of the file's splits before it: counts by split are added up by file, and nothing is sorted by line.
     """
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    if not roots:
+        return spark.createDataFrame([], "jsonl_path string, line_number int, raw string")
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(list(roots))
     path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")  # as listings name it
     placed = read.select(path.alias("jsonl_path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"), F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("raw"))
-    return numbered(placed, [F.col("__start"), F.col("__row")], "line_number", by="jsonl_path").select("jsonl_path", "line_number", "raw")
+    placed = staged(placed, "lines")
+    of_split = placed.groupBy("jsonl_path", "__start").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    before = Window.partitionBy("jsonl_path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    told = of_split.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return placed.join(told, ["jsonl_path", "__start"]).select("jsonl_path", (F.col("__row") - F.col("__first") + F.col("__before") + 1).cast("int").alias("line_number"), "raw")
 
 
 def tasks(spark: SparkSession, root: str) -> DataFrame:

@@ -32,7 +32,7 @@ def scratch(spark: SparkSession, name: str = "quern") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", codec: str = "zstd", layout: dict[str, str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path, app = f"{scratch(spark)}/{name}", spark.sparkContext.applicationId
@@ -41,7 +41,7 @@ def staged(df: DataFrame, name: str = "stage", codec: str = "zstd") -> DataFrame
         _writing[app] = (many + 1, before)
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).options(**(layout or {})).parquet(path)
     finally:
         with _lock:
             many, before = _writing.pop(app)
@@ -141,8 +141,9 @@ class Store:
     or nothing of it, and of two writers the later one fails. An append adds a part, so that it costs what it adds.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, layouts: dict[str, dict[str, str]] | None = None):
+        """layouts: by table, options of Parquet's writer."""
+        self.spark, self.root, self.layouts = spark, root.rstrip("/"), layouts or {}
 
     def version(self) -> int:
         return max((int(n[9:-5]) for n in listed(self.spark, self.root) if n.startswith("manifest-") and n.endswith(".json")), default=0)
@@ -176,5 +177,5 @@ class Store:
 
     def _part(self, name: str, n: int, df: DataFrame) -> str:
         part = f"{name}/v={n}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{part}")
+        df.write.options(**self.layouts.get(name, {})).parquet(f"{self.root}/{part}")
         return part

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern import store, verbs
 from quern.api import Engine
-from quern.operators import fts, recall, reconcile
+from quern.operators import fts, keyword_index, recall, reconcile
 from tests.test_api import NOTE, line
 from tests.test_sources import put
 
@@ -104,7 +104,8 @@ def test_stored_keyword_index_scores_like_the_scan(home):
     for query in ("run the linter", "linter-before", "always-run", "deployment failed", "nothing-here", ""):
         phrases = fts.stem_phrases(fts.query_phrases(query))
         scan = {r.message_uuid: round(r.score, 9) for r in fts.bm25(m, "message_uuid", text, phrases, stemmed=True).collect()}
-        assert {r.message_uuid: round(r.score, 9) for r in fts.bm25_phrases(e.table("postings"), e.table("stats"), "message_uuid", phrases).collect()} == scan
+        stored = {r.id: r.score for r in keyword_index.topk(e.table("postings"), e.table("totals"), phrases, None).collect()}
+        assert stored == pytest.approx(scan, abs=2e-6)
     before = e.table("postings").count()
     e.rebuild_fts()
     assert e.table("postings").count() == before > 0 and e.embed_missing() == 0 and e.width() == 384 and e.last_indexed().first().newest_mtime
@@ -132,6 +133,85 @@ def test_archive_and_forget(home, spark):
     assert verbs.cloud_of("/home/u/Dropbox/store") == "Dropbox" and verbs.cloud_of("/home/u/store") is None and e.count_transcripts(f"{top}/t", 1) == 1
 
 
+@pytest.fixture
+def small(spark, tmp_path):
+    put(tmp_path, "home/always/lint.md", NOTE.format("lint", "always", "", "always run the linter before pushing code"))
+    put(tmp_path, "t/a.jsonl", line("u1", "we always run the linter"))
+    put(tmp_path, "t/b.jsonl", line("u2", "the deployment failed again", session="s2"))
+    e = Engine(spark, f"{tmp_path}/store")
+    e.build_index(f"{tmp_path}/home")
+    e.ingest_transcripts(f"{tmp_path}/t")
+    return e, tmp_path
+
+
+def test_backfill_heeds_excludes_and_goes_when_the_file_is_archived(small, spark):
+    e, top = small
+    hidden = Engine(spark, e.store, exclude=["/home/u/app"])
+    assert hidden.backfill().count() == 0
+    assert {r.session_id for r in e.backfill().collect()} == {"s1", "s2"}
+    held = {r.path: r for r in e.table("archive").collect()}
+    assert set(held) == {"backfill/s1.jsonl", "backfill/s2.jsonl"} and {r.cwd for r in held.values()} == {"/home/u/app"}
+    assert {r.action: r.n for r in e.archive(f"{top}/t").collect()} == {"replaced_backfill": 2}
+    rows = e.table("archive").collect()
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in rows) == ["a.jsonl", "b.jsonl"] and {r.origin for r in rows} == {"live"}
+    assert {r.action: r.n for r in e.archive(f"{top}/t").collect()} == {"skipped_unchanged": 2}
+    e.backfill()
+    assert hidden.archive(f"{top}/t").where("action = 'removed_excluded'").first().n == 2
+
+
+def test_lost_chunks_are_found_by_their_text(small):
+    e, _ = small
+    assert e.lost_chunks(every=1).count() == 0
+    foreign = e.table("chunks").withColumn("embedding", F.array(*[F.lit(float(i == 7)) for i in range(384)]))
+    e.db.commit({"chunks": foreign})
+    assert e.lost_chunks(every=1).count() == 1
+
+
+def test_search_guards_the_index(small, spark):
+    from quern.functions.vectors import Embedder
+
+    class Other(Embedder):
+        pass
+
+    e, _ = small
+    with pytest.raises(ValueError, match="made by Embedder"):
+        Engine(spark, e.store, model=Other(384)).search("linter")
+    with pytest.raises(ValueError):
+        Engine(spark, e.store, model=Embedder(64)).search("linter")
+    e.db.commit({"identity": store.staged(e.identity().withColumn("schema", F.lit(1))), "postings": store.staged(e.table("postings").limit(0))})
+    assert e.guard() and not e.guard() and [r.id for r in e.search("linter", source="sessions").collect()][0] == "u1"
+
+
+def test_unchanged_transcripts_are_not_read(small, spark, monkeypatch):
+    from quern.sources import files
+
+    e, top = small
+    for i in range(40):
+        put(top, f"t/old [{i}]{{x}}.jsonl", "\n".join(line(f"o{i}-{k}", f"text {k}", session=f"o{i}") for k in range(3)))
+    e.ingest_transcripts(f"{top}/t")
+    assert e.table("messages").count() == 122
+    put(top, "t/new+1 ü.jsonl", "\n".join(["", line("n1", "a new line"), "", line("n2", "another")]))
+    read, real = [], files.transcripts
+    monkeypatch.setattr(files, "transcripts", lambda sp, *roots: read.append(roots) or real(sp, *roots))
+    e.ingest_transcripts(f"{top}/t")
+    assert [len(r) for r in read] == [1] and {r.message_uuid: r.line_number for r in e.table("messages").where("message_uuid in ('n1', 'n2')").collect()} == {"n1": 2, "n2": 4}
+    e.ingest_transcripts(f"{top}/t")
+    assert [len(r) for r in read] == [1, 0] and e.table("messages").count() == 124
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from quern.sources import files
+
+    for name, n in (("a", 5000), ("b", 1), ("c", 0), ("d", 3000)):
+        put(tmp_path, f"t/{name}.jsonl", "\n".join(f"{name}{i} " + "x" * (i % 90) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.transcripts(spark, f"{tmp_path}/t").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 8001 and all(r.raw.split(" ")[0] == f"{r.jsonl_path[-7]}{r.line_number - 1}" for r in rows)
+
+
 def test_capture_and_states(home):
     e, top = home
     at = f"{top}/home"
