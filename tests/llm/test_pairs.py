@@ -203,7 +203,7 @@ def test_lines_of_rows_without_ids(spark):
 def test_lines_of_few_words_in_many_combinations(spark, pairs):
     """Pairs of lines that differ in one of twenty words, among thousands that share every word with others."""
     rng = np.random.default_rng(pairs)
-    words = [["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3)] for _ in range(20)]
+    words = [["".join(rng.choice(list("abcdefghij"), 10)) for _ in range(3)] for _ in range(20)]
     lines = []
     for _ in range(pairs):
         at, k = rng.integers(0, 3, 20), int(rng.integers(20))
