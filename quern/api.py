@@ -1,6 +1,6 @@
 """The engine's verbs over a store folder: index, search, ingest, recall, review, coverage, doctor, forget, import.
 
-A store holds tables (files, chunks, identity, messages, vectors, postings, stats, totals, ledger, archive) under one manifest:
+A store holds tables (files, chunks, identity, messages, vectors, postings, stats, totals, ledger, archive, pieces) under one manifest:
 a change of several is written beside the old ones and then turned to at once, so that readers and failures never meet
 half of it; ingest adds parts and rewrites nothing.
 """
@@ -26,6 +26,10 @@ from quern.store import Store, staged
 SOURCES = ("memory", "sessions", "all")
 #: Number of the layout of the store's tables.
 SCHEMA = 3
+#: The archive: a row a file, and the files' content in pieces.
+ARCHIVE = "path string, of string, cwd string, session_id string, blob string, mtime_unix long, size_bytes long, digest string, origin string"
+ARCHIVE_COLUMNS = [c.split(" ")[0] for c in ARCHIVE.split(", ")]
+PIECES = "blob string, start long, data binary"
 #: A component of a path that may come from outside: no separators, no dots alone, no control characters.
 SAFE = r"^(?!\.+$)[\p{L}\p{N}_.\-]{1,255}$"
 
@@ -63,7 +67,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str, settings: Settings = DEFAULTS, model: Embedder | None = None, exclude: list[str] = ()):
         self.spark, self.store, self.s, self.exclude = spark, store.rstrip("/"), settings, list(exclude)
         self.model = model or embedder("hashing", settings.dim)
-        self.db = Store(spark, self.store, {"postings": keyword_index.LAYOUT})
+        self.db = Store(spark, self.store, {"postings": keyword_index.LAYOUT, "messages": ingest.LAYOUT}, {"files": "file_path", "chunks": "file_path"})
 
     # ------------------------------------------------------------------ tables
 
@@ -79,8 +83,8 @@ class Engine:
 
     # ------------------------------------------------------------------ notes
 
-    def _disk(self, home: str) -> DataFrame:
-        raw = files.memory_files(self.spark, home).select("path", "rel", "content", "mtime_unix", F.sha2("content", 256).alias("hash"))
+    def _disk(self, home: str, only: list[str] | None = None) -> DataFrame:
+        raw = files.memory_files(self.spark, home, only).select("path", "rel", "content", "mtime_unix", F.sha2("content", 256).alias("hash"))
         return raw.join(files.notes(raw), "path").withColumn("file_path", F.concat(F.lit("/m/"), "rel"))
 
     @staticmethod
@@ -101,17 +105,24 @@ class Engine:
         self.db.commit({"files": self._files(disk), "chunks": self._chunks(disk.where("ok")), "identity": self.identity()})
         return self.table("files").groupBy(F.when(F.col("ok"), "indexed").otherwise(F.concat(F.lit("skipped: "), "reason")).alias("disposition")).agg(F.count("*").alias("n"))
 
-    def update_index(self, home: str) -> DataFrame:
-        """Re-reads changed notes only, by content hash; returns path and action of every file."""
+    def update_index(self, home: str, only: list[str] | None = None) -> DataFrame:
+        """Re-reads changed notes only, by content hash; returns path and action of every file, or of those named.
+
+        only: paths below the home; no other file is read then. Of the tables the changed paths' buckets are written.
+        """
         if not self.has("files"):
             self.build_index(home)
-        disk = self._disk(home)
-        old = self.table("files").where("ok").select(F.col("file_path").alias("path"), "hash")
-        actions = staged(reconcile.index_diff(disk.select(F.col("file_path").alias("path"), "hash", "ok"), old), "actions")
+        disk = self._disk(home, only)
+        known = self.table("files")
+        if only is not None:
+            known = known.where(F.col("file_path").isin([f"/m/{rel}" for rel in only]))
+        actions = staged(reconcile.index_diff(disk.select(F.col("file_path").alias("path"), "hash", "ok"), known.where("ok").select(F.col("file_path").alias("path"), "hash")), "actions")
         touched = actions.where("action not in ('keep', 'invalid')").select(F.col("path").alias("file_path"))
-        again = disk.where("ok").join(touched, "file_path", "left_semi")
-        chunks = reconcile.replace_rows(self.table("chunks"), self._chunks(again), "file_path", touched)
-        self.db.commit({"chunks": chunks, "files": self._files(disk), "identity": self.identity()})
+        chunks = self._chunks(disk.where("ok").join(touched, "file_path", "left_semi"))
+        rows = staged(self._files(disk), "files")
+        new = rows.exceptAll(known.select(*rows.columns))
+        other = new.select("file_path").unionByName(known.join(rows, "file_path", "left_anti").select("file_path"))
+        self.db.commit({"identity": self.identity()}, patch={"chunks": (chunks, touched), "files": (new, other)})
         return actions
 
     # ------------------------------------------------------------------ transcripts
@@ -134,9 +145,11 @@ class Engine:
 
     def _add_messages(self, rows: DataFrame, put: dict[str, DataFrame] | None = None) -> DataFrame:
         """Adds the messages that the store lacks, with their vectors and postings, all in one version."""
-        old = self.table("messages") if self.has("messages") else None
-        new = ingest.first_writer(rows, old)
-        new = staged(new if old is None else new.select(*old.columns), "new")
+        rows = staged(rows, "rows")
+        with ingest.by_blooms(self.spark):
+            old = ingest.of_sessions(self.table("messages"), rows) if self.has("messages") else None
+            new = ingest.first_writer(rows, old)
+            new = staged(new if old is None else new.select(*old.columns), "new")
         text = F.col("content")
         add = {"messages": new, "vectors": self.model.embed(new.select("message_uuid", "content"), "message_uuid", text)} | self._postings(new)
         self.db.commit(put, add)
@@ -183,53 +196,102 @@ class Engine:
         if self.has("ledger"):
             put["ledger"] = self.table("ledger").join(ids.select(F.col("jsonl_path").alias("path")).distinct(), "path", "left_anti")
         if archived is not None:
-            put["archive"] = self.table("archive").where(~F.col("session_id").eqNullSafe(session))
+            held, pieces = self._archived()
+            put["archive"] = held.where(~F.col("session_id").eqNullSafe(session))
+            put["pieces"] = pieces.join(put["archive"].select("blob"), "blob", "left_semi")
         self.db.commit(put)
 
     # ------------------------------------------------------------------ archive
 
+    def _archived(self) -> tuple[DataFrame, DataFrame]:
+        """The archive's rows and its pieces of content; both empty where there is none."""
+        if not self.has("archive"):
+            return self.spark.createDataFrame([], ARCHIVE), self.spark.createDataFrame([], PIECES)
+        if "data" in self.table("archive").columns:  # an older layout, with the content beside the rest
+            old = self.table("archive").withColumns({"of": F.col("path"), "blob": F.sha2("path", 256)})
+            rows = reconcile.digested(old).select(*ARCHIVE_COLUMNS)
+            self.db.commit({"archive": rows, "pieces": old.select("blob", F.lit(0).cast("long").alias("start"), "data")})
+        return self.table("archive"), self.table("pieces")
+
+    def _keep(self, rows: DataFrame, pieces: DataFrame) -> None:
+        """The archive's rows anew, with pieces to add; the content that no row names any more goes."""
+        rows, before = staged(rows.select(*ARCHIVE_COLUMNS), "rows"), self._archived()
+        lost = before[0].select("blob").join(rows.select("blob"), "blob", "left_anti")
+        if not self.has("pieces") or not lost.isEmpty():
+            self.db.commit({"archive": rows, "pieces": before[1].unionByName(pieces).join(rows.select("blob"), "blob", "left_semi")})
+        else:
+            self.db.commit({"archive": rows}, {"pieces": pieces})
+
     def archive(self, path: str) -> DataFrame:
         """Keeps the bytes of transcripts that may go from disk; counters by what was done.
 
-        The archive's rows are path, cwd, session_id, data, mtime_unix, size_bytes and origin. Unchanged files are
-        skipped, grown ones and backfilled ones replaced, others of the same name kept beside the old one under a name
-        with their content's hash. Files whose folder (cwd) is excluded now are neither taken nor left in it; one
-        whose folder cannot be told stays.
+        The archive's rows are path, of (the live file), cwd, session_id, blob, mtime_unix, size_bytes, digest and origin;
+        content lies beside them in pieces (blob, start, data). Files whose time and size are known are not opened; a
+        grown one adds the bytes that are new, if the digest of those before is that of what is archived. A backfilled
+        one is replaced, another of the same name is kept beside the old one under a name with its content's hash. Files
+        whose folder (cwd) is excluded now are neither taken nor left in the archive; one whose folder cannot be told
+        stays. A file that cannot be read is counted as unreadable and does not end the run.
         """
-        raw = files.files(self.spark, path, "*.jsonl").select("path", "mtime_unix", "size_bytes", F.col("content").alias("data"))
-        lines = files.transcripts(self.spark, path)
-        where = ingest.transcript_cwd(lines).withColumnRenamed("jsonl_path", "path")
-        session = lines.where("line_number <= 50").select(F.col("jsonl_path").alias("path"), F.get_json_object("raw", "$.sessionId").alias("session_id")).groupBy("path").agg(F.max("session_id").alias("session_id"))
-        shut = F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False))
-        live = raw.join(where, "path", "left").join(session, "path", "left").where(~shut)
-        old = self.table("archive") if self.has("archive") else None
-        if old is not None:  # a session that was put together again goes by its transcript's name, so that this replaces it
-            named = live.where("session_id is not null").groupBy("session_id").agg(F.min("path").alias("__live"))
-            named = named.join(old.select(F.col("path").alias("__live")), "__live", "left_anti")  # but not if that one is archived as well
-            made = F.col("origin") == "backfill"
-            old = old.join(named, "session_id", "left").withColumn("path", F.when(made, F.coalesce("__live", "path")).otherwise(F.col("path"))).select(*old.columns)
-        shape = "path string, cwd string, session_id string, data binary, mtime_unix long, size_bytes long, origin string"
-        held = old if old is not None else self.spark.createDataFrame([], shape)
-        decided = staged(reconcile.archive_reconcile(live, held.select("path", "data"), held.select("path", "mtime_unix", "size_bytes", "origin")), "decided")
-        taken = decided.where("action <> 'skipped_unchanged'").join(live, "path").select(F.coalesce("sidecar", "path").alias("path"), "cwd", "session_id", "data", "mtime_unix", "size_bytes", F.lit("live").alias("origin"))
-        open_, gone = reconcile.now_excluded(held, self.exclude)
-        self.db.commit({"archive": open_.join(taken.select("path"), "path", "left_anti").unionByName(taken)})
-        removed = gone.agg(F.count("*").alias("n")).where("n > 0").select(F.lit("removed_excluded").alias("action"), "n")
-        return decided.groupBy("action").agg(F.count("*").alias("n")).unionByName(removed)
+        old, pieces = self._archived()
+        held, gone = reconcile.now_excluded(old, self.exclude)
+        listing = staged(files.files(self.spark, path, "*.jsonl").select("path", "mtime_unix", "size_bytes"), "listing")
+        same = ["path", "mtime_unix", "size_bytes"]
+        known = old.select(F.col("of").alias("path"), *same[1:])
+        todo = staged(listing.join(known, same, "left_anti").select("path"), "todo")
+        # one reading gives the digests and the bytes that are kept; the names are fewer than those of Spark's own listing
+        raw = staged(files.contents(self.spark, *[r.path for r in todo.collect()]), "read")
+        cwd, session = files.head_fields(F.col("data"))
+        live = raw.withColumns({"cwd": cwd, "session_id": session}).where(~F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False)))
+        # a session that was put together again goes by its transcript's name, so that this replaces it, but not if that one is archived as well
+        named = live.where("session_id is not null").groupBy("session_id").agg(F.min("path").alias("__live")).join(held.select(F.col("path").alias("__live")), "__live", "left_anti")
+        name = F.when(F.col("origin") == "backfill", F.coalesce("__live", "path")).otherwise(F.col("path"))
+        held = held.join(named, "session_id", "left").withColumn("path", name).select(*ARCHIVE_COLUMNS)
+        manifest = held.select("path", F.col("size_bytes").alias("kept"), "digest", "mtime_unix", "size_bytes", "origin")
+        decided = staged(reconcile.archive_reconcile(live, manifest, manifest), "decided")
+        before = held.select("path", F.col("blob").alias("__blob"), F.col("size_bytes").alias("__kept"))
+        grown = F.col("action") == "replaced_append"
+        taken = live.join(decided.where("action <> 'skipped_unchanged'"), "path").join(before, "path", "left").withColumns({"of": F.col("path"), "path": F.coalesce("sidecar", "path"), "digest": reconcile.chain(F.col("data"), F.col("size_bytes")), "origin": F.lit("live")})
+        taken = taken.withColumn("blob", F.when(grown, F.col("__blob")).otherwise(F.sha2(F.concat_ws("/", "path", "digest"), 256)))
+        if not todo.isEmpty() or not gone.isEmpty():
+            rows = staged(taken.select(*ARCHIVE_COLUMNS), "taken")
+            start = F.when(grown, F.col("__kept")).otherwise(F.lit(0).cast("long"))
+            more = taken.withColumn("start", start).where("size_bytes > start or size_bytes = 0")
+            more = more.select("blob", "start", F.expr("substring(data, cast(start + 1 as int))").alias("data")).join(pieces.select("blob", "start"), ["blob", "start"], "left_anti")
+            if not rows.isEmpty() or not gone.isEmpty():
+                self._keep(held.join(rows.select("path"), "path", "left_anti").unionByName(rows), more)
+        count = lambda df, action: df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(action).alias("action"), "n")
+        shut = gone.select(F.col("of").alias("path"))
+        skipped = listing.join(known, same, "left_semi").join(shut, "path", "left_anti")
+        told = decided.groupBy("action").agg(F.count("*").alias("n")).unionByName(count(todo.join(raw, "path", "left_anti"), "unreadable"))
+        return staged(told.unionByName(count(skipped, "skipped_unchanged")).unionByName(count(gone, "removed_excluded")), "told")
+
+    def archived(self, session: str | None = None) -> DataFrame:
+        """path and data of the archived files, or of one session's."""
+        rows, pieces = self._archived()
+        return reconcile.restored(rows if session is None else rows.where(F.col("session_id") == session), pieces)
+
+    def prune(self) -> int:
+        """Empties the archive, so that the next run takes every file as new; how many files went."""
+        if not self.has("archive"):
+            return 0
+        many = self.table("archive").count()
+        self.db.commit({"archive": self.spark.createDataFrame([], ARCHIVE), "pieces": self.spark.createDataFrame([], PIECES)})
+        return many
 
     def backfill(self) -> DataFrame:
         """Sessions of the index that the archive lacks, put together again and archived; session_id and n_lines.
 
         Sessions whose folder (cwd) is excluded are left out.
         """
-        held = self.table("archive").select("session_id") if self.has("archive") else self.spark.createDataFrame([], "session_id string")
+        held, _ = self._archived()
         of_session = self.table("messages").groupBy("session_id").agg(F.min_by("cwd", F.when(F.col("cwd") != "", F.col("line_number"))).alias("cwd"))
-        open_ = staged(of_session.where(~F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False))).join(held.distinct(), "session_id", "left_anti"), "open")
+        open_ = staged(of_session.where(~F.coalesce(excluded(F.col("cwd"), self.exclude), F.lit(False))).join(held.select("session_id").distinct(), "session_id", "left_anti"), "open")
         lines = ingest.to_jsonl(self.table("messages").join(open_.select("session_id"), "session_id", "left_semi"))
         made = staged(reconcile.reassemble(lines.withColumnsRenamed({"raw": "content"}).withColumn("message_uuid", F.lit(""))), "backfilled")
-        data = F.col("body").cast("binary")
-        rows = made.join(open_, "session_id").select(F.concat(F.lit("backfill/"), "session_id", F.lit(".jsonl")).alias("path"), "cwd", "session_id", data.alias("data"), F.lit(0).cast("long").alias("mtime_unix"), F.octet_length("body").cast("long").alias("size_bytes"), F.lit("backfill").alias("origin"))
-        self.db.commit(add={"archive": rows})
+        rows = made.join(open_, "session_id").select(F.concat(F.lit("backfill/"), "session_id", F.lit(".jsonl")).alias("path"), "cwd", "session_id", F.col("body").cast("binary").alias("data"))
+        rows = rows.withColumns({"of": F.col("path"), "mtime_unix": F.lit(0).cast("long"), "size_bytes": F.octet_length("data").cast("long"), "origin": F.lit("backfill")})
+        rows = rows.withColumn("digest", reconcile.chain(F.col("data"), F.col("size_bytes"))).withColumn("blob", F.sha2(F.concat_ws("/", "path", "digest"), 256))
+        self._keep(held.unionByName(rows.select(*ARCHIVE_COLUMNS)), rows.select("blob", F.lit(0).cast("long").alias("start"), "data"))
         return made.select("session_id", "n_lines")
 
     # ------------------------------------------------------------------ search
@@ -333,20 +395,20 @@ class Engine:
                 raise ValueError(f"a note like this is known: chunk {hit.hit['nearest']}, similarity {hit.hit['similarity']:.3f}")
         if not store.create(self.spark, path, verbs.note_text(layer, name, description, self.s.now, body, tags, aliases, valid_from).encode()):
             raise FileExistsError(path)
-        self.update_index(home)
+        self.update_index(home, [path.removeprefix(f"{home.rstrip('/')}/")])
         return path
 
     def confirm(self, home: str, rel: str) -> None:
         verbs.confirm_note(self.spark, f"{home.rstrip('/')}/{rel}", self.s.today)
-        self.update_index(home)
+        self.update_index(home, [rel])
 
     def suspect(self, home: str, rel: str, reason: str | None = None) -> None:
         verbs.suspect_note(self.spark, f"{home.rstrip('/')}/{rel}", self.s.now, reason)
-        self.update_index(home)
+        self.update_index(home, [rel])
 
     def invalidate(self, home: str, rel: str, at: str | None = None, reason: str | None = None) -> None:
         verbs.invalidate_note(self.spark, f"{home.rstrip('/')}/{rel}", self.s.now, at, reason)
-        self.update_index(home)
+        self.update_index(home, [rel])
 
     def migrate(self, root: str, home: str) -> DataFrame:
         """Writes older notes (folders named memory) into the home, one of each body that is not there; path and target.
@@ -464,8 +526,9 @@ class Engine:
             checks["messages that are not in the keyword index"] = (missing, "rebuild the keyword index")
         if archive_path:
             live = files.files(self.spark, archive_path, "*.jsonl").select("path")
-            held = self.table("archive").select("path") if self.has("archive") else live.limit(0)
+            held = self._archived()[0].select(F.col("of").alias("path"))
             checks["transcripts that are not archived"] = (live.join(held, "path", "left_anti"), "archive them")
+            checks["the archive cannot be written to"] = (self.spark.range(0 if store.writable(self.spark, self.store) else 1), "mend the folder's permissions, or move the store")
             label = verbs.cloud_of(self.store)
             checks["the archive lies in a folder that is copied elsewhere" + (f": {label}" if label else "")] = (self.spark.range(1 if label else 0), "move the store")
         if scope_file:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.dates import iso_unix
 
+#: Messages are stored with Bloom filters over their sessions, so that a reader of some sessions skips the other parts.
+LAYOUT = {"parquet.bloom.filter.enabled#session_id": "true", "parquet.bloom.filter.expected.ndv#session_id": "10000"}
+#: Sessions of a batch up to which the stored messages are looked up by them; beyond, all keys are compared.
+MOST_SESSIONS = 200
+PUSHED = "spark.sql.parquet.pushdown.inFilterThreshold"
+
 
 def flatten(content: Column) -> Column:
     """Message content as text: a string stripped; of a list its blocks' `text` fields, stripped, joined by a blank.
@@ -53,6 +62,23 @@ def first_writer(rows: DataFrame, existing: DataFrame | None = None) -> DataFram
     return new if existing is None else new.join(existing.select("session_id", "message_uuid"), ["session_id", "message_uuid"], "left_anti")
 
 
+@contextlib.contextmanager
+def by_blooms(spark: SparkSession) -> Iterator[None]:
+    """Lists of sessions reach the Parquet reader as values, which its Bloom filters can answer, not as a range."""
+    before = spark.conf.get(PUSHED)
+    spark.conf.set(PUSHED, str(MOST_SESSIONS))
+    try:
+        yield
+    finally:
+        spark.conf.set(PUSHED, before)
+
+
+def of_sessions(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The stored messages of the batch's sessions, by a filter that the reader takes; all of them where these are many."""
+    mine = [r[0] for r in batch.select("session_id").distinct().limit(MOST_SESSIONS + 1).collect()]
+    return stored if len(mine) > MOST_SESSIONS else stored.where(F.col("session_id").isin(mine))
+
+
 def changed_files(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files whose time or size is not the ledger's: transcripts grow in place, so a path alone says nothing."""
     old = ledger.select("path", F.col("mtime_unix").alias("m"), F.col("size_bytes").alias("s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import store
@@ -17,22 +17,47 @@ def index_diff(disk: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("path", action.alias("action"))
 
 
+#: Bytes of a block of digests.
+BLOCK = 1 << 16
+
+
+def chain(data: Column, upto: Column) -> Column:
+    """Digest of the first `upto` bytes: every block of 64 kB is hashed together with the digest of those before it."""
+    piece = lambda i: F.substring(data, (i * BLOCK + 1).cast("int"), F.least(F.lit(BLOCK), upto - i * BLOCK).cast("int"))
+    blocks = F.when(upto > 0, F.sequence(F.lit(0).cast("long"), F.ceil(upto / BLOCK) - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(blocks, F.lit(""), lambda told, i: F.sha2(F.concat(told.cast("binary"), piece(i)), 256))
+
+
+def digested(archive: DataFrame) -> DataFrame:
+    """kept (number of bytes) and digest instead of data."""
+    kept = F.octet_length("data").cast("long")
+    return archive.withColumns({"kept": kept, "digest": chain(F.col("data"), kept)}).drop("data")
+
+
 def archive_reconcile(live: DataFrame, archive: DataFrame, manifest: DataFrame) -> DataFrame:
     """path, action and, for diverged files, the sidecar's name.
 
-    live: path, mtime_unix, size_bytes, data; archive: path, data; manifest: path, mtime_unix, size_bytes, origin. In
-    order: no archive file copies; an unchanged manifest entry skips; an archive that is a prefix of the live bytes is
-    replaced by them; one made by backfill is replaced; else both stay, the live bytes in a sidecar named by content.
+    live: path, mtime_unix, size_bytes, data; archive: path and either data or kept and digest; manifest: path,
+    mtime_unix, size_bytes, origin. In order: no archive file copies; an unchanged manifest entry skips; an archive that
+    is a prefix of the live bytes is replaced by them; one made by backfill is replaced; else both stay, the live bytes
+    in a sidecar named by content. Whether it is a prefix is told by the digest of as many live bytes as are archived.
     """
-    arch = archive.select("path", F.col("data").alias("old"))
+    arch = (archive if "digest" in archive.columns else digested(archive)).select("path", "kept", "digest")
     known = manifest.select("path", F.col("mtime_unix").alias("m"), F.col("size_bytes").alias("s"), "origin")
     joined = live.join(arch, "path", "left").join(known, "path", "left")
-    prefix = F.substring("data", 1, F.octet_length("old")) == F.col("old")
-    action = F.when(F.col("old").isNull(), "copied").when((F.col("m") == F.col("mtime_unix")) & (F.col("s") == F.col("size_bytes")), "skipped_unchanged").when(prefix, "replaced_append").when(F.col("origin") == "backfill", "replaced_backfill").otherwise("diverged_sidecar")
+    prefix = (F.octet_length("data") >= F.col("kept")) & (chain(F.col("data"), F.col("kept")) == F.col("digest"))
+    action = F.when(F.col("digest").isNull(), "copied").when((F.col("m") == F.col("mtime_unix")) & (F.col("s") == F.col("size_bytes")), "skipped_unchanged").when(prefix, "replaced_append").when(F.col("origin") == "backfill", "replaced_backfill").otherwise("diverged_sidecar")
     side = F.concat("path", F.lit("."), F.substring(F.sha2("data", 256), 1, 8))
     return joined.withColumn("action", action).select("path", "action", F.when(F.col("action") == "diverged_sidecar", side).alias("sidecar"))
 
 
+def restored(manifest: DataFrame, pieces: DataFrame) -> DataFrame:
+    """path and data of archived files, put together from their pieces (blob, start, data)."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("data").alias("hex")))), lambda x: x["hex"])
+    whole = manifest.select("path", "blob").join(pieces, "blob", "left")
+    return whole.groupBy("path").agg(F.unhex(F.array_join(parts, "")).alias("data"))
+
+
 def now_excluded(held: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Archived rows that stay, and those whose folder (cwd) the patterns exclude now; without a folder a row stays."""
     shut = F.coalesce(excluded(F.col("cwd"), patterns), F.lit(False))

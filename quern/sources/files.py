@@ -13,31 +13,34 @@ from pyspark.sql import functions as F
 from quern.config import DEFAULTS, HARNESS_LAYERS, INDEXED_DIRS, LAYERS, LEGACY_LAYERS, TEXT_EXTENSIONS, Settings
 from quern.functions.globs import excluded
 from quern.schemas import MEMORY_FILE
-from quern.store import staged
+from quern.store import exists, staged
 
 #: Folders that never hold knowledge, matched as whole segments below the root.
 JUNK_DIRS = ("node_modules", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".next", ".nuxt", ".cache", ".gradle", ".idea", ".vscode", "vendor", "site-packages", ".terraform", "coverage")
 
 
-def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, rel, mtime_unix, size_bytes and content of every file below root."""
+def files(spark: SparkSession, root: str, glob: str = "*", only: list[str] | None = None) -> DataFrame:
+    """path, rel, mtime_unix, size_bytes and content of every file below root, or of the files named by their rel."""
     base = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
+    paths = base if only is None else [as_path(f"{base}/{rel}") for rel in only if exists(spark, f"{base}/{rel}")]
+    if not paths:
+        return spark.createDataFrame([], "path string, rel string, mtime_unix long, size_bytes long, content binary")
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(paths)
     name = base.split("://", 1)[-1].removeprefix("file:")
     return df.select("path", F.element_at(F.split("path", f"{name}/", 2), 2).alias("rel"), F.unix_timestamp("modificationTime").alias("mtime_unix"), F.col("length").alias("size_bytes"), "content")
 
 
-def all_markdown(spark: SparkSession, root: str) -> DataFrame:
+def all_markdown(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """Every note on disk but those below a hidden segment."""
-    return files(spark, root, "*.md").where(~F.col("rel").rlike(r"(^|/)\."))
+    return files(spark, root, "*.md", only).where(~F.col("rel").rlike(r"(^|/)\."))
 
 
-def memory_files(spark: SparkSession, root: str) -> DataFrame:
+def memory_files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """Notes that are indexed: layer folders, loose project files and layer folders of projects, in path order."""
     part = F.split("rel", "/")
     dirs = list(INDEXED_DIRS)
     keep = part[0].isin(*dirs) & (F.size(part) > 1) | (part[0] == "projects") & ((F.size(part) == 2) | (F.size(part) > 3) & part[2].isin(*dirs))
-    return all_markdown(spark, root).where(keep).orderBy("rel")
+    return all_markdown(spark, root, only).where(keep).orderBy("rel")
 
 
 def parse_note(path: str, raw: bytes) -> dict:
@@ -190,6 +193,21 @@ def transcripts(spark: SparkSession, *roots: str) -> DataFrame:
     return placed.join(told, ["jsonl_path", "__start"]).select("jsonl_path", (F.col("__row") - F.col("__first") + F.col("__before") + 1).cast("int").alias("line_number"), "raw")
 
 
+def contents(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, mtime_unix, size_bytes and data of files; those that cannot be read are left out."""
+    if not paths:
+        return spark.createDataFrame([], "path string, mtime_unix long, size_bytes long, data binary")
+    read = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load([as_path(p) for p in paths])
+    return read.select("path", F.unix_timestamp("modificationTime").alias("mtime_unix"), F.col("length").alias("size_bytes"), F.col("content").alias("data"))
+
+
+def head_fields(data: Column) -> tuple[Column, Column]:
+    """cwd and session of a transcript's bytes: the first cwd that is filled and the greatest sessionId of fifty lines."""
+    lines = F.slice(F.split(F.make_valid_utf8(data.cast("string")), "\n", 51), 1, 50)
+    cwd = F.transform(lines, lambda x: F.nullif(F.get_json_object(x, "$.cwd"), F.lit("")))
+    return F.get(F.filter(cwd, lambda x: x.isNotNull()), F.lit(0)), F.array_max(F.transform(lines, lambda x: F.get_json_object(x, "$.sessionId")))
+
+
 def tasks(spark: SparkSession, root: str) -> DataFrame:
     """Task files, malformed ones dropped, by creation and id."""
     from quern.schemas import TASK

@@ -8,9 +8,12 @@ import tempfile
 import threading
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts that a dealt table has at most.
+BUCKETS = 64
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _unset: dict[str, str] = {}
 _lock = threading.Lock()
@@ -134,16 +137,28 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def writable(spark: SparkSession, path: str) -> bool:
+    """Whether a file can be made in the folder."""
+    probe = f"{path.rstrip('/')}/.probe-{uuid.uuid4().hex}"
+    try:
+        made = create(spark, probe, b"")
+        delete(spark, probe)
+    except Py4JJavaError:
+        return False
+    return made
+
+
 class Store:
     """Tables that are made of parts, under manifests `manifest-N.json` that name the parts of all tables.
 
     A change writes its parts first and then the next manifest, by one rename: readers and failures see all of a change
-    or nothing of it, and of two writers the later one fails. An append adds a part, so that it costs what it adds.
+    or nothing of it, and of two writers the later one fails. An append adds a part, so that it costs what it adds. A dealt
+    table has a part a bucket of a column's hashes, so that a change of some keys writes their buckets alone.
     """
 
-    def __init__(self, spark: SparkSession, root: str, layouts: dict[str, dict[str, str]] | None = None):
-        """layouts: by table, options of Parquet's writer."""
-        self.spark, self.root, self.layouts = spark, root.rstrip("/"), layouts or {}
+    def __init__(self, spark: SparkSession, root: str, layouts: dict[str, dict[str, str]] | None = None, dealt: dict[str, str] | None = None):
+        """layouts: by table, options of Parquet's writer; dealt: by table, the column whose hashes deal it."""
+        self.spark, self.root, self.layouts, self.dealt = spark, root.rstrip("/"), layouts or {}, dealt or {}
 
     def version(self) -> int:
         return max((int(n[9:-5]) for n in listed(self.spark, self.root) if n.startswith("manifest-") and n.endswith(".json")), default=0)
@@ -156,21 +171,35 @@ class Store:
         return name in self.manifest()
 
     def table(self, name: str) -> DataFrame:
-        parts = [f"{self.root}/{p}" for p in self.manifest()[name]]
-        return self.spark.read.schema(self.spark.read.parquet(parts[0]).schema).parquet(*parts)
+        return self._read(self.manifest()[name])
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        paths = [f"{self.root}/{p}" for p in parts]
+        return self.spark.read.schema(self.spark.read.parquet(paths[0]).schema).parquet(*paths)
 
-    def commit(self, put: dict[str, DataFrame] | None = None, add: dict[str, DataFrame] | None = None, fold_at: int = 64) -> int:
-        """Replaces the tables of put and appends to those of add, together. A table of fold_at parts becomes one again."""
+    def commit(self, put: dict[str, DataFrame] | None = None, add: dict[str, DataFrame] | None = None, fold_at: int = 64, patch: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> int:
+        """Replaces the tables of put, appends to those of add and changes those of patch, together.
+
+        A table of fold_at parts becomes one again when it is appended to. patch, for dealt tables, has the new rows and
+        the keys whose old rows go (one column, the table's): the buckets of these keys are written, the others stay.
+        """
         before, n = self.manifest(), self.version() + 1
         after = dict(before)
         for name, df in (put or {}).items():
-            after[name] = [self._part(name, n, df)]
+            after[name] = self._deal(name, n, df, []) if name in self.dealt else [self._part(name, n, df)]
         for name, df in (add or {}).items():
             old = before.get(name, [])
             if len(old) >= fold_at:
-                after[name] = [self._part(name, n, self.table(name).unionByName(df))]
+                after[name] = [self._part(name, n, self._read(old).unionByName(df))]
             else:
                 after[name] = [*old, self._part(name, n, df)]
+        for name, (rows, keys) in (patch or {}).items():
+            old, col = before.get(name, []), self.dealt[name]
+            touched = {f"__bucket={r[0]}" for r in keys.select(self._bucket(col)).distinct().collect()}  # BUCKETS numbers at most
+            mine = [p for p in old if p.rsplit("/", 1)[-1] in touched or "/__bucket=" not in p]
+            if touched:
+                all_ = self._read(mine).join(keys.select(col), col, "left_anti").unionByName(rows) if mine else rows
+                after[name] = self._deal(name, n, all_, [p for p in old if p not in mine])
         if not create(self.spark, f"{self.root}/manifest-{n}.json", json.dumps(after).encode()):
             raise RuntimeError(f"another writer made version {n} of {self.root}")
         return n
@@ -179,3 +208,15 @@ class Store:
         part = f"{name}/v={n}-{uuid.uuid4().hex[:8]}"
         df.write.options(**self.layouts.get(name, {})).parquet(f"{self.root}/{part}")
         return part
+
+    @staticmethod
+    def _bucket(col: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(BUCKETS)).cast("int").alias("__bucket")
+
+    def _deal(self, name: str, n: int, df: DataFrame, rest: list[str]) -> list[str]:
+        """rest and the new parts of df, one a bucket; of a table without rows one empty part, which has its columns."""
+        part = f"{name}/v={n}-{uuid.uuid4().hex[:8]}"
+        by_bucket = df.withColumn("__bucket", self._bucket(self.dealt[name])).hint("rebalance", "__bucket")
+        by_bucket.write.options(**self.layouts.get(name, {})).partitionBy("__bucket").parquet(f"{self.root}/{part}")
+        made = [f"{part}/{x}" for x in listed(self.spark, f"{self.root}/{part}") if x.startswith("__bucket=")]
+        return rest + sorted(made) or [self._part(name, n, self.spark.createDataFrame([], df.schema))]

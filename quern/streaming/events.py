@@ -27,18 +27,31 @@ def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("session_id", F.col("last_user").cast("timestamp_ntz").alias("last_user"), F.col("last_assistant").cast("timestamp_ntz").alias("last_assistant"))
 
 
-def first_over(stream: DataFrame, least: float) -> DataFrame:
-    """A row when a session first reaches the threshold, and never again: the flag is kept as state."""
+def first_over(stream: DataFrame, least: float, late: str = "1 day", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """A row when a session first reaches the threshold, and no other one for as long as it lives.
+
+    State is a flag a session that has reached it. It goes when the watermark (late behind the newest ts) passes the
+    session's last event by idle_ms; a session that comes back after that is a new one. Events behind the watermark are
+    not looked at.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = state.exists
+        if state.hasTimedOut:
+            state.remove()
+            return
+        told, last = (True, state.get[0]) if state.exists else (False, 0)
         for pdf in batches:
+            if len(pdf):
+                last = max(last, int(pdf["ts"].astype("datetime64[us]").astype("int64").max()) // 1000)
             if not told and (pdf["value"] >= least).any():
                 told = True
-                state.update((True,))
                 yield pd.DataFrame({"session_id": [key[0]]})
+        if told:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
 
-    return stream.groupBy("session_id").applyInPandasWithState(step, "session_id string", "told boolean", "append", GroupStateTimeout.NoTimeout)
+    stamped = stream.where("ts is not null").withWatermark("ts", late)
+    return stamped.groupBy("session_id").applyInPandasWithState(step, "session_id string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_first_over(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:

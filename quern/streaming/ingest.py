@@ -60,13 +60,6 @@ def dedupe(stream: DataFrame, time_col: str | None = None, within: str = "7 days
 BUCKETS = 256
 
 
-def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of each session, ingested as a stream with duplicates dropped."""
-    raw = drops(spark, sf_dir, "conversations").where("role <> 'system'")
-    named = raw.select(F.col("conv_id").cast("string").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("message_uuid"))
-    return run_once(dedupe(named), "ingest").groupBy("session_id").agg(F.count("*").alias("n"))
-
-
 def watch(changes: DataFrame, act: Callable[[], None], base: str, every: str = "500 milliseconds"):
     """Runs act once for all changes of an interval: bursts are taken together, and no two runs overlap."""
 
@@ -92,6 +85,16 @@ def upsert_batches(stream: DataFrame, store: str, base: str):
             mine = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
             old = spark.read.schema(new.schema).parquet(store).where(F.col("bucket").isin(mine))
             new = new.join(old.select("session_id", "message_uuid"), ["session_id", "message_uuid"], "left_anti")
-        new.write.mode("append").partitionBy("bucket").parquet(store)
+        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(store)
 
     return stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put)
+
+
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of each session, ingested as a stream into a dealt table: what it holds is the only memory of keys."""
+    raw = drops(spark, sf_dir, "conversations").where("role <> 'system'")
+    named = raw.select(F.col("conv_id").cast("string").alias("session_id"), F.concat_ws("-", "conv_id", "turn").alias("message_uuid"))
+    base = work_dir(spark, "ingest")
+    q = upsert_batches(named, f"{base}/store", base)
+    q.start().awaitTermination()
+    return spark.read.schema(named.schema).parquet(f"{base}/store").groupBy("session_id").agg(F.count("*").alias("n"))
