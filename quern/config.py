@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+#: Layers, their folders, states of tasks and extensions of texts.
 LAYERS = ("always", "when", "topic", "knowledge")
 LAYER_DIRS = {"always": "always", "when": "when", "topic": "topics", "knowledge": "knowledge"}
 INDEXED_DIRS = ("always", "when", "topics", "knowledge", "feedback")
-#: Types of notes written by other tools, and of older stores; the two maps differ on purpose.
+#: Types of notes written by other tools, and of older stores; the two maps differ on purpose.
 HARNESS_LAYERS = {"user": "always", "feedback": "when", "project": "topic", "reference": "knowledge"}
 LEGACY_LAYERS = {"feedback": "when", "project": "topic", "reference": "topic", **{x: x for x in LAYERS}}
 TASK_STATES = ("open", "in_progress", "blocked", "done")
@@ -17,7 +18,7 @@ TEXT_EXTENSIONS = ("md", "txt", "log", "csv", "tsv", "json", "py", "sh", "xml",
 
 @dataclass(frozen=True)
 class Settings:
-    """Defaults of ranking, recall, import and review."""
+    """Defaults of ranking, recall, import and review; fixed values, but for the clocks."""
 
     today: dt.date = dt.date(2026, 6, 1)
     now: dt.datetime = dt.datetime(2026, 6, 1, 12, 0, 0)

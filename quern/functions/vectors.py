@@ -46,6 +46,11 @@ def l2(a: Column, b: Column) -> Column:
 BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
+#: Rows whose sums a worker holds at once, tokens that it gathers before it adds them up, and pairs of rows and tokens of
+#: one addition: memory, not results, depends on them, however long a text is.
+ROWS, HELD, PAIRS = 256, 1 << 18, 1 << 15
+
+
 def token_slots(token: str) -> tuple[list[int], list[int]]:
     """The sixteen (seed, sign) pairs of a token: two bytes of its SHA-256 each, the first one's parity the sign."""
     d = hashlib.sha256(token.encode()).digest()
@@ -60,42 +65,47 @@ def hashed(df: DataFrame, id_col: str, text: Column, dim: int, unit: bool) -> Da
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}  # place of a token in slots and signs
-        slots, signs, held = np.zeros((1024, 16), dtype=np.int64), np.zeros((1024, 16), dtype=np.int64), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                if held > 64 << 20:
-                    known.clear()
-                    held = 0
-                row, token, many = [], [], []
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                sums, times = np.zeros(part.num_rows * dim), np.zeros(part.num_rows * dim, dtype=np.int64)
+                known: dict[str, int] = {}  # place of a token's digest
+                digests, row, token, many = bytearray(), [], [], []
+
+                def add() -> None:
+                    d = np.frombuffer(bytes(digests), dtype=np.uint8).reshape(-1, 16, 2).astype(np.int64)
+                    slots, signs = (d[:, :, 0] << 8 | d[:, :, 1]) % dim, 1 - 2 * (d[:, :, 0] % 2)
+                    for i in range(0, len(token), PAIRS):
+                        at = token[i : i + PAIRS]
+                        flat = (np.array(row[i : i + PAIRS], dtype=np.int64)[:, None] * dim + slots[at]).ravel()
+                        sums[:] += np.bincount(flat, (signs[at] * np.array(many[i : i + PAIRS], dtype=np.int64)[:, None]).ravel(), minlength=len(sums))
+                        times[:] += np.bincount(flat, minlength=len(times))
+                    for x in (known, digests, row, token, many):
+                        x.clear()
+
                 for r, t in enumerate(part.column(1).to_pylist()):
                     counted = Counter((t or "").split())
-                    for x in counted:
+                    for x, n in counted.items():
                         at = known.get(x)
                         if at is None:
                             at = known[x] = len(known)
-                            held += len(x) + 400
-                            if at == len(slots):
-                                slots, signs = (np.concatenate([v, np.zeros_like(v)]) for v in (slots, signs))
-                            seeds, signs[at] = token_slots(x)
-                            slots[at] = [seed % dim for seed in seeds]
+                            digests += hashlib.sha256(x.encode()).digest()
+                        row.append(r)
                         token.append(at)
-                    row += [r] * len(counted)
-                    many += counted.values()
-                flat = (np.array(row, dtype=np.int64)[:, None] * dim + slots[token]).ravel()
-                weight = (signs[token] * np.array(many, dtype=np.int64)[:, None]).ravel()
-                sums = np.bincount(flat, weight, minlength=part.num_rows * dim).astype(np.int64).reshape(-1, dim)
-                touched = np.bincount(flat, minlength=part.num_rows * dim).reshape(-1, dim) > 0
+                        many.append(n)
+                        if len(token) >= HELD:
+                            add()
+                add()
+                total, touched = sums.astype(np.int64).reshape(-1, dim), times.reshape(-1, dim) > 0
                 if unit:
-                    length = np.sqrt((sums * sums).sum(1, dtype=np.float64))
-                    made = sums / np.where(length > 0, length, 1)[:, None]
+                    length = np.sqrt((total * total).sum(1, dtype=np.float64))
+                    made = total / np.where(length > 0, length, 1)[:, None]
                     made[length == 0, 0] = 1.0
                     vectors_ = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, dim, dtype=np.int32)), pa.array(made.ravel()))
                     yield pa.RecordBatch.from_arrays([part.column(0), vectors_], names=[id_col, "embedding"])
                 else:
                     r, slot = np.nonzero(touched)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(slot, pa.int32()), pa.array(sums[r, slot])], names=[id_col, "slot", "weight"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(slot, pa.int32()), pa.array(total[r, slot])], names=[id_col, "slot", "weight"])
 
     shape = T.StructType([T.StructField(id_col, kind)]).add("embedding", T.ArrayType(T.DoubleType())) if unit else T.StructType([T.StructField(id_col, kind)]).add("slot", T.IntegerType()).add("weight", T.LongType())
     return df.select(id_col, F.regexp_replace(F.lower(text), BLANKS, " ").alias("__text")).mapInArrow(run, shape)

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quern.config import DEFAULTS, Settings
 from quern.functions.globs import excluded
 from quern.functions.vectors import TINY
-from quern.store import numbered
+from quern.store import numbered, staged
 
 
 def keep_best(hits: DataFrame, keys: list[str], most: int, path_col: str | None = None, patterns: list[str] | None = None) -> DataFrame:
@@ -139,4 +139,5 @@ def top_n(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 def by_layer(df: DataFrame, *order: Column | str) -> DataFrame:
     """Group order, most ambient layer first, and rank inside of each group."""
     place = F.coalesce(*[F.when(F.col("layer") == x, F.lit(i)) for i, x in enumerate(("always", "when", "topic", "knowledge"))], F.lit(4))
-    return numbered(df.withColumn("layer_order", place), list(order), "rank", by="layer")
+    placed = staged(df.withColumn("layer_order", place), "placed")  # the sort reads its input twice, which may be costly to make
+    return numbered(placed, list(order), "rank", by="layer")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.store import spread
+
 LAYER_DIRS = ("always", "when", "topics", "knowledge", "feedback")
 
 MEM = """mem AS (SELECT doc_id AS chunk_id, text, source,
@@ -26,7 +28,7 @@ EVT = """evt AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, CAST(t
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def mem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Parts that a dealt table has at most.
 BUCKETS = 64
+#: Bytes of a table, at most, that spread() deals anew, and of a task that is worth it.
+SPREAD, TASK = 256 << 20, 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _unset: dict[str, str] = {}
 _lock = threading.Lock()
@@ -57,6 +59,17 @@ def staged(df: DataFrame, name: str = "stage", codec: str = "zstd", layout: dict
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt evenly to the cores where it is small and lies in fewer files than there are cores.
+
+    A file with one row group is one task however many cores there are. A table of over SPREAD bytes, or of as many files
+    as cores, stays as it is: its files are its tasks, and nothing is shuffled.
+    """
+    files, size = len(df._jdf.inputFiles()), int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // TASK)
+    return df.repartition(tasks) if files < tasks and size <= SPREAD else df
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str, by: str | None = None) -> DataFrame:
     """df with each row's place from 1 in the order, by groups of a column if one is named.
 

@@ -136,3 +136,40 @@ def test_chunks_of_tables_equal_those_of_strings(spark):
             got.setdefault(r.id, []).append((r.chunk_no, r.heading, r.text, r.line_start, r.line_end))
         for i, b in enumerate(bodies):
             assert got.get(i, []) == [(k, *c.values()) for k, c in enumerate(chunk(b, most))], repr(b)
+
+
+def test_secrets_and_places_in_any_case(spark):
+    """The patterns that come first leave nothing out: letters of other scripts that equal plain ones in any case."""
+    parts = ["my pa\u017f\u017fword is x", "MY PASSWORD: x", "to\u212aen = abc", "ap\u0130_key=1", "ap\u0131-KEY: 1", "acce\u017fs_key=2", "acce\u017f\u017f-\u212aey=2", "\u017fk-abcdefghij", "S\u212a-abcdefghij", "gho_abcdefgh1", "ghx_abcdefgh1", "xoxb-1234567890", "eyJabcdef1.abcdef2.x", "Bearer abcdefghijkl", "bearer abcdefghijkl", "AKIA0123456789AB", "akia0123456789ab", "aws_\u017fecret_access_key", "-----BEGIN", "-----begin", "the key of all", "the repo l\u0131ves there", "Code L\u0130VE\u017f", "the dir\nlives", "projects lives", "plain", ""]
+    df = spark.createDataFrame(list(enumerate([*parts, *[f"when {x}" for x in parts], None])), "i int, t string")
+    plain = F.lit(False)
+    for shape in text.SECRETS:
+        plain = plain | text.like(F.col("t"), shape)
+    layer = F.when(plain, "knowledge").when(text.like(F.col("t"), text.WHEN), "when").when(text.like(F.col("t"), text.LOCATION), "topic").when(text.like(F.col("t"), text.ALWAYS), "always").otherwise("knowledge")
+    got = df.select("t", plain.alias("p"), text.has_secret(F.col("t")).alias("s"), layer.alias("a"), text.layer_guess(F.col("t")).alias("b")).collect()
+    assert [(r.t, r.p, r.a) for r in got] == [(r.t, r.s, r.b) for r in got]
+    assert {r.p for r in got} == {True, False, None} and {r.a for r in got} == {"knowledge", "when", "topic"}
+
+
+def test_long_texts_are_hashed_piece_by_piece(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(2000)) if i % 3 else None) for i in range(20)], "id int, t string").coalesce(1)
+    want = {tuple(r) for r in vectors.hash_slots(df, "id", F.col("t"), 64).collect()}
+    monkeypatch.setattr(vectors, "PAIRS", 7)
+    monkeypatch.setattr(vectors, "HELD", 10)
+    assert {tuple(r) for r in vectors.hash_slots(df, "id", F.col("t"), 64).collect()} == want and want
+
+
+def test_small_tables_of_few_files_are_spread(spark, tmp_path, monkeypatch):
+    from quern import store
+
+    at = str(tmp_path / "t")
+    spark.range(5000).withColumn("x", F.col("id") % 7).coalesce(1).write.parquet(at)
+    df = spark.read.parquet(at)
+    assert "Exchange" not in store.spread(df)._jdf.queryExecution().toString()  # too small to be worth it
+    monkeypatch.setattr(store, "TASK", 1 << 10)
+    dealt = store.spread(df).where("x = 3").select("id")
+    plan = dealt._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" in plan and "PushedFilters: [IsNotNull(x), EqualTo(x,3)]" in plan
+    assert sorted(r.id for r in dealt.collect()) == list(range(3, 5000, 7))
+    monkeypatch.setattr(store, "SPREAD", 1 << 10)
+    assert "Exchange" not in store.spread(df)._jdf.queryExecution().toString()
