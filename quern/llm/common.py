@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.store import scratch, staged  # noqa: F401
+from quern.store import scratch, spread, staged  # noqa: F401
 
 #: Rows and bytes of text that a Python worker handles at once; memory, not results, depends on them.
 CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def keep(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
