@@ -2,7 +2,7 @@
 
 Terms are lower-case runs of letters and digits and their beginnings, hashed into 2**BITS buckets. A document's score is a bias, a weight
 for each of its buckets and the inner products of all pairs of their factors, through the logistic function. The
-machine learns from a bounded sample of labelled documents, over the buckets that tell the classes apart best.
+machine learns from a bounded sample of labelled documents, over the buckets that tell the classes apart.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from quern.llm.common import crc_mod, keep, map_texts, read_table, staged
 BITS = 22
 #: Labelled documents of each class that the machine learns from, at most: those with the least hashes of their ids.
 TRAIN_ROWS = 6000
-#: Parameters of the machine, like its number of factors; documents are scored by whole texts whatever they are. Buckets
-#: that it knows, at most (on 0.1 GB some 1,900 pass the tests below, so the bound leaves next to none out); documents of
-#: the sample that a bucket must be in, and its least G (chance: 1 in 10,000).
-BUCKETS, LEAST_DOCS, LEAST_G = 2048, 4, 15.1
+#: Documents of the sample that a bucket must be in for the machine to know it, and its least G (chance: 1 in 10,000). All
+#: that pass are known: some 1,900 on 0.1 GB, a bounded number as the sample is bounded.
+LEAST_DOCS, LEAST_G = 4, 15.1
 #: Lengths of the beginnings that count as terms of their own.
 STEMS = (4, 5, 6)
 FACTORS = 8
@@ -124,7 +123,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, known: np.ndarray, steps: int = 4
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
     """A machine from labels (doc_id, toxic), of several labels of a document the largest; None without both classes.
 
-    docs is a DataFrame of keep(). Buckets are counted by class on the executors; the driver gets the best of them and
+    docs is a DataFrame of keep(). Buckets are counted by class on the executors; the driver gets those that pass the tests and
     the sample's documents, reduced to these.
     """
     spark = docs.sparkSession
@@ -147,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     counts = sample.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum(F.col("y")).cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b")).where(a + b >= LEAST_DOCS)
     share = (a + b) / float(n0 + n1)
     likelihood = sum((x * F.log((x + 1e-9) / (n * share)) + (n - x) * F.log((n - x + 1e-9) / (n * (1 - share) + 1e-9)) for x, n in ((a, float(n1)), (b, float(n0)))), F.lit(0.0))
-    best = counts.select("bucket", F.round(2 * likelihood, 6).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "bucket").limit(BUCKETS).collect()
+    best = counts.select("bucket", F.round(2 * likelihood, 6).alias("g")).where(F.col("g") >= LEAST_G).collect()  # of the bounded sample
     known = np.array(sorted(r.bucket for r in best), dtype=np.int64)
     wanted = spark.createDataFrame([(int(x),) for x in known], "bucket int")
     reduced = sample.select("doc_id", "y", F.explode_outer("buckets").alias("bucket")).join(F.broadcast(wanted.withColumn("in", F.lit(True))), "bucket", "left").groupBy("doc_id", "y").agg(F.sort_array(F.collect_set(F.when(F.col("in"), F.col("bucket")))).alias("buckets"))
@@ -162,7 +161,7 @@ def score(df: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_c
     all scores are 0. Repeated rows stay; an empty table gives no rows; other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
-    shipped = df.sparkSession.sparkContext.broadcast(machine)  # bounded: BUCKETS * (FACTORS + 2) numbers
+    shipped = df.sparkSession.sparkContext.broadcast(machine)  # bounded by the sample: FACTORS + 2 numbers a known bucket
 
     def run(ids: list[int], texts: list[bytes | None]) -> dict:
         s = shipped.value.score_texts(texts) if shipped.value is not None else np.zeros(len(ids))
