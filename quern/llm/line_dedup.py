@@ -7,10 +7,10 @@ values of a signature are a band, so that lines of a similarity of 0.8 share one
 
 Lines of a band are paired with the band's first and last line, pairs are verified by the exact Jaccard similarity of
 the whole sets, made from the lines' texts, and distributed union-find over the verified pairs and over equal lines
-keeps one line, the first, of each component. Lines of a band that are in different components then meet again in trees
-of MinHash keys over their whole sets, several values a key (LEVELS): in groups of up to SMALL lines all that fit meet,
-larger groups go on to a level of longer keys and more trees. So no step puts out all pairs of a large group; with
-exact=True a prefix filter runs over the whole sets of all lines and pairs all that fit, and no similar pair lacks.
+keeps one line, the first, of each component. Lines of a band that are in different components then all meet each other
+under bounds that no similar pair fails (sizes, and parity sketches of the whole sets), those of very large bands by a
+prefix filter over their whole sets; what passes is verified in the same way. So lines that share a band and are similar
+are always joined. With exact=True the prefix filter runs over all lines, and no similar pair lacks.
 """
 
 from __future__ import annotations
@@ -24,30 +24,33 @@ from quern.llm.common import components, drop_staged, read_table, staged
 
 SHINGLE, BOTTOM, RUN = 12, 4, 12
 SIMILAR, OF = 80, 100
-#: Chosen shingles of similar lines agree less well than whole sets: candidates need so much less of OF.
-SLACK = 12
-#: Lines of a group that all meet each other; and the levels of trees: values of a key, and trees.
-SMALL, LEVELS = 32, ((4, 10), (8, 24))
+#: Lines of a key that all meet each other under it; those of larger keys meet by their rarest shingles.
+MANY = 2048
+#: Words of 64 bits of a line's sketch.
+WORDS = 16
 #: Lines whose ids are sent to all tasks at once; of more, the texts are shuffled.
 MOST_SENT = 2_000_000
 BLANK = r"\x20\x09-\x0D"
 
 
-def with_shingles(lines: DataFrame, name: str, kind=F.xxhash64) -> DataFrame:
-    """lines with the sorted distinct hashes of the shingles that a line's content chooses."""
-    words = lines.withColumn("__words", F.split("line", " ", -1))  # columns of their own, so that they are made once
-    marks = words.withColumn("__marks", F.transform("__words", lambda w: F.xxhash64(w)))
-    runs = F.transform(F.slice("__marks", F.lit(1), F.greatest(F.size("__marks") - 2, F.lit(1))), lambda a, i: kind(a, F.get("__marks", i + 1), F.get("__marks", i + 2)))
-    inner = F.transform(F.regexp_extract_all("line", F.lit(rf"(?=([^ ]{{{SHINGLE}}}))"), F.lit(1)), lambda s: kind(s))
-    made = marks.withColumn("__runs", runs).withColumn("__inner", F.when(F.octet_length("line") >= RUN * F.size("__words"), inner))
-    both = F.when(F.col("__inner").isNull(), F.col("__runs")).otherwise(F.concat("__runs", "__inner"))
-    return made.withColumn(name, F.sort_array(F.array_distinct(both))).drop("__words", "__marks", "__runs", "__inner")
+def signature(line: Column) -> Column:
+    """The BOTTOM least distinct hashes of the shingles that a line's content chooses."""
+
+    def chosen(words: Column) -> Column:
+        runs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda a, i: F.xxhash64(a, F.get(words, i + 1), F.get(words, i + 2)))
+        inner = F.transform(F.regexp_extract_all(line, F.lit(rf"(?=([^ ]{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
+        return F.when(F.octet_length(line) >= RUN * F.size(words), F.concat(runs, inner)).otherwise(runs)
+
+    all_ = F.transform(F.array(F.split(line, " ", -1)), chosen)[0]  # in a lambda, so that the words are split once
+    return F.slice(F.sort_array(F.array_distinct(all_)), 1, BOTTOM)
 
 
 def whole_set(line: Column) -> Column:
     """Hashes of the shingles from every position of a line; a shorter line is one."""
+    cut = lambda data: F.transform(F.sequence(F.lit(1), F.octet_length(data) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE))))
+    of_bytes = F.transform(F.array(line.cast("binary")), cut)[0]  # equal to what the pattern finds, where a character is a byte
     found = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(found)
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).when(F.length(line) == F.octet_length(line), of_bytes).otherwise(found)
 
 
 def bands(signature: Column) -> Column:
@@ -67,116 +70,119 @@ def similar_enough(n: Column | str, similar: int, of: int) -> Column:
     return F.expr(f"cast(ceil({similar} * {n} / {of}) as int)")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similar: int, of: int, loose: int) -> DataFrame:
-    """Those of the pairs (x, y) of lines whose whole sets are similar; their chosen ones must be loosely.
+def sketches(texts: DataFrame) -> DataFrame:
+    """lid, n (size of the whole set) and sketch of every line: WORDS words of parities, each shingle flips one bit.
 
-    The chosen sets are compared first, and only the pairs that are left are sent the texts.
+    One more shingle on either side flips one bit, so two sketches differ in no more bits than the sets in shingles.
     """
-    a, b = (sets.select(F.col("lid").alias(k), F.col("s").alias(f"s{k}")) for k in "xy")
-    common = F.size(F.array_intersect("sx", "sy"))
-    near = pairs.join(a, "x").join(b, "y").where(of * common >= loose * (F.size("sx") + F.size("sy") - common)).select("x", "y")
-    ta, tb = (texts.select(F.col("lid").alias(k), F.col("line").alias(f"t{k}")) for k in "xy")
-    whole = near.join(ta, "x").join(tb, "y").select("x", "y", F.explode(F.array(F.struct(whole_set(F.col("tx")).alias("a"), whole_set(F.col("ty")).alias("b")))).alias("p"))
-    return whole.where(of * F.size(F.array_intersect("p.a", "p.b")) >= similar * F.size(F.array_union("p.a", "p.b"))).select("x", "y")
+    each = texts.select("lid", F.explode(F.array_distinct(whole_set(F.col("line")))).alias("h"))
+    bits = each.select("lid", F.expr(f"cast(h >> 6 & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = bits.groupBy("lid", "at").agg(F.count("*").alias("c"), F.bit_xor("bit").alias("word"))
+    return words.groupBy("lid").agg(F.sum("c").alias("n"), F.array(*[F.coalesce(F.max(F.when(F.col("at") == i, F.col("word"))), F.lit(0).cast("long")) for i in range(WORDS)]).alias("sketch"))
 
 
-def unmet(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """lid and label of the lines of bands that hold several components besides the band's least and largest line."""
-    inner = live.where("lid <> least and lid <> largest").select("key", "lid").distinct()
-    told = inner.join(labels, "lid", "left").select("key", "lid", F.coalesce("label", "lid").alias("label"))
-    mixed = told.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    return told.join(mixed, "key", "left_semi").select("lid", "label").distinct()
+def can_be_similar(x: str, y: str, similar: int, of: int) -> Column:
+    """False only for lines (columns n and sketch with these endings) that are not similar, by their sizes and sketches."""
+    n, m = F.col(f"n_{x}"), F.col(f"n_{y}")
+    far = sum((F.bit_count(F.col(f"sketch_{x}")[i].bitwiseXOR(F.col(f"sketch_{y}")[i])) for i in range(WORDS)), F.lit(0))
+    return (of * F.least(n, m) >= similar * F.greatest(n, m)) & (far * (of + similar) <= (n + m) * (of - similar))
 
 
-def prefixes(rest: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
-    """shingle, lid, label, n and left (shingles from there) of the rarest shingles of rest's sets s.
+def near(pairs: DataFrame, drawn: DataFrame, similar: int, of: int) -> DataFrame:
+    """Those of the pairs (x, y) of lines whose sizes and sketches allow that they are similar."""
+    a, b = (drawn.select(F.col("lid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "xy")
+    return pairs.join(a, "x").join(b, "y").where(can_be_similar("x", "y", similar, of)).select(*pairs.columns)
 
-    Sets are ordered by how many of rest's sets have a shingle. Similar sets share one among the first n - need + 1,
-    and as many must be left behind the first that they share as they need in common.
-    """
-    of_line = staged(rest.join(sets, "lid").select("lid", "label", F.size("s").alias("n"), F.explode("s").alias("shingle")), "shingles")
-    seen = of_line.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
-    ordered = of_line.join(seen, "shingle", "left").groupBy("lid", "label", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "shingle"))).alias("s"))
-    first = F.slice("s", 1, F.col("n") - similar_enough("n", similar, of) + 1)
-    return staged(ordered.select("lid", "label", "n", F.posexplode(first).alias("at", "p")).where("p.seen > 1").select("p.shingle", "lid", "label", "n", (F.col("n") - F.col("at")).alias("left")), "prefixes")
+
+def linked(pairs: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
+    """Those of the pairs (x, y) of lines whose whole sets are similar."""
+    ta, tb = (texts.select(F.col("lid").alias(k), F.col("line").alias(f"t{k}")) for k in "xy")
+    whole = pairs.join(ta, "x").join(tb, "y").select(*pairs.columns, F.explode(F.array(F.struct(whole_set(F.col("tx")).alias("a"), whole_set(F.col("ty")).alias("b")))).alias("p"))
+    return whole.where(of * F.size(F.array_intersect("p.a", "p.b")) >= similar * F.size(F.array_union("p.a", "p.b"))).select(*pairs.columns)
 
 
-def fitting(rows: DataFrame, similar: int, of: int) -> DataFrame:
-    """Pairs (x, y) of lines, with labels a and b, of a shingle whose labels differ and whose sets can be similar."""
-    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("lid", "label", "n", "left")]) for side in "xy")
-    enough = (F.col("lid_x") > F.col("lid_y")) & (F.col("label_x") != F.col("label_y")) & ((of + similar) * F.least("left_x", "left_y") >= similar * (F.col("n_x") + F.col("n_y")))
-    return x.alias("x").join(y.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & enough).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y"), F.col("label_x").alias("a"), F.col("label_y").alias("b")).distinct()
+def mixed_groups(rows: DataFrame) -> DataFrame:
+    """rows (key, lid, label) of the keys with several labels, with how many lines such a key has and its commonest label."""
+    kinds = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    keys = kinds.groupBy("key").agg(F.sum("c").alias("many"), F.count("*").alias("kinds"), F.max(F.struct("c", "label")).alias("top"))
+    return rows.join(keys.where("kinds > 1").select("key", "many", F.col("top.label").alias("main")), "key")
 
 
-def tree_keys(width: int, trees: int) -> Column:
-    """Of the set s, one key a tree: the width least of its hashes in that tree's order. Sets of similarity J share one with a chance of about J ** width."""
-    return F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda j: F.xxhash64(j, F.slice(F.sort_array(F.transform("s", lambda x: F.hash(x, j))), 1, width)))
+def meeting(groups: DataFrame, similar: int, of: int, more: Column | None = None) -> DataFrame:
+    """Pairs (x, y) of lines, with labels a and b, of a key whose labels differ and that can be similar.
 
+    Lines of a key's commonest label meet the others, which meet each other too; pairs of equal labels are never made.
+    """
+    cols = [c for c in groups.columns if c not in ("key", "main", "many")]
+    x = groups.where("label <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in cols])
+    y = groups.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in cols])
+    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("lid_x") > F.col("lid_y"))) & can_be_similar("x", "y", similar, of)
+    if more is not None:
+        fits = more & fits
+    found = x.alias("p").join(y.alias("q"), (F.col("p.key") == F.col("q.key")) & fits)
+    return found.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y"), F.col("label_x").alias("a"), F.col("label_y").alias("b"))
 
-def all_pairs(groups: DataFrame, similar: int, of: int) -> DataFrame:
-    """Pairs (x, y) of lines, with labels a and b, of a group (key) whose labels differ and whose sizes n allow it."""
-    x, y = (groups.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("lid", "label", "n")]) for side in "xy")
-    can = (F.col("lid_x") > F.col("lid_y")) & (F.col("label_x") != F.col("label_y")) & (of * F.least("n_x", "n_y") >= similar * F.greatest("n_x", "n_y"))
-    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & can).select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y"), F.col("label_x").alias("a"), F.col("label_y").alias("b"))
 
+def prefixes(rest: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
+    """key, lid, label and left (shingles from there) of the rarest shingles of the whole sets of rest's lines.
 
-def stars(groups: DataFrame, similar: int, of: int) -> DataFrame:
-    """Pairs of every line of a group with the group's lines of least and of greatest label."""
-    ends = groups.groupBy("key").agg(*[f(F.struct("label", "lid", "n")).alias(k) for k, f in (("lo", F.min), ("hi", F.max))])
-    met = groups.join(ends, "key").select("lid", "label", "n", F.explode(F.array("lo", "hi")).alias("e"))
-    can = (F.col("label") != F.col("e.label")) & (of * F.least("n", "e.n") >= similar * F.greatest("n", "e.n"))
-    return met.where(can).select(F.col("lid").alias("x"), F.col("e.lid").alias("y"), F.col("label").alias("a"), F.col("e.label").alias("b"))
+    Sets are ordered by how many of rest's sets have a shingle. Similar sets share one among the first n - need + 1,
+    and as many must be left behind the first that they share as they need in common.
+    """
+    sets = texts.join(rest, "lid").select("lid", "label", F.array_distinct(whole_set(F.col("line"))).alias("s"))
+    of_line = staged(sets.select("lid", "label", F.explode("s").alias("shingle")), "shingles")
+    seen = of_line.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
+    ordered = of_line.join(seen, "shingle", "left").groupBy("lid", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "shingle"))).alias("s"))
+    made = ordered.withColumn("size", F.size("s")).select("lid", "label", "size", F.posexplode(F.slice("s", F.lit(1), F.col("size") - similar_enough("size", similar, of) + 1)).alias("at", "p"))
+    out = staged(made.where("p.seen > 1").select(F.col("p.shingle").alias("key"), "lid", "label", (F.col("size") - F.col("at")).alias("left")), "prefixes")
+    drop_staged(of_line)
+    return out
 
 
-def renamed(rows: DataFrame, to: DataFrame) -> DataFrame:
-    """rows with the labels that to (label, to) gives."""
-    return rows.join(to, "label", "left").select(*[F.coalesce("to", "label").alias(c) if c == "label" else c for c in rows.columns])
+def meeting_exactly(rest: DataFrame, texts: DataFrame, drawn: DataFrame, similar: int, of: int) -> DataFrame:
+    """Pairs (x, y) of lines of rest (lid, label), with labels a and b: all similar ones of different labels are among them."""
+    first = mixed_groups(prefixes(rest, texts, similar, of)).join(drawn, "lid")
+    enough = (of + similar) * F.least("left_x", "left_y") >= similar * (F.col("n_x") + F.col("n_y"))
+    return meeting(first, similar, of, enough)
 
 
-def joined(pairs: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
-    """(label, to) for the labels a and b that similar pairs (x, y, a, b) join, by the whole sets s of the lines."""
+def joined(pairs: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
+    """(label, to) for the labels a and b that similar pairs (x, y, a, b) join."""
     tried = staged(pairs.distinct(), "candidates")
-    x, y = (sets.select(F.col("lid").alias(k), F.col("s").alias(f"s{k}")) for k in "xy")
-    common = F.size(F.array_intersect("sx", "sy"))
-    good = tried.join(x, "x").join(y, "y").where((of + similar) * common >= similar * (F.size("sx") + F.size("sy"))).select("a", "b")
-    to = staged(components(good, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("to")), "to")
+    to = components(linked(tried, texts, similar, of), "a", "b").select(F.col("node").alias("label"), F.col("label").alias("to"))
     drop_staged(tried)
     return to
 
 
-def mixed_groups(rows: DataFrame, key: str) -> DataFrame:
-    """rows of the keys with several labels, with how many lines such a key has."""
-    kinds = rows.groupBy(key).agg(F.count("*").alias("many"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select(key, "many")
-    return rows.join(kinds, key)
-
-
-def met_exactly(rest: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
-    """(lid, label) of the lines of rest after all similar ones have met by the rarest shingles of their sets."""
-    first = prefixes(rest, sets, similar, of)
-    to = joined(fitting(mixed_groups(first, "shingle"), similar, of), sets, similar, of)
-    drop_staged(first)
-    return staged(renamed(rest, to), "labels")
+def renamed(rows: DataFrame, to: DataFrame) -> DataFrame:
+    """rows with the labels that to (label, to) gives."""
+    return rows.join(to, "label", "left").select(*[F.coalesce("to", "label").alias(c) if c == "label" else c for c in rows.columns])
 
 
-def met(rest: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
-    """(lid, label) of the lines of rest after similar ones of them have met in trees over their whole sets.
+def met(live: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
+    """(lid, label) of the lines of live (key, lid, least, largest) after all lines of a key have met.
 
-    Lines whose group in a tree is small meet all others there; those of larger groups go on to the next level, whose
-    keys are longer and whose trees are more. Groups that are large even there hold lines that are similar for the
-    most part; each of their lines meets two of them in every tree.
+    First each meets its key's least and largest line. Keys that hold lines of several components after that are left;
+    their other lines are met by each other where components differ: in keys of up to MANY lines under the key, the
+    lines of larger keys by the rarest shingles of their whole sets. No pair that shares a key is dropped but by bounds
+    that no similar pair fails.
     """
-    labels, open_ = rest, rest
-    for level, (width, trees) in enumerate(LEVELS, 1):
-        rows = open_.join(sets, "lid").select("lid", "label", F.size("s").alias("n"), F.explode(tree_keys(width, trees)).alias("key"))
-        groups = staged(mixed_groups(staged(rows, "trees"), "key"), "groups")
-        large = groups.where(F.col("many") > SMALL)
-        pairs = all_pairs(groups.where(F.col("many") <= SMALL), similar, of)
-        to = joined(pairs.unionByName(stars(large, similar, of)) if level == len(LEVELS) else pairs, sets, similar, of)
-        labels = staged(renamed(labels, to), "labels")
-        open_ = staged(labels.join(large.select("lid").distinct(), "lid", "left_semi"), "open")
-        drop_staged(groups)
-        if open_.isEmpty():
-            break
+    drawn = staged(sketches(texts), "sketches")
+    ends = live.select(F.explode(F.array(F.struct(F.col("lid").alias("x"), F.col("least").alias("y")), F.struct(F.col("largest").alias("x"), F.col("lid").alias("y")))).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
+    pairs = staged(near(ends, drawn, similar, of), "pairs")
+    known = components(linked(pairs, texts, similar, of), "x", "y").select(F.col("node").alias("lid"), "label")
+    drop_staged(pairs)
+    inner = live.where("lid <> least and lid <> largest").select("key", "lid").distinct()
+    told = inner.join(known, "lid", "left").select("key", "lid", F.coalesce("label", "lid").alias("label"))
+    groups = staged(mixed_groups(told), "groups")
+    pairs = meeting(groups.where(F.col("many") <= MANY).join(drawn, "lid"), similar, of)
+    large = staged(groups.where(F.col("many") > MANY).select("lid", "label").distinct(), "large")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(meeting_exactly(large, texts, drawn, similar, of))
+    to = joined(pairs, texts, similar, of)
+    labels = staged(renamed(known.unionByName(groups.select("lid", "label").distinct().join(known, "lid", "left_anti")), to), "labels")
+    for done in (drawn, groups, large, known, to):
+        drop_staged(done)
     return labels
 
 
@@ -187,7 +193,6 @@ def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int =
     """
     place = F.struct("doc_id", "row", "line_no")
     first = staged(lines.groupBy("lid", "crc").agg(F.min(place).alias("at"), F.max(place).alias("end")), "first")
-    loose = max(similar - SLACK * of // 100, 1)
     if exact:
         live = None
         wanted = first.select("lid").distinct()
@@ -200,21 +205,11 @@ def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int =
     asked = lines_of(docs).select("lid", "crc", "line").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min(F.struct("crc", "line")).alias("t"))
     texts = staged(asked.select("lid", "t.crc", "t.line"), "texts")
     if exact:
-        sets = staged(texts.select("lid", F.sort_array(F.array_distinct(whole_set(F.col("line")))).alias("s")), "sets")
-        labels = met_exactly(texts.select("lid", F.col("lid").alias("label")), sets, similar, of)
+        rest = texts.select("lid", F.col("lid").alias("label"))
+        labels = renamed(rest, joined(meeting_exactly(rest, texts, staged(sketches(texts), "sketches"), similar, of), texts, similar, of))
     else:
-        # of chosen sets, which only find candidates, 32 bits do
-        sets = staged(with_shingles(texts, "s", F.hash).select("lid", "s"), "sets")
-        pairs = staged(live.select(F.explode(F.array(F.struct(F.col("lid").alias("x"), F.col("least").alias("y")), F.struct(F.col("largest").alias("x"), F.col("lid").alias("y")))).alias("p")).select("p.x", "p.y").where("x <> y").distinct(), "pairs")
-        known = staged(components(linked(pairs, sets, texts, similar, of, loose), "x", "y").select(F.col("node").alias("lid"), "label"), "known")
-        drop_staged(pairs)
-        drop_staged(sets)
-        rest = staged(unmet(live, known), "rest")
+        labels = met(live, texts, similar, of)
         drop_staged(live)
-        whole = staged(texts.join(rest.select("lid"), "lid", "left_semi").select("lid", F.sort_array(F.array_distinct(whole_set(F.col("line")))).alias("s")), "sets")
-        after = met(rest, whole, similar, of)
-        moved = rest.join(after.withColumnRenamed("label", "to"), "lid").select("label", "to").where("label <> to").distinct()
-        labels = renamed(known.unionByName(rest.join(known, "lid", "left_anti").select("lid", "label")), moved)
     members = staged(first.join(labels.join(texts.select("lid", "crc"), "lid"), ["lid", "crc"]).select("lid", "crc", "at", "label"), "members")
     of_label = staged(members.groupBy("label").agg(F.min("at").alias("kept")), "kept")  # so that the join can split a large component
     told = members.join(of_label, "label").select("lid", "crc", "kept")
@@ -224,7 +219,7 @@ def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int =
 def removed_lines(docs: DataFrame, similar: int = SIMILAR, of: int = OF, exact: bool = False) -> DataFrame:
     """doc_id, row and removed (sorted numbers from 0 of the lines that go) of the rows that lose lines."""
     found = lines_of(docs)
-    found = found.withColumn("signature", F.array().cast("array<long>")) if exact else with_shingles(found, "s").withColumn("signature", F.slice("s", 1, BOTTOM))
+    found = found.withColumn("signature", F.array().cast("array<long>")) if exact else found.withColumn("signature", signature(F.col("line")))
     lines = staged(found.select("doc_id", "row", "line_no", "lid", "crc", "signature"), "lines")
     gone = lines.drop("signature").join(keepers(lines, docs, similar, of, exact), ["lid", "crc"]).where(F.struct("doc_id", "row", "line_no") != F.col("at"))
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))

@@ -313,6 +313,42 @@ def test_lines_of_documents(spark):
     assert found <= should and len(found) >= 0.97 * len(should) and len(should) > 50
 
 
+@pytest.mark.parametrize("many", [2048, 8])
+def test_all_lines_of_a_large_band_meet(spark, monkeypatch, many):
+    """Every two lines of a band that are similar are joined, whichever lines the band's ends are and however many it has."""
+    from quern.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rng = np.random.default_rng(21)
+    base = [word(rng) for _ in range(60)]
+    lines = [edited(rng, base, int(rng.integers(4, 9))) for _ in range(160)]
+    lines += [edited(rng, x.split(" "), 1) for x in lines[::4]]
+    sets = whole_sets(lines)
+    df = spark.createDataFrame([(100 + i, x) for i, x in enumerate(lines)], "lid long, line string")
+    live = df.selectExpr("7L as key", "lid", "100L as least", "299L as largest")
+    labels = {r.lid: r.label for r in line_dedup.met(live, df, 80, 100).collect()}
+    want = Sets(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                want.join(i, j)
+    assert {i: want.find(i) + 100 for i in range(len(lines))} == {i: labels.get(100 + i, 100 + i) for i in range(len(lines))}
+    assert len({want.find(i) for i in range(len(lines))}) > 50 and sum(want.find(i) != i for i in range(len(lines))) > 30
+
+
+def test_long_words_with_one_edit_are_joined(spark):
+    """One letter of a line of few long words touches many of its runs of words, but few of its whole set."""
+    rng = np.random.default_rng(22)
+    letters = lambda n: "".join(rng.choice(list("abcdefghinorst"), n))
+    lines = []
+    for _ in range(150):
+        words = [letters(9) for _ in range(16)]
+        lines += [" ".join(words), " ".join([*words[:8], words[8][:4] + "Z" + words[8][5:], *words[9:]])]
+    should = lines_that_go(lines)
+    assert len(should) == 150 and len(gone(spark, lines) & should) >= 0.9 * len(should)
+
+
 def test_equal_beginnings_do_not_make_lines_similar(spark):
     pairs = ["https://www.example.com/recipes/soup", "https://www.othersite.org/legal/terms-of-2024", "今日はよい天気ですからね、山へ行きましょう", "今日はよい天気ですからね、家で本を読みます", "short", "shorter"]
     assert gone(spark, pairs) == set() == gone(spark, pairs, exact=True)
