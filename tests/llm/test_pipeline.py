@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -55,3 +56,15 @@ def test_odd_tables(spark, tmp_path, make):
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert docs.count() == 0 or make is odd
+
+
+def test_line_stage_joins_long_words_with_one_edit(spark):
+    """Similar lines whose few long words make their chosen runs differ are not left to the next stage."""
+    rng = np.random.default_rng(22)
+    letters = lambda n: "".join(rng.choice(list("abcdefghinorst"), n))
+    rows = []
+    for i in range(0, 300, 2):
+        words = [letters(9) for _ in range(16)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:8], words[8][:4] + "Z" + words[8][5:], *words[9:]]))]
+    left = {r.doc_id for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert set(range(0, 300, 2)) <= left and len(left) <= 165
