@@ -5,12 +5,14 @@ BOTTOM least hashes (bottom-k) of shingles that the content chooses: the charact
 and SHINGLE characters from every place without a blank of lines whose words have RUN bytes or more on average. Every two
 values of a signature are a band, so that lines of a similarity of 0.8 share one with a chance over 99 %.
 
-Lines of a band are paired with the band's first and last line, pairs are verified by the exact Jaccard similarity of
+Lines of a band are paired with the band's first line, pairs are verified by the exact Jaccard similarity of
 the whole sets, made from the lines' texts, and distributed union-find over the verified pairs and over equal lines
 keeps one line, the first, of each component. Lines of a band that are in different components then all meet each other
 under bounds that no similar pair fails (sizes, and parity sketches of the whole sets), those of very large bands by a
-prefix filter over their whole sets; what passes is verified in the same way. So lines that share a band and are similar
-are always joined. With exact=True the prefix filter runs over all lines, and no similar pair lacks.
+prefix filter over their whole sets; what passes is verified in the same way. Of large bands some lines are met by all
+first, then more by those whose components still differ, and in the last round all, so that a band of many near copies
+does not put out all its pairs. So lines that share a band and are similar are always joined. With exact=True the prefix
+filter runs over all lines, and no similar pair lacks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SHINGLE, BOTTOM, RUN = 12, 4, 12
 SIMILAR, OF = 80, 100
 #: Lines of a key that all meet each other under it; those of larger keys meet by their rarest shingles.
 MANY = 2048
+#: Lines of a key that all others meet in the first round, and how many times as many they are in every later one.
+HUBS, MORE = 4, 8
 #: Words of 64 bits of a line's sketch.
 WORDS = 16
 #: Lines whose ids are sent to all tasks at once; of more, the texts are shuffled.
@@ -47,16 +51,18 @@ def signature(line: Column) -> Column:
 
 def whole_set(line: Column) -> Column:
     """Hashes of the shingles from every position of a line; a shorter line is one."""
-    cut = lambda data: F.transform(F.sequence(F.lit(1), F.octet_length(data) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE))))
-    of_bytes = F.transform(F.array(line.cast("binary")), cut)[0]  # equal to what the pattern finds, where a character is a byte
-    found = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).when(F.length(line) == F.octet_length(line), of_bytes).otherwise(found)
+
+    def cut(data: Column) -> Column:  # four bytes a character
+        places = F.sequence(F.lit(1), F.octet_length(data) - (4 * SHINGLE - 1), F.lit(4))
+        return F.when(F.octet_length(data) < 4 * SHINGLE, F.array(F.xxhash64(data))).otherwise(F.transform(places, lambda i: F.xxhash64(F.substring(data, i, F.lit(4 * SHINGLE)))))
+
+    return F.transform(F.array(F.encode(line, "UTF-32")), cut)[0]  # in a lambda, so that the line is encoded once
 
 
 def bands(signature: Column) -> Column:
-    """Hashes of every two of the signature's values; of its only one where there are no two."""
+    """Hashes of every two of the signature's values; of its only one where there are no two; nulls for those that lack."""
     two = [F.when(F.get(signature, F.lit(j)).isNotNull(), F.xxhash64(F.get(signature, F.lit(i)), F.get(signature, F.lit(j)))) for i, j in combinations(range(BOTTOM), 2)]
-    return F.array_compact(F.array(F.when(F.size(signature) == 1, F.xxhash64(F.get(signature, F.lit(0)))), *two))
+    return F.array(F.when(F.size(signature) == 1, F.xxhash64(F.get(signature, F.lit(0)))), *two)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -75,10 +81,10 @@ def sketches(texts: DataFrame) -> DataFrame:
 
     One more shingle on either side flips one bit, so two sketches differ in no more bits than the sets in shingles.
     """
-    each = texts.select("lid", F.explode(F.array_distinct(whole_set(F.col("line")))).alias("h"))
-    bits = each.select("lid", F.expr(f"cast(h >> 6 & {WORDS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    words = bits.groupBy("lid", "at").agg(F.count("*").alias("c"), F.bit_xor("bit").alias("word"))
-    return words.groupBy("lid").agg(F.sum("c").alias("n"), F.array(*[F.coalesce(F.max(F.when(F.col("at") == i, F.col("word"))), F.lit(0).cast("long")) for i in range(WORDS)]).alias("sketch"))
+    sets = texts.select("lid", F.array_distinct(whole_set(F.col("line"))).alias("s"))  # a step of its own, so that the explode is compiled
+    each = sets.select("lid", F.explode_outer("s").alias("h"))  # of explode, Spark would test the size first and make the sets twice
+    words = [F.bit_xor(F.expr(f"case when (h >> 6 & {WORDS - 1}) = {i} then shiftleft(1L, cast(h & 63 as int)) else 0L end")).alias(f"word_{i}") for i in range(WORDS)]
+    return each.groupBy("lid").agg(F.count("*").alias("n"), *words).select("lid", "n", F.array(*[f"word_{i}" for i in range(WORDS)]).alias("sketch"))
 
 
 def can_be_similar(x: str, y: str, similar: int, of: int) -> Column:
@@ -89,16 +95,16 @@ def can_be_similar(x: str, y: str, similar: int, of: int) -> Column:
 
 
 def near(pairs: DataFrame, drawn: DataFrame, similar: int, of: int) -> DataFrame:
-    """Those of the pairs (x, y) of lines whose sizes and sketches allow that they are similar."""
+    """Those of the pairs (x, y) of lines whose sizes and sketches allow that they are similar, with the sum of the sizes (both)."""
     a, b = (drawn.select(F.col("lid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "xy")
-    return pairs.join(a, "x").join(b, "y").where(can_be_similar("x", "y", similar, of)).select(*pairs.columns)
+    return pairs.join(a, "x").join(b, "y").where(can_be_similar("x", "y", similar, of)).select(*pairs.columns, (F.col("n_x") + F.col("n_y")).alias("both"))
 
 
 def linked(pairs: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
-    """Those of the pairs (x, y) of lines whose whole sets are similar."""
+    """Those of the pairs (x, y) of lines, with the sum of the sizes of their whole sets (both), whose whole sets are similar."""
     ta, tb = (texts.select(F.col("lid").alias(k), F.col("line").alias(f"t{k}")) for k in "xy")
-    whole = pairs.join(ta, "x").join(tb, "y").select(*pairs.columns, F.explode(F.array(F.struct(whole_set(F.col("tx")).alias("a"), whole_set(F.col("ty")).alias("b")))).alias("p"))
-    return whole.where(of * F.size(F.array_intersect("p.a", "p.b")) >= similar * F.size(F.array_union("p.a", "p.b"))).select(*pairs.columns)
+    common = F.size(F.array_intersect(whole_set(F.col("tx")), whole_set(F.col("ty"))))
+    return pairs.join(ta, "x").join(tb, "y").where((of + similar) * common >= similar * F.col("both")).select(*pairs.columns)
 
 
 def mixed_groups(rows: DataFrame) -> DataFrame:
@@ -108,19 +114,22 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
     return rows.join(keys.where("kinds > 1").select("key", "many", F.col("top.label").alias("main")), "key")
 
 
-def meeting(groups: DataFrame, similar: int, of: int, more: Column | None = None) -> DataFrame:
-    """Pairs (x, y) of lines, with labels a and b, of a key whose labels differ and that can be similar.
+def meeting(groups: DataFrame, hubs: int, similar: int, of: int, more: Column | None = None) -> DataFrame:
+    """Pairs (x, y) of lines, with labels a and b, of a key whose labels differ and that can be similar, and their sizes' sum.
 
-    Lines of a key's commonest label meet the others, which meet each other too; pairs of equal labels are never made.
+    Pairs have one of the key's hubs, about so many lines by a hash, all where the key has no more. Hubs of a key's
+    commonest label meet the others, which meet each other too; pairs of equal labels are never made.
     """
     cols = [c for c in groups.columns if c not in ("key", "main", "many")]
-    x = groups.where("label <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in cols])
-    y = groups.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in cols])
-    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("lid_x") > F.col("lid_y"))) & can_be_similar("x", "y", similar, of)
+    drawn = groups.withColumn("hub", F.pmod(F.xxhash64("lid", F.lit(hubs)), F.ceil(F.col("many") / F.lit(float(hubs)))) == 0)
+    x = drawn.where("label <> main or not hub").select("key", F.col("hub").alias("hub_x"), *[F.col(c).alias(f"{c}_x") for c in cols])
+    y = drawn.where("hub").select("key", "main", *[F.col(c).alias(f"{c}_y") for c in cols])
+    once = ~F.col("hub_x") | (F.col("label_y") == F.col("main")) | (F.col("lid_x") > F.col("lid_y"))
+    fits = (F.col("label_x") != F.col("label_y")) & once & can_be_similar("x", "y", similar, of)
     if more is not None:
         fits = more & fits
     found = x.alias("p").join(y.alias("q"), (F.col("p.key") == F.col("q.key")) & fits)
-    return found.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y"), F.col("label_x").alias("a"), F.col("label_y").alias("b"))
+    return found.select(F.col("lid_x").alias("x"), F.col("lid_y").alias("y"), F.col("label_x").alias("a"), F.col("label_y").alias("b"), (F.col("n_x") + F.col("n_y")).alias("both"))
 
 
 def prefixes(rest: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
@@ -130,7 +139,7 @@ def prefixes(rest: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFr
     and as many must be left behind the first that they share as they need in common.
     """
     sets = texts.join(rest, "lid").select("lid", "label", F.array_distinct(whole_set(F.col("line"))).alias("s"))
-    of_line = staged(sets.select("lid", "label", F.explode("s").alias("shingle")), "shingles")
+    of_line = staged(sets.select("lid", "label", F.explode_outer("s").alias("shingle")), "shingles")
     seen = of_line.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
     ordered = of_line.join(seen, "shingle", "left").groupBy("lid", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "shingle"))).alias("s"))
     made = ordered.withColumn("size", F.size("s")).select("lid", "label", "size", F.posexplode(F.slice("s", F.lit(1), F.col("size") - similar_enough("size", similar, of) + 1)).alias("at", "p"))
@@ -139,49 +148,59 @@ def prefixes(rest: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFr
     return out
 
 
-def meeting_exactly(rest: DataFrame, texts: DataFrame, drawn: DataFrame, similar: int, of: int) -> DataFrame:
-    """Pairs (x, y) of lines of rest (lid, label), with labels a and b: all similar ones of different labels are among them."""
-    first = mixed_groups(prefixes(rest, texts, similar, of)).join(drawn, "lid")
-    enough = (of + similar) * F.least("left_x", "left_y") >= similar * (F.col("n_x") + F.col("n_y"))
-    return meeting(first, similar, of, enough)
+def renamed(rows: DataFrame, to: DataFrame) -> DataFrame:
+    """rows with the labels that to (label, to) gives."""
+    return rows.join(to, "label", "left").select(*[F.coalesce("to", "label").alias(c) if c == "label" else c for c in rows.columns])
 
 
-def joined(pairs: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
-    """(label, to) for the labels a and b that similar pairs (x, y, a, b) join."""
-    tried = staged(pairs.distinct(), "candidates")
-    to = components(linked(tried, texts, similar, of), "a", "b").select(F.col("node").alias("label"), F.col("label").alias("to"))
-    drop_staged(tried)
-    return to
+def all_met(rows: DataFrame, labels: DataFrame, texts: DataFrame, drawn: DataFrame, similar: int, of: int, more: Column | None = None) -> DataFrame:
+    """labels (lid, label) after all similar lines of a key of rows (key, lid, label and what more asks for) were joined.
 
+    In a round the lines of a key meet its hubs where labels differ. A key of no more lines than hubs is done, as all
+    have met; of the others those that hold several labels after the round go on with MORE times as many hubs.
+    """
+    hubs, groups = HUBS, staged(mixed_groups(rows), "groups")
+    while not groups.isEmpty():
+        tried = staged(meeting(groups.join(drawn, "lid"), hubs, similar, of, more).distinct(), "candidates")
+        to = components(linked(tried, texts, similar, of), "a", "b").select(F.col("node").alias("label"), F.col("label").alias("to"))
+        after = staged(renamed(labels, to), "labels")
+        left = staged(mixed_groups(renamed(groups.where(F.col("many") > hubs).drop("many", "main"), to)), "groups")
+        for done in (tried, to, labels, groups):
+            drop_staged(done)
+        hubs, labels, groups = hubs * MORE, after, left
+    drop_staged(groups)
+    return labels
 
-def renamed(rows: DataFrame, to: DataFrame) -> DataFrame:
-    """rows with the labels that to (label, to) gives."""
-    return rows.join(to, "label", "left").select(*[F.coalesce("to", "label").alias(c) if c == "label" else c for c in rows.columns])
+
+def met_exactly(rest: DataFrame, labels: DataFrame, texts: DataFrame, drawn: DataFrame, similar: int, of: int) -> DataFrame:
+    """labels (lid, label) after all similar lines of rest (lid, label) were joined, whatever keys they have."""
+    enough = (of + similar) * F.least("left_x", "left_y") >= similar * (F.col("n_x") + F.col("n_y"))
+    return all_met(prefixes(rest, texts, similar, of), labels, texts, drawn, similar, of, enough)
 
 
 def met(live: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
-    """(lid, label) of the lines of live (key, lid, least, largest) after all lines of a key have met.
+    """(lid, label) of the lines of live (key, lid, least) after all lines of a key have met.
 
-    First each meets its key's least and largest line. Keys that hold lines of several components after that are left;
+    First each meets its key's least line. Keys that hold lines of several components after that are left;
     their other lines are met by each other where components differ: in keys of up to MANY lines under the key, the
     lines of larger keys by the rarest shingles of their whole sets. No pair that shares a key is dropped but by bounds
     that no similar pair fails.
     """
     drawn = staged(sketches(texts), "sketches")
-    ends = live.select(F.explode(F.array(F.struct(F.col("lid").alias("x"), F.col("least").alias("y")), F.struct(F.col("largest").alias("x"), F.col("lid").alias("y")))).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
+    ends = live.where("lid <> least").select(F.col("lid").alias("x"), F.col("least").alias("y")).distinct()
     pairs = staged(near(ends, drawn, similar, of), "pairs")
     known = components(linked(pairs, texts, similar, of), "x", "y").select(F.col("node").alias("lid"), "label")
     drop_staged(pairs)
-    inner = live.where("lid <> least and lid <> largest").select("key", "lid").distinct()
+    inner = live.where("lid <> least").select("key", "lid").distinct()
     told = inner.join(known, "lid", "left").select("key", "lid", F.coalesce("label", "lid").alias("label"))
-    groups = staged(mixed_groups(told), "groups")
-    pairs = meeting(groups.where(F.col("many") <= MANY).join(drawn, "lid"), similar, of)
-    large = staged(groups.where(F.col("many") > MANY).select("lid", "label").distinct(), "large")
+    mixed = staged(mixed_groups(told), "mixed")
+    labels = staged(known.unionByName(mixed.select("lid", "label").distinct().join(known, "lid", "left_anti")), "labels")
+    drop_staged(known)
+    labels = all_met(mixed.where(F.col("many") <= MANY).select("key", "lid", "label"), labels, texts, drawn, similar, of)
+    large = mixed.where(F.col("many") > MANY).select("lid").distinct()
     if not large.isEmpty():
-        pairs = pairs.unionByName(meeting_exactly(large, texts, drawn, similar, of))
-    to = joined(pairs, texts, similar, of)
-    labels = staged(renamed(known.unionByName(groups.select("lid", "label").distinct().join(known, "lid", "left_anti")), to), "labels")
-    for done in (drawn, groups, large, known, to):
+        labels = met_exactly(staged(large.join(labels, "lid"), "large"), labels, texts, drawn, similar, of)
+    for done in (drawn, mixed):
         drop_staged(done)
     return labels
 
@@ -197,16 +216,16 @@ def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int =
         live = None
         wanted = first.select("lid").distinct()
     else:
-        keyed = lines.select("lid", F.explode(bands(F.col("signature"))).alias("key"))
-        live = staged(keyed.select("key", "lid", F.expr("min(lid) over (partition by key)").alias("least"), F.expr("max(lid) over (partition by key)").alias("largest")).where("least <> largest"), "live")
+        keyed = lines.select("lid", F.explode(bands(F.col("signature"))).alias("key")).where("key is not null")
+        live = staged(keyed.select("key", "lid", F.expr("min(lid) over (partition by key)").alias("least"), F.expr("max(lid) over (partition by key)").alias("largest")).where("least <> largest").drop("largest"), "live")
         wanted = staged(live.select("lid").distinct(), "wanted")
         if wanted.count() <= MOST_SENT:
             wanted = F.broadcast(wanted)  # else the lines are shuffled by their ids
     asked = lines_of(docs).select("lid", "crc", "line").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min(F.struct("crc", "line")).alias("t"))
     texts = staged(asked.select("lid", "t.crc", "t.line"), "texts")
     if exact:
-        rest = texts.select("lid", F.col("lid").alias("label"))
-        labels = renamed(rest, joined(meeting_exactly(rest, texts, staged(sketches(texts), "sketches"), similar, of), texts, similar, of))
+        alone = staged(texts.select("lid", F.col("lid").alias("label")), "labels")
+        labels = met_exactly(alone, alone, texts, staged(sketches(texts), "sketches"), similar, of)
     else:
         labels = met(live, texts, similar, of)
         drop_staged(live)
