@@ -337,6 +337,42 @@ def test_all_lines_of_a_large_band_meet(spark, monkeypatch, many):
     assert len({want.find(i) for i in range(len(lines))}) > 50 and sum(want.find(i) != i for i in range(len(lines))) > 30
 
 
+def near_copies(rng, many=400):
+    """Lines of one base with one to three edits, similar where both have no more than about four; the first has three."""
+    base = [word(rng) for _ in range(120)]
+    return [edited(rng, base, k) for k in [3, *rng.choice([1, 2, 3], many - 1, p=[0.1, 0.3, 0.6]).tolist()]]
+
+
+def counted(monkeypatch):
+    """Collects how many candidate pairs the rounds put out."""
+    from quern.llm import line_dedup
+
+    made, real = [], line_dedup.staged
+
+    def staged(df, name="stage", *more, **named):
+        out = real(df, name, *more, **named)
+        if name == "candidates":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", staged)
+    return made
+
+
+@pytest.mark.parametrize("many", [2048, 100])
+def test_a_band_of_near_copies_does_not_put_out_all_its_pairs(spark, monkeypatch, many):
+    """Many of its pairs are similar; few are looked at, and all of them are joined nevertheless."""
+    from quern.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    lines = near_copies(np.random.default_rng(23))
+    should, made = lines_that_go(lines), counted(monkeypatch)
+    df = spark.createDataFrame([(100 + i, x) for i, x in enumerate(lines)], "lid long, line string")
+    labels = {r.lid: r.label for r in line_dedup.met(df.selectExpr("7L as key", "lid", "100L as least", "499L as largest"), df, 80, 100).collect()}
+    assert {i for i in range(len(lines)) if labels.get(100 + i, 100 + i) != 100 + i} == should and len(should) > 300
+    assert 0 < sum(made) < 20 * len(lines)
+
+
 def test_long_words_with_one_edit_are_joined(spark):
     """One letter of a line of few long words touches many of its runs of words, but few of its whole set."""
     rng = np.random.default_rng(22)
