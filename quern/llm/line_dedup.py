@@ -34,19 +34,34 @@ HUBS, MORE = 4, 8
 WORDS = 16
 #: Lines whose ids are sent to all tasks at once; of more, the texts are shuffled.
 MOST_SENT = 2_000_000
-BLANK = r"\x20\x09-\x0D"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
-def signature(line: Column) -> Column:
-    """The BOTTOM least distinct hashes of the shingles that a line's content chooses."""
+def has_word(text: Column) -> Column:
+    return F.ltrim(text, F.lit(BLANKS)) != ""
 
-    def chosen(words: Column) -> Column:
+
+def chosen(line: Column) -> Column:
+    """Hashes of the shingles that a line's content chooses, repeated ones too."""
+
+    def of_words(words: Column) -> Column:
         runs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda a, i: F.xxhash64(a, F.get(words, i + 1), F.get(words, i + 2)))
         inner = F.transform(F.regexp_extract_all(line, F.lit(rf"(?=([^ ]{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
         return F.when(F.octet_length(line) >= RUN * F.size(words), F.concat(runs, inner)).otherwise(runs)
 
-    all_ = F.transform(F.array(F.split(line, " ", -1)), chosen)[0]  # in a lambda, so that the words are split once
-    return F.slice(F.sort_array(F.array_distinct(all_)), 1, BOTTOM)
+    return F.transform(F.array(F.split(line, " ", -1)), of_words)[0]  # in a lambda, so that the words are split once
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """lines with their signature: the BOTTOM least distinct hashes of chosen(line) in order, nulls for those that lack.
+
+    The least is read and taken out BOTTOM times, each in a step of its own, which costs less than to sort all.
+    """
+    left = lines.withColumn("left", chosen(F.col("line")))
+    for k in range(BOTTOM):
+        left = left.withColumn(f"least_{k}", F.array_min("left"))
+        left = left.withColumn("left", F.array_remove("left", F.col(f"least_{k}")))
+    return left.select(*lines.columns, F.array(*[f"least_{k}" for k in range(BOTTOM)]).alias("signature"))
 
 
 def whole_set(line: Column) -> Column:
@@ -61,15 +76,15 @@ def whole_set(line: Column) -> Column:
 
 def bands(signature: Column) -> Column:
     """Hashes of every two of the signature's values; of its only one where there are no two; nulls for those that lack."""
-    two = [F.when(F.get(signature, F.lit(j)).isNotNull(), F.xxhash64(F.get(signature, F.lit(i)), F.get(signature, F.lit(j)))) for i, j in combinations(range(BOTTOM), 2)]
-    return F.array(F.when(F.size(signature) == 1, F.xxhash64(F.get(signature, F.lit(0)))), *two)
+    one, *rest = [(F.get(signature, F.lit(i)), F.get(signature, F.lit(j))) for i, j in combinations(range(BOTTOM), 2)]
+    return F.array(F.xxhash64(*one), *[F.when(y.isNotNull(), F.xxhash64(x, y)) for x, y in rest])  # a hash skips nulls
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of id and text), line_no, line, lid and crc (hashes of the line) of every line with a word."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     split = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.where(F.col("line").rlike(f"[^{BLANK}]")).withColumns({"lid": F.xxhash64("line"), "crc": F.crc32("line")})
+    return split.where(has_word(F.col("line"))).withColumns({"lid": F.xxhash64("line"), "crc": F.crc32("line")})
 
 
 def similar_enough(n: Column | str, similar: int, of: int) -> Column:
@@ -206,12 +221,12 @@ def met(live: DataFrame, texts: DataFrame, similar: int, of: int) -> DataFrame:
 
 
 def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int = OF, exact: bool = False) -> DataFrame:
-    """lid, crc and at (doc_id, row, line_no of the kept line) of every line of lines that is not the only one of its component.
+    """lid, crc and at (doc_id, row, line_no of the kept line) of every line of lines that is not the only one of its component (and of those of repeated rows).
 
     lines: doc_id, row, line_no, lid, crc and signature of the lines of docs.
     """
     place = F.struct("doc_id", "row", "line_no")
-    first = staged(lines.groupBy("lid", "crc").agg(F.min(place).alias("at"), F.max(place).alias("end")), "first")
+    first = staged(lines.groupBy("lid", "crc").agg(F.min(place).alias("at"), F.count("*").alias("many")), "first")
     if exact:
         live = None
         wanted = first.select("lid").distinct()
@@ -221,7 +236,8 @@ def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int =
         wanted = staged(live.select("lid").distinct(), "wanted")
         if wanted.count() <= MOST_SENT:
             wanted = F.broadcast(wanted)  # else the lines are shuffled by their ids
-    asked = lines_of(docs).select("lid", "crc", "line").join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min(F.struct("crc", "line")).alias("t"))
+    read = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).withColumn("lid", F.xxhash64("line"))
+    asked = read.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min(F.struct(F.crc32("line").alias("crc"), "line")).alias("t"))
     texts = staged(asked.select("lid", "t.crc", "t.line"), "texts")
     if exact:
         alone = staged(texts.select("lid", F.col("lid").alias("label")), "labels")
@@ -232,13 +248,13 @@ def keepers(lines: DataFrame, docs: DataFrame, similar: int = SIMILAR, of: int =
     members = staged(first.join(labels.join(texts.select("lid", "crc"), "lid"), ["lid", "crc"]).select("lid", "crc", "at", "label"), "members")
     of_label = staged(members.groupBy("label").agg(F.min("at").alias("kept")), "kept")  # so that the join can split a large component
     told = members.join(of_label, "label").select("lid", "crc", "kept")
-    return staged(first.join(told, ["lid", "crc"], "left").where("kept <> at or at <> end").select("lid", "crc", F.coalesce("kept", "at").alias("at")), "keepers")
+    return staged(first.join(told, ["lid", "crc"], "left").where("kept <> at or many > 1").select("lid", "crc", F.coalesce("kept", "at").alias("at")), "keepers")
 
 
 def removed_lines(docs: DataFrame, similar: int = SIMILAR, of: int = OF, exact: bool = False) -> DataFrame:
     """doc_id, row and removed (sorted numbers from 0 of the lines that go) of the rows that lose lines."""
     found = lines_of(docs)
-    found = found.withColumn("signature", F.array().cast("array<long>")) if exact else found.withColumn("signature", signature(F.col("line")))
+    found = found.withColumn("signature", F.array().cast("array<long>")) if exact else signed(found)
     lines = staged(found.select("doc_id", "row", "line_no", "lid", "crc", "signature"), "lines")
     gone = lines.drop("signature").join(keepers(lines, docs, similar, of, exact), ["lid", "crc"]).where(F.struct("doc_id", "row", "line_no") != F.col("at"))
     return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
@@ -264,7 +280,7 @@ def drop_lines(docs: DataFrame, similar: int = SIMILAR, of: int = OF, exact: boo
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(rest)
     new = {"text": text} | ({"n_chars": F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length(rest)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.withColumns(new).where(F.col("__removed").isNull() | F.col("text").rlike(f"[^{BLANK}]")).select(*docs.columns)
+    return joined.withColumns(new).where(F.col("__removed").isNull() | has_word(F.col("text"))).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm.common import components
 from quern.llm.jaccard_join import keep_one, shingle_sets, similar
@@ -373,6 +374,22 @@ def test_a_band_of_near_copies_does_not_put_out_all_its_pairs(spark, monkeypatch
     assert 0 < sum(made) < 20 * len(lines)
 
 
+def test_signatures_are_the_least_hashes_and_nothing_is_sorted(spark):
+    """The least distinct ones in order, of lines of few, repeated and no words between blanks too; no array is sorted for them."""
+    from quern.llm import line_dedup
+
+    rng = np.random.default_rng(24)
+    lines = [" ".join(word(rng) for _ in range(n)) for n in range(1, 40)] + ["a a a a a a", "a b a b a b a b", " ", "  x ", "b" * 40, "日本語" * 9]
+    df = line_dedup.signed(spark.createDataFrame([(x,) for x in lines], "line string"))
+    rows = df.withColumn("all", line_dedup.chosen(F.col("line"))).withColumn("bands", line_dedup.bands(F.col("signature"))).collect()
+    for r in rows:
+        least = sorted(set(r["all"]))[: line_dedup.BOTTOM]
+        assert list(r.signature) == least + [None] * (line_dedup.BOTTOM - len(least))
+        assert sum(x is not None for x in r.bands) == max(1, len(least) * (len(least) - 1) // 2)
+    assert {len(set(r["all"])) for r in rows} >= {1, 2, 3, 4, 20}
+    assert "sort" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_words_with_one_edit_are_joined(spark):
     """One letter of a line of few long words touches many of its runs of words, but few of its whole set."""
     rng = np.random.default_rng(22)
